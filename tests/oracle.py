@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -78,7 +79,12 @@ def main(argv):
     if names and names[0].startswith("@"):
         family = names[0][1:]
         names = [n for n, q in QUERIES.items() if q.__module__.endswith("." + family)]
-    spark = build_session("8")
+    extra = {}
+    if os.environ.get("TRACELODE_CHUNKED"):  # force the paths meant for hot groups
+        extra = {"spark__tracelode__maxGroupRows": "40", "spark__tracelode__chunkRows": "16"}
+    if os.environ.get("TRACELODE_NO_BROADCAST"):
+        extra["spark__tracelode__maxBroadcastRows"] = "0"
+    spark = build_session("8", **extra)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0

@@ -22,16 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelode.plans.ordered import CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS, Ordered
+from tracelode.session import materialize
 
 
-def greedy_select(df: DataFrame, keys: Sequence[str], position: str, span: Column, order: Sequence[str] | None = None) -> DataFrame:
-    """Rows of ``df`` kept by the greedy rule; ``span`` is constant inside a group."""
+def greedy_select(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    span: Column,
+    order: Sequence[str] | None = None,
+    bound: int | None = None,
+) -> DataFrame:
+    """Rows of ``df`` kept by the greedy rule; ``span`` is constant inside a group.
+
+    The runs are written once: they are read by the size check, by the rows that
+    stay in the JVM and by the kernel."""
     order = list(order or [position])
-    rows = Ordered(df.withColumn("_span", span.cast("long")), keys, order).with_lag("_prev", F.col(position))
+    rows = Ordered(df.withColumn("_span", span.cast("long")), keys, order, bound).with_lag("_prev", F.col(position))
     start = F.col("_prev").isNull() | (F.col(position) - F.col("_prev") >= F.col("_span"))
     rows = rows.with_column("_start", start).with_islands("_run", F.col("_start"))
     rows = rows.with_lead("_next_start", F.col("_start"))
-    base = rows.frame().drop("_prev")
+    base = materialize(rows.frame().drop("_prev"))
     alone = F.col("_start") & F.coalesce("_next_start", F.lit(True))
     columns = [c for c in df.columns]
     single = base.where(alone).select(*columns)

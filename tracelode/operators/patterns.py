@@ -14,9 +14,13 @@ from tracelode.plans.sizing import small_side
 SEPARATOR = ","
 
 
+def numbered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
+    """Dense 0-based position of every row in its session, with the measured size."""
+    return Ordered(df, keys, order).with_row_number("pos")
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Dense 0-based position of every row in its session."""
-    return Ordered(df, keys, order).with_row_number("pos").frame()
+    return numbered_rows(df, keys, order).frame()
 
 
 def ngrams(numbered: DataFrame, keys: Sequence[str], tokens: str, sizes: Sequence[int]) -> DataFrame:
@@ -44,13 +48,15 @@ def candidates(grams: DataFrame, lengths: DataFrame, keys: Sequence[str], share:
     return head.groupBy(*keys, "size", "gram").agg(F.min("pos").alias("start_pos"))
 
 
-def greedy_rates(grams: DataFrame, picked: DataFrame, lengths: DataFrame, keys: Sequence[str]) -> DataFrame:
+def greedy_rates(
+    grams: DataFrame, picked: DataFrame, lengths: DataFrame, keys: Sequence[str], bound: int | None = None
+) -> DataFrame:
     """Non-overlapping matches of each candidate and its rate.
 
     The rate divides by the positions a left-to-right scan visits: every start
     position less those jumped over inside a match."""
     hits = grams.join(picked.select(*keys, "size", "gram", "start_pos"), [*keys, "size", "gram"])
-    kept = greedy_select(hits, [*keys, "size", "gram"], "pos", F.col("size"))
+    kept = greedy_select(hits, [*keys, "size", "gram"], "pos", F.col("size"), bound=bound)
     counted = kept.groupBy(*keys, "size", "gram").agg(
         F.count(F.lit(1)).alias("matches"), F.max("pos").alias("last_pos"), F.min("start_pos").alias("start_pos")
     )
@@ -74,11 +80,12 @@ def frequent_patterns(
     prefix: str = "S",
     min_rate: float = 0.0,
 ) -> DataFrame:
-    numbered = positions(df, keys, order)
+    rows = numbered_rows(df, keys, order)
+    numbered = rows.frame()
     lengths = session_lengths(numbered, keys)
     grams = ngrams(numbered, keys, tokens, sizes)
     picked = candidates(grams, lengths, keys, share, prefix)
-    return greedy_rates(grams, picked, lengths, keys).where(F.col("rate") >= min_rate)
+    return greedy_rates(grams, picked, lengths, keys, rows.largest).where(F.col("rate") >= min_rate)
 
 
 def contains_sequence(long: Column, short: Column) -> Column:
@@ -109,10 +116,10 @@ def maximal_patterns(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str, pattern: Sequence[str]) -> DataFrame:
     """Greedy non-overlapping start positions of one pattern."""
-    numbered = positions(df, keys, order)
-    grams = ngrams(numbered, keys, tokens, [len(pattern)])
+    rows = numbered_rows(df, keys, order)
+    grams = ngrams(rows.frame(), keys, tokens, [len(pattern)])
     hits = grams.where(F.col("gram") == SEPARATOR.join(pattern))
-    return greedy_select(hits, list(keys), "pos", F.lit(len(pattern))).select(*keys, "pos")
+    return greedy_select(hits, list(keys), "pos", F.lit(len(pattern)), bound=rows.largest).select(*keys, "pos")
 
 
 def pattern_members(df: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str, pattern: Sequence[str]) -> DataFrame:

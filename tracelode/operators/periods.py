@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.operators.greedy import greedy_select
-from tracelode.operators.patterns import SEPARATOR, positions, session_lengths
+from tracelode.operators.patterns import SEPARATOR, numbered_rows, positions, session_lengths
 from tracelode.operators.sessions import encode_tokens
 from tracelode.plans.ordered import Ordered, ahead
 from tracelode.plans.sizing import small_side
+from tracelode.session import materialize
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,8 @@ def segment_table(
     pieces: a window with at most ``e`` differing tokens agrees with the base on at
     least one of ``e + 1`` pieces, so nothing is compared pair by pair blindly."""
     keys = list(keys)
-    numbered = positions(df, keys, order)
+    ordered = numbered_rows(df, keys, order)
+    numbered = materialize(ordered.frame())
     lengths = session_lengths(numbered, keys)
     reach = config.max_lag
     spans = numbered.select(*keys, "pos", F.col(tokens).alias("_t"), F.col(time).alias("_ts"))
@@ -118,7 +120,7 @@ def segment_table(
         .groupBy(*group, "base", "base_pos", "pos")
         .agg(F.first("sim").alias("sim"), F.first("_ts").alias("ts"), F.first("_end").alias("end_ts"))
     )
-    picked = greedy_select(near, [*group, "base", "base_pos"], "pos", F.col("period"))
+    picked = greedy_select(near, [*group, "base", "base_pos"], "pos", F.col("period"), bound=ordered.largest)
     first = bases.select(
         *group,
         F.array_join("seg", SEPARATOR).alias("base"),
@@ -129,7 +131,7 @@ def segment_table(
         F.col("base_end").alias("end_ts"),
     )
     rows = picked.unionByName(first)
-    seq = Ordered(rows, [*group, "base"], ["pos"]).with_lead("next_ts", F.col("ts")).frame()
+    seq = Ordered(rows, [*group, "base"], ["pos"], ordered.largest).with_lead("next_ts", F.col("ts")).frame()
     gap = (F.col("next_ts") - F.col("end_ts")) / 1e6
     length = (F.col("end_ts") - F.col("ts")) / 1e6
     stats = seq.groupBy(*group, "base").agg(
@@ -232,7 +234,7 @@ def identify_periods(
     encoded = encode_tokens(df, keys, tokens)
     numbered = positions(encoded, keys, order)
     acf = autocorrelation(numbered, keys, "token_id", config.max_lag)
-    lags = peaks(acf, keys, config.autocorr_threshold)
+    lags = materialize(peaks(acf, keys, config.autocorr_threshold))
     stats = segment_table(df, keys, order, time, tokens, lags, config)
     best = choose_period(valid_segments(stats, config), keys, config)
     score = lags.select(*keys, F.col("lag").alias("period"), F.col("r").alias("autocorr_score"))

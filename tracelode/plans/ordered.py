@@ -38,12 +38,14 @@ class Ordered:
     column.  ``order`` must be a total order inside a group (ties spelled out).
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], bound: int | None = None):
+        """``bound``: upper limit of the group size when the caller already knows
+        one (rows derived from a measured frame); it saves the counting job."""
         self.keys = list(keys)
         self.order = list(order)
         limit = _setting(df, GROUP_ROWS_CONF, DEFAULT_GROUP_ROWS)
-        total, largest = _group_sizes(df, self.keys)
-        self.chunked = largest > limit
+        total, self.largest = (0, bound) if bound is not None and bound <= limit else _group_sizes(df, self.keys)
+        self.chunked = self.largest > limit
         if self.chunked:
             rows = _setting(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
             parts = max(2, math.ceil(total / rows))
@@ -55,7 +57,8 @@ class Ordered:
 
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
-        other.keys, other.order, other.chunked, other.df = self.keys, self.order, self.chunked, df
+        other.keys, other.order, other.chunked, other.largest = self.keys, self.order, self.chunked, self.largest
+        other.df = df
         return other
 
     def transform(self, fn) -> "Ordered":

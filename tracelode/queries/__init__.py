@@ -6,6 +6,7 @@ from tracelode.queries.registry import ORACLES, QUERIES
 
 FAMILIES = (
     "sequences",
+    "alignment",
 )
 
 for _family in FAMILIES:
