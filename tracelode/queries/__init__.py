@@ -7,6 +7,7 @@ from tracelode.queries.registry import ORACLES, QUERIES
 FAMILIES = (
     "sequences",
     "alignment",
+    "payloads",
 )
 
 for _family in FAMILIES:
