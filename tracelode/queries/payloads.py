@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import binary, protocols
 from tracelode.operators import blocks, locate
+from tracelode.plans.ordered import Ordered
 from tracelode.queries.registry import query
 from tracelode.sources.tables import events, micros, payloads, table
 
@@ -143,8 +144,6 @@ from f
 @query("block_split", SPLIT_ROWS)
 def block_split(spark, folder):
     """Blocks of many lengths: line number and quantity as start and extent."""
-    from tracelode.plans.ordered import Ordered
-
     lines = table(spark, folder, "lineitem")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
     rows = Ordered(lines.select("l_suppkey", *order), ["l_suppkey"], order).with_row_number("_rn").frame()
@@ -323,11 +322,9 @@ def modbus_headers(spark, folder):
         _hex(F.col("l_orderkey") % 65536, 2), _hex(F.when(F.col("l_linenumber") == 7, 1).otherwise(0), 2), F.lit("0005"),
         _hex(F.col("l_linenumber"), 1), _hex(F.col("l_suppkey") % 140, 1), _hex(F.col("l_partkey") % 65536, 2),
     )
-    parsed = rows.withColumn("b", F.unhex(frame)).withColumn("h", protocols.modbus_header(F.col("b")))
-    return parsed.select(
-        *LINE_COLS, "h.transaction_id", "h.unit_id", "h.function_code", "h.is_exception", "h.is_data_function", "h.is_valid",
-        F.hex(protocols.modbus_data(F.col("b"), F.col("h"))).alias("data_hex"),
-    )
+    parsed = protocols.parse(rows.withColumn("payload", F.unhex(frame)), "modbus")
+    fields = ("transaction_id", "unit_id", "function_code", "is_exception", "is_data_function", "is_valid")
+    return parsed.select(*LINE_COLS, *[f"modbus.{f}" for f in fields], "data_hex")
 
 
 @query(
@@ -338,8 +335,8 @@ def modbus_rtu_frames(spark, folder):
     frame = F.concat(
         _hex(F.col("l_linenumber"), 1), _hex(F.col("l_suppkey") % 140, 1), _hex(F.col("l_partkey") % 65536, 2), _swap(F.col("l_orderkey") % 65536, 2)
     )
-    rows = table(spark, folder, "lineitem").select(*LINE_COLS, protocols.modbus_rtu(F.unhex(frame)).alias("f"))
-    return rows.select(*LINE_COLS, "f.unit_id", "f.function_code", "f.data_hex", "f.crc")
+    rows = protocols.with_hex(table(spark, folder, "lineitem").select(*LINE_COLS, F.unhex(frame).alias("payload")))
+    return rows.withColumn("f", protocols.modbus_rtu("h")).select(*LINE_COLS, "f.unit_id", "f.function_code", "f.data_hex", "f.crc")
 
 
 def enip_frames(spark, folder):
@@ -363,7 +360,7 @@ def enip_frames(spark, folder):
     ).otherwise(F.concat(num(F.lit(0xB2), 2), num(cip_bytes.cast("int"), 2), cip))
     body = F.concat(F.lit("00000000"), F.lit("0000"), num(F.lit(2), 2), num(F.lit(0), 2), num(F.lit(0), 2), item)
     head = F.concat(num(command, 2), num((F.length(body) / 2).cast("int"), 2), num(F.col("l_orderkey"), 4), F.lit("00" * 4), F.lit("00" * 8), F.lit("00" * 4))
-    return rows.withColumn("b", F.unhex(F.concat(head, body)))
+    return rows.withColumn("payload", F.unhex(F.concat(head, body)))
 
 
 ENIP_SQL = f"""
@@ -379,27 +376,23 @@ z as (select *, 10 + case when service = 204 then 2 else 0 end as cip, case when
     ENIP_SQL + f"select {LINE_KEY}, endianness, cast(command as bigint) as command, cast(8 + 4 + 4 + sq + cip as bigint) as length, l_orderkey as session_handle, command in (111, 112) as is_data_command from z",
 )
 def enip_headers(spark, folder):
-    rows = enip_frames(spark, folder).withColumn("e", protocols.enip_endianness(F.col("b")))
-    parsed = rows.withColumn("h", protocols.enip_header(F.col("b"), F.col("e")))
-    return parsed.select(*LINE_COLS, F.col("e").alias("endianness"), "h.command", "h.length", "h.session_handle", "h.is_data_command")
+    parsed = protocols.parse(enip_frames(spark, folder), "enip")
+    return parsed.select(*LINE_COLS, "enip.endianness", "enip.command", "enip.length", "enip.session_handle", "enip.is_data_command")
 
 
 @query(
     "cip_messages",
     ENIP_SQL
     + f"""select {LINE_KEY}, cast(2 as bigint) as item_count, 2 as items_seen, cast(service as bigint) as service_code, service >= 128 as is_response, service % 128 = 76 as is_data_service,
-       16 + sq + 8 + case when service = 204 then 2 else 0 end as total_header_size,
-       l_suppkey % 256 as class_id, l_orderkey % 65536 as instance_id, case when service % 128 = 76 then printf('%04X', l_partkey % 65536) else '' end as data_hex from z""",
+       cast(16 + sq + 8 + case when service = 204 then 2 else 0 end as bigint) as total_header_size,
+       l_suppkey % 256 as class_id, l_orderkey % 65536 as instance_id, case when service % 128 = 76 then printf('%04X', l_partkey % 65536) else '' end as data_hex from z where command in (111, 112)""",
 )
 def cip_messages(spark, folder):
-    rows = enip_frames(spark, folder).withColumn("e", protocols.enip_endianness(F.col("b")))
-    rows = rows.withColumn("body", protocols.enip_body(F.col("b"), protocols.enip_header(F.col("b"), F.col("e"))))
-    rows = rows.withColumn("cpf", protocols.cpf_items(F.col("body"), F.col("e")))
-    rows = rows.withColumn("cip", protocols.cip_header(F.col("body"), F.col("cpf")))
-    rows = rows.withColumn("path", protocols.cip_path(F.unhex(F.col("cip")["path_hex"]), F.col("e")))
-    return rows.select(
+    parsed = protocols.parse(enip_frames(spark, folder), "enip").where(F.col("enip.is_data_command"))
+    parsed = parsed.withColumn("path", protocols.cip_path("cip.path_hex", "enip.endianness"))
+    return parsed.select(
         *LINE_COLS, "cpf.item_count", F.col("cpf.walk.seen").alias("items_seen"), "cip.service_code", "cip.is_response", "cip.is_data_service",
-        "cip.total_header_size", "path.class_id", "path.instance_id", F.hex(protocols.cip_data(F.col("body"), F.col("cip"))).alias("data_hex"),
+        "cip.total_header_size", "path.class_id", "path.instance_id", "data_hex",
     )
 
 
@@ -419,20 +412,17 @@ def mms_messages(spark, folder):
     tagged = F.concat(F.lit("61"), length, F.lit("3007020103"), tag, tail)
     bare = F.concat(F.lit("31"), tag, tail)
     frame = F.concat(F.lit("0300001602F0"), eot, F.when(F.col("l_partkey") % 5 == 0, bare).otherwise(tagged))
-    parsed = rows.withColumn("b", F.unhex(frame)).withColumn("o", protocols.mms_offsets(F.col("b")))
-    return parsed.select(
-        *LINE_COLS, protocols.mms_control_code(F.col("b"), F.col("o")).alias("control_code"), F.hex(protocols.mms_data(F.col("b"), F.col("o"))).alias("data_hex")
-    )
+    return protocols.parse(rows.withColumn("payload", F.unhex(frame)), "mms").select(*LINE_COLS, "control_code", "data_hex")
 
 
 @query(
     "control_codes",
     ENIP_SQL
-    + f"select {LINE_KEY}, case when endianness = 'little' then case when command in (111, 112) then printf('0x%04X:0x%02X', command, service) else printf('0x%04X', command) end else printf('0x%04X', command * 256) end as code from z",
+    + f"select {LINE_KEY}, case when command in (111, 112) then printf('0x%04X:0x%02X', command, service) else printf('0x%04X', command) end as code from z",
 )
 def control_codes(spark, folder):
-    rows = enip_frames(spark, folder)
-    return rows.select(*LINE_COLS, protocols.control_code(F.lit("enip"), F.col("b")).alias("code"))
+    rows = enip_frames(spark, folder).withColumn("protocol", F.lit("enip"))
+    return protocols.parse_all(rows, "protocol").select(*LINE_COLS, F.col("control_code").alias("code"))
 
 
 @query(
