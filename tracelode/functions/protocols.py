@@ -214,27 +214,35 @@ def mms_data(h: str, offsets: str) -> Column:
     return F.expr(f"if({offsets} is not null, substr({h}, cast(2 * {at} + 1 as int)), null)")
 
 
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    The one-element explode keeps the optimizer from inlining a costly expression
+    into every place that reads a field of it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse(df: DataFrame, protocol: str, payload: str = "payload", fixed_endian: str | None = None) -> DataFrame:
     """Header structs of one protocol plus ``control_code`` and ``data_hex``.
 
     Protocols are parsed in separate branches (``parse_all``), so a row pays only for
     its own protocol."""
-    out = with_hex(df, payload, "_h")
+    out = hold(df, "_h", F.hex(payload))
     if protocol == "modbus":
         out = out.withColumn("modbus", modbus_header("_h"))
         code = F.expr("if(modbus.function_code > 0, cast(modbus.function_code as string), null)")
         return out.withColumn("control_code", code).withColumn("data_hex", modbus_data("_h", "modbus")).drop("_h")
     if protocol == "enip":
         endian = F.lit(fixed_endian) if fixed_endian else enip_endianness("_h")
-        out = out.withColumn("_e", endian).withColumn("enip", enip_header("_h", "_e")).withColumn("_b", enip_body("_h", "enip"))
-        carrying = F.expr("if(enip.is_data_command, _b, null)")
-        out = out.withColumn("_b", carrying).withColumn("cpf", cpf_items("_b", "_e")).withColumn("cip", cip_header("_b", "cpf"))
+        out = hold(hold(out, "_e", endian), "enip", enip_header("_h", "_e")).withColumn("_b", enip_body("_h", "enip"))
+        out = hold(out, "_b", F.expr("if(enip.is_data_command, _b, null)"))
+        out = hold(hold(out, "cpf", cpf_items("_b", "_e")), "cip", cip_header("_b", "cpf"))
         code = F.expr(
             "concat('0x', lpad(hex(enip.command), 4, '0'), coalesce(concat(':0x', lpad(hex(cip.service_code), 2, '0')), ''))"
         )
         return out.withColumn("control_code", code).withColumn("data_hex", cip_data("_b", "cip")).drop("_h", "_b", "_e")
     if protocol == "mms":
-        out = out.withColumn("mms", mms_offsets("_h")).withColumn("control_code", mms_control_code("_h", "mms"))
+        out = hold(out, "mms", mms_offsets("_h")).withColumn("control_code", mms_control_code("_h", "mms"))
         return out.withColumn("data_hex", mms_data("_h", "mms")).drop("_h")
     raise ValueError(f"unknown protocol {protocol!r}")
 

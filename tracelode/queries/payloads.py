@@ -336,7 +336,7 @@ def modbus_rtu_frames(spark, folder):
         _hex(F.col("l_linenumber"), 1), _hex(F.col("l_suppkey") % 140, 1), _hex(F.col("l_partkey") % 65536, 2), _swap(F.col("l_orderkey") % 65536, 2)
     )
     rows = protocols.with_hex(table(spark, folder, "lineitem").select(*LINE_COLS, F.unhex(frame).alias("payload")))
-    return rows.withColumn("f", protocols.modbus_rtu("h")).select(*LINE_COLS, "f.unit_id", "f.function_code", "f.data_hex", "f.crc")
+    return protocols.hold(rows, "f", protocols.modbus_rtu("h")).select(*LINE_COLS, "f.unit_id", "f.function_code", "f.data_hex", "f.crc")
 
 
 def enip_frames(spark, folder):
@@ -389,7 +389,7 @@ def enip_headers(spark, folder):
 )
 def cip_messages(spark, folder):
     parsed = protocols.parse(enip_frames(spark, folder), "enip").where(F.col("enip.is_data_command"))
-    parsed = parsed.withColumn("path", protocols.cip_path("cip.path_hex", "enip.endianness"))
+    parsed = protocols.hold(parsed.withColumn("p", F.col("cip.path_hex")), "path", protocols.cip_path("p", "enip.endianness"))
     return parsed.select(
         *LINE_COLS, "cpf.item_count", F.col("cpf.walk.seen").alias("items_seen"), "cip.service_code", "cip.is_response", "cip.is_data_service",
         "cip.total_header_size", "path.class_id", "path.instance_id", "data_hex",
