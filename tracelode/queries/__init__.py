@@ -8,6 +8,7 @@ FAMILIES = (
     "sequences",
     "alignment",
     "payloads",
+    "matching",
 )
 
 for _family in FAMILIES:
