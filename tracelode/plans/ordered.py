@@ -44,7 +44,10 @@ class Ordered:
         self.keys = list(keys)
         self.order = list(order)
         limit = _setting(df, GROUP_ROWS_CONF, DEFAULT_GROUP_ROWS)
-        total, self.largest = (0, bound) if bound is not None and bound <= limit else _group_sizes(df, self.keys)
+        if bound is not None and bound <= limit:
+            total, self.largest, self.groups = 0, bound, None
+        else:
+            total, self.largest, self.groups = _group_sizes(df, self.keys)
         self.chunked = self.largest > limit
         if self.chunked:
             rows = _setting(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
@@ -58,6 +61,7 @@ class Ordered:
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
         other.keys, other.order, other.chunked, other.largest = self.keys, self.order, self.chunked, self.largest
+        other.groups = self.groups
         other.df = df
         return other
 
@@ -175,14 +179,14 @@ class Ordered:
         return self.with_cumsum(name, F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("long"))
 
 
-def _group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+def _group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
+    """Rows, largest group and number of groups, from one map-side combined count."""
     if not keys:
         total = df.count()
-        return total, total
-    row = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("t"), F.max("n").alias("m")).first()
-    )
-    return int(row["t"] or 0), int(row["m"] or 0)
+        return total, total, 1
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.sum("n").alias("t"), F.max("n").alias("m"), F.count(F.lit(1)).alias("g")).first()
+    return int(row["t"] or 0), int(row["m"] or 0), int(row["g"])
 
 
 def ahead(
@@ -203,3 +207,20 @@ def ahead(
     for name, value in values.items():
         rows = rows.withColumn(name, F.collect_list(value).over(w))
     return rows.where(F.col("_home") == F.col("_blk")).drop("_home", "_blk")
+
+
+def halo(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, block: int | None = None) -> DataFrame:
+    """Rows with ``_blk`` and ``_home``: blocks of equal size by position, each also given
+    the ``before`` rows in front of it and the ``after`` rows behind it.
+
+    Windows partitioned by (keys, _blk) then see every neighbour in reach; keep the
+    rows with ``_home = _blk`` afterwards."""
+    size = max(block or _setting(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS), before, after, 1)
+    home = F.floor(F.col(position) / size)
+    offset = F.col(position) % size
+    near = F.array(
+        home,
+        F.when((offset < after) & (home > 0), home - 1),
+        F.when(offset >= size - before, home + 1),
+    )
+    return df.withColumn("_home", home).withColumn("_blk", F.explode(F.array_compact(near)))

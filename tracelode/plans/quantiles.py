@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 
 from tracelode.plans.ordered import Ordered
 from tracelode.plans.sizing import small_side
+from tracelode.session import materialize
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """One row per group with the named quantiles of the non-null values."""
-    keys = list(keys)
+def weights(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _c): distinct non-null values with their counts.
+
+    Written once, because the size check, the scan and every later statistic read
+    it; the input itself is scanned a single time."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = Ordered(counts, keys, ["_v"]).with_cumsum("_upto", F.col("_c")).frame()
+    return materialize(counts)
+
+
+def _from_weights(counts: DataFrame, keys: list[str], wanted: Mapping[str, float]) -> tuple[DataFrame, int | None]:
+    """Quantiles from weights, and the number of groups the size check found."""
+    scan = Ordered(counts, keys, ["_v"])
+    ranked = scan.with_cumsum("_upto", F.col("_c")).frame()
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = ranked.join(small_side(sizes), keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    joined = with_group(ranked, sizes, keys, scan.groups)
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
     aggregates = []
     for name, q in wanted.items():
@@ -33,31 +42,49 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
         upper = F.max(F.when(covers_high, F.col("_v")))
         share = F.max(at - low)
         aggregates.append((lower + (upper - lower) * share).alias(name))
-    return joined.groupBy(*keys).agg(*aggregates)
+    return joined.groupBy(*keys).agg(*aggregates), scan.groups
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """One row per group with the named quantiles of the non-null values."""
+    return _from_weights(weights(df, keys, value), list(keys), wanted)[0]
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def with_group(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_group(df: DataFrame, stats: DataFrame, keys: Sequence[str], groups: int | None = None) -> DataFrame:
     """Attach per-group statistics; without keys the statistics are one row."""
-    return df.join(small_side(stats), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    return df.join(small_side(stats, groups), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+
+
+def _spread(counts: DataFrame, middle: DataFrame, keys: list[str], groups: int | None) -> DataFrame:
+    """Absolute deviations from the median as weights again."""
+    apart = with_group(counts, middle, keys, groups).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
+    return materialize(apart.groupBy(*keys, F.col("_d").alias("_v")).agg(F.sum("_c").alias("_c")))
 
 
 def mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and median absolute deviation per group."""
-    middle = medians(df, keys, value)
-    spread = with_group(df.select(*keys, value), middle, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    return with_group(medians(spread, keys, "_d", "mad"), middle, keys)
+    keys = list(keys)
+    counts = weights(df, keys, value)
+    middle, groups = _from_weights(counts, keys, {"median": 0.5})
+    spread, _ = _from_weights(_spread(counts, middle, keys, groups), keys, {"mad": 0.5})
+    return with_group(spread, middle, keys, groups)
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, fallback: float = 1.0, eps: float = 1e-9) -> DataFrame:
     """1.4826 MAD, else population deviation, else IQR / 1.349, else ``fallback``."""
-    base = mad(df, keys, value)
-    iqr = quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
-    std = df.groupBy(*keys).agg(F.stddev_pop(value).alias("_std"))
-    out = with_group(with_group(base, iqr, keys), std, keys)
-    scaled, spread = F.col("mad") * 1.4826, (F.col("_q3") - F.col("_q1")) / 1.349
-    scale = F.when(scaled > eps, scaled).when(F.col("_std") > eps, F.col("_std")).when(spread > eps, spread)
-    return out.withColumn("scale", scale.otherwise(F.lit(float(fallback) if fallback > eps else 1.0))).drop("_q1", "_q3", "_std")
+    keys = list(keys)
+    counts = weights(df, keys, value)
+    base, groups = _from_weights(counts, keys, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
+    spread, _ = _from_weights(_spread(counts, base.drop("_q1", "_q3"), keys, groups), keys, {"mad": 0.5})
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_m"))
+    apart = F.pow(F.col("_v") - F.col("_m"), 2) * F.col("_c")
+    std = with_group(counts, mean, keys, groups).groupBy(*keys).agg(F.sqrt(F.sum(apart) / F.sum("_c")).alias("_std"))
+    out = with_group(with_group(base, spread, keys, groups), std, keys, groups)
+    scaled, width = F.col("mad") * 1.4826, (F.col("_q3") - F.col("_q1")) / 1.349
+    scale = F.when(scaled > eps, scaled).when(F.col("_std") > eps, F.col("_std")).when(width > eps, width)
+    chosen = scale.otherwise(F.lit(float(fallback) if fallback > eps else 1.0))
+    return materialize(out.withColumn("scale", chosen).drop("_q1", "_q3", "_std"))

@@ -9,6 +9,7 @@ FAMILIES = (
     "alignment",
     "payloads",
     "matching",
+    "detection",
 )
 
 for _family in FAMILIES:

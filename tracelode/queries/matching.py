@@ -188,8 +188,10 @@ def dynamic_in_ranges(spark, folder):
         case when event_id % 7 in (0, 1, 2) then null else event_type end as v from events),
     votes as (select m.user_id, m.event_id, k.v, count(*) as c, min(k.pos) as f from ev m join ev k on k.user_id = m.user_id and k.pos between m.pos - 5 and m.pos + 5 and k.v is not null
               where m.v is null group by 1, 2, 3),
-    best as (select user_id, event_id, v from (select *, row_number() over (partition by user_id, event_id order by c desc, f) as rk from votes) where rk = 1)
-    select ev.event_id, coalesce(ev.v, best.v) as v from ev left join best using (user_id, event_id)""",
+    best as (select user_id, event_id, v from (select *, row_number() over (partition by user_id, event_id order by c desc, f) as rk from votes) where rk = 1),
+    gm as (select user_id, v from (select *, row_number() over (partition by user_id order by c desc, f) as rk from
+           (select user_id, v, count(*) as c, min(pos) as f from ev where v is not null group by 1, 2)) where rk = 1)
+    select ev.event_id, coalesce(ev.v, best.v, gm.v) as v from ev left join best using (user_id, event_id) left join gm on gm.user_id = ev.user_id""",
 )
 def fill_majority(spark, folder):
     ev = events(spark, folder, "event_id", "user_id", "event_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,21 +33,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches: the cluster's ``spark.checkpoint.dir``; only a
+    local session without one (tests) gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        context.setCheckpointDir(shared)
-        return
-    if not context.master.startswith("local"):
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-ckpt-"))
+    global _LOCAL_FOLDER
+    if _LOCAL_FOLDER is None:
+        _LOCAL_FOLDER = tempfile.mkdtemp(prefix="tracelode-")
+    return _LOCAL_FOLDER
+
+
+_LOCAL_FOLDER: str | None = None
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes row placement and cuts lineage, so a lost
-    executor re-reads the shared folder instead of recomputing the shuffle."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and read it back.
+
+    It fixes row placement, cuts lineage and survives lost executors, costs one
+    evaluation of the plan, and later reads fetch only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tracelode/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
