@@ -164,7 +164,7 @@ def _pair_scores(prepared: DataFrame, best: DataFrame, limits: DataFrame, keys:
     )
     out = out.withColumn("d_res", F.when(F.col("longest_streak") >= config.residual_run, 1.0).otherwise(0.0))
     score = (config.alpha * F.col("d_shape") + config.beta * F.col("d_trend") + config.gamma * F.col("d_res")) / total
-    return out.where(F.col("n") >= max(2, config.min_points)).withColumn("pair_score", F.round(score, config.digits))
+    return out.where(F.col("n") >= max(2, config.min_points)).withColumn("pair_score", F.round(score, config.digits + 3))
 
 
 def calibrate_lags(correlations: DataFrame, keys: Sequence[str], pair: str, config: ConsistencyConfig) -> DataFrame:
@@ -234,7 +234,7 @@ def system_scores(scores: DataFrame, model: DataFrame, segments: Sequence[str],
     top = F.col("_r") <= config.top_pairs
     names = F.array_sort(F.collect_list(F.when(top, F.struct("_r", F.col(pair).alias("p")))))
     return ranked.groupBy(*group).agg(
-        F.round(F.avg(F.when(top, F.col("pair_score"))), config.digits).alias("system_score"),
+        F.round(F.avg(F.when(top, F.col("pair_score"))), config.digits + 3).alias("system_score"),
         F.array_join(F.transform(names, lambda e: e["p"]), "|").alias("top_pairs"),
         F.count(F.lit(1)).alias("available_pairs"), F.count_if(alarm).alias("pair_alarms"),
         F.array_join(F.array_sort(F.collect_list(F.when(alarm, F.col(pair)))), "|").alias("alarming_pairs"),

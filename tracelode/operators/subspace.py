@@ -103,7 +103,9 @@ def score(series: DataFrame, model: DataFrame, channel: str, lag: int, carry: Se
     schema = f"{channel} {kind}, i long, " + (types + ", " if keep else "") + "score double"
     blocks = halo(series.select(channel, "i", "v", *keep), [channel], "i", lag - 1, 0)
     places = blocks.select(channel, "_blk").distinct()
-    models = places.join(small_side(model), channel)
+    models = places.join(small_side(model), channel).select(
+        F.col(channel).alias("_mc"), F.col("_blk").alias("_mb"), "basis", "projection", "weight"
+    )
 
     def project(key, rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
@@ -118,7 +120,7 @@ def score(series: DataFrame, model: DataFrame, channel: str, lag: int, carry: Se
         out = out[out["_home"] == out["_blk"]]
         return out[[channel, "i", *keep, "score"]]
 
-    return blocks.groupBy(channel, "_blk").cogroup(models.groupBy(channel, "_blk")).applyInPandas(project, schema)
+    return blocks.groupBy(channel, "_blk").cogroup(models.groupBy("_mc", "_mb")).applyInPandas(project, schema)
 
 
 def thresholds(scores: DataFrame, channel: str, eps: float = 1e-6) -> DataFrame:

@@ -83,9 +83,9 @@ fg as (select *, row_number() over w - sum(off::int) over w as g from fl window
 st as (select pair, seg, win, g, count(*) filter (off) as s, count(*) as c, any_value(lag) as lag, any_value(n) as n, any_value(shape_corr) as sc, any_value(trend_corr) as tc from fg group by 1, 2, 3, 4),
 ps as (select pair, seg, win, max(s) as longest_streak, sum(s) / sum(c) as exceedance_ratio, any_value(lag) as best_lag, 1 - any_value(sc) as d_shape, 1 - any_value(tc) as d_trend, any_value(n) as n from st group by 1, 2, 3),
 pz as (select *, case when longest_streak >= 2 then 1.0 else 0.0 end as d_res from ps where n >= 10),
-pw as (select *, round((0.5 * d_shape + 0.35 * d_trend + 0.15 * d_res) / (0.5::double + 0.35::double + 0.15::double), 9) as pair_score from pz),
+pw as (select *, round((0.5 * d_shape + 0.35 * d_trend + 0.15 * d_res) / (0.5::double + 0.35::double + 0.15::double), 12) as pair_score from pz),
 th as (select pair, max(pair_score) as pair_threshold, count(*) as training_windows from pw where seg = 'train' group by 1),
-sy as (select seg, win, round(avg(pair_score), 9) as system_score, string_agg(pair, '|' order by pair_score desc, pair) as top_pairs, count(*) as available_pairs,
+sy as (select seg, win, round(avg(pair_score), 12) as system_score, string_agg(pair, '|' order by pair_score desc, pair) as top_pairs, count(*) as available_pairs,
          count(*) filter (d_res > 0 or pair_score > pair_threshold) as pair_alarms from pw join th using (pair) group by 1, 2),
 tt as (select max(system_score) as system_threshold from sy where seg = 'train')
 """
@@ -561,10 +561,10 @@ def sequence3_features(spark, folder):
     """with h as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 0), r as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 1),
     sc as (select pv, greatest(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, 1e-6) as s from h group by 1),
     o as (select unnest(range(-600000000, 600000001, 300000000)) as "offset"),
-    x as (select h.pv, h.t + "offset" as at, v as want, "offset", row_number() over () as id from h cross join o),
-    b as (select x.id, x.pv, x.want, x."offset", x.at, r.v as bv, r.t as bt from x asof left join r on x.pv = r.pv and x.at >= r.t),
-    f as (select x.id, r.v as fv, r.t as ft from x asof left join r on x.pv = r.pv and x.at < r.t),
-    m as (select b.pv, want, "offset", case when bt is null then fv when ft is null or at - bt <= ft - at then bv else fv end as got, case when bt is null then ft - at when ft is null or at - bt <= ft - at then at - bt else ft - at end as d
+    x as (select h.pv, h.t + "offset" as tgt, v as want, "offset", row_number() over () as id from h cross join o),
+    b as (select x.id, x.pv, x.want, x."offset", x.tgt, r.v as bv, r.t as bt from x asof left join r on x.pv = r.pv and x.tgt >= r.t),
+    f as (select x.id, r.v as fv, r.t as ft from x asof left join r on x.pv = r.pv and x.tgt < r.t),
+    m as (select b.pv, want, "offset", case when bt is null then fv when ft is null or tgt - bt <= ft - tgt then bv else fv end as got, case when bt is null then ft - tgt when ft is null or tgt - bt <= ft - tgt then tgt - bt else ft - tgt end as d
           from b join f using (id)),
     s as (select "offset", pv, median(abs(got - want) / s) as score from m join sc using (pv) where d <= 3600000000 group by 1, 2)
     select "offset", round(avg(score), 8) as joint_score, count(*) as pvs from s group by 1""",
