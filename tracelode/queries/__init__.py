@@ -10,6 +10,7 @@ FAMILIES = (
     "payloads",
     "matching",
     "detection",
+    "inference",
 )
 
 for _family in FAMILIES:
