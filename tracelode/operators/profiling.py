@@ -42,9 +42,10 @@ def profile(counts: DataFrame) -> DataFrame:
         F.count("text").alias("distinct_values"),
         F.max(F.when(F.col("text").isNotNull(), F.col("n"))).alias("most_common"),
         F.count_if((F.col("n") > 1) & F.col("text").isNotNull()).alias("repeated_values"),
-        F.bool_and(F.col("text").rlike(IPV4)).alias("_ip"),
-        F.bool_and(F.col("text").rlike(MAC)).alias("_mac"),
-        F.sum(F.when(F.expr("try_to_timestamp(text)").isNotNull(), F.col("n")).otherwise(0)).alias("_dates"),
+        # Pattern tests only matter for texts that are not numbers.
+        F.bool_and(F.when(F.col("number").isNull(), F.col("text").rlike(IPV4))).alias("_ip"),
+        F.bool_and(F.when(F.col("number").isNull(), F.col("text").rlike(MAC))).alias("_mac"),
+        F.sum(F.when(F.col("number").isNull() & F.expr("try_to_timestamp(text)").isNotNull(), F.col("n")).otherwise(0)).alias("_dates"),
     )
     moments = numeric.groupBy("column").agg(
         total.alias("numeric_rows"), F.min("number").alias("min_value"), F.max("number").alias("max_value"),
@@ -60,8 +61,8 @@ def profile(counts: DataFrame) -> DataFrame:
         F.when((F.col("numeric_rows") > 0) & F.col("_whole"), "int")
         .when(F.col("numeric_rows") > 0, "float")
         .when(F.col("_dates") > filled * 0.5, "timestamp")
-        .when(F.col("_ip"), "ip")
-        .when(F.col("_mac"), "mac")
+        .when(F.coalesce("_ip", F.lit(False)), "ip")
+        .when(F.coalesce("_mac", F.lit(False)), "mac")
         .otherwise("string")
     )
     return (

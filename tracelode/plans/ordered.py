@@ -25,6 +25,7 @@ CHUNK_ROWS_CONF = "spark.tracelode.chunkRows"
 DEFAULT_GROUP_ROWS = 2_000_000
 DEFAULT_CHUNK_ROWS = 1_000_000
 CHUNK = "_chunk"
+LEAD_LIMIT = 64
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -203,9 +204,14 @@ def ahead(
     spill = (F.col(position) % size < reach - 1) & (F.col(position) >= size)
     both = F.when(spill, F.array(home, home - 1)).otherwise(F.array(home))
     rows = df.withColumn("_home", home).withColumn("_blk", F.explode(both))
-    w = Window.partitionBy(*keys, "_blk").orderBy(position).rowsBetween(0, reach - 1)
+    w = Window.partitionBy(*keys, "_blk").orderBy(position)
     for name, value in values.items():
-        rows = rows.withColumn(name, F.collect_list(value).over(w))
+        if reach <= LEAD_LIMIT:
+            # Separate leads are much cheaper than re-collecting a sliding frame.
+            leads = [value, *[F.lead(value, k).over(w) for k in range(1, reach)]]
+            rows = rows.withColumn(name, F.array_compact(F.array(*leads)))
+        else:
+            rows = rows.withColumn(name, F.collect_list(value).over(w.rowsBetween(0, reach - 1)))
     return rows.where(F.col("_home") == F.col("_blk")).drop("_home", "_blk")
 
 
