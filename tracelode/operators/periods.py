@@ -44,11 +44,16 @@ def autocorrelation(numbered: DataFrame, keys: Sequence[str], value: str, max_la
         F.sum("y").alias("sy"),
         F.count(F.lit(1)).alias("m"),
     )
-    base = sums.where(F.col("lag") == 0).select(*keys, F.col("sxy").alias("s0"), F.col("sx").alias("t0"), F.col("m").alias("n"))
+    # A session has at most ``max_lag`` rows here; its lag-0 row gives size and moments.
+    w = Window.partitionBy(*keys)
+
+    def at_zero(column: str) -> Column:
+        return F.max(F.when(F.col("lag") == 0, F.col(column))).over(w)
+
+    joined = sums.withColumns({"s0": at_zero("sxy"), "t0": at_zero("sx"), "n": at_zero("m")})
     mean = F.col("t0") / F.col("n")
     centred = F.col("sxy") - mean * (F.col("sx") + F.col("sy")) + F.col("m") * mean * mean
     variance = F.col("s0") - F.col("t0") * mean
-    joined = sums.join(small_side(base), list(keys)) if keys else sums.join(F.broadcast(base))
     return joined.select(*keys, "lag", F.when(variance > 0, centred / variance).alias("r"))
 
 
