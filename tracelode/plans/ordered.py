@@ -24,7 +24,7 @@ GROUP_ROWS_CONF = "spark.tracelode.maxGroupRows"
 CHUNK_ROWS_CONF = "spark.tracelode.chunkRows"
 DEFAULT_GROUP_ROWS = 2_000_000
 DEFAULT_CHUNK_ROWS = 1_000_000
-CHUNK = "_chunk"
+CHUNK = "_ord_chunk"
 LEAD_LIMIT = 64
 
 
@@ -53,10 +53,10 @@ class Ordered:
         if self.chunked:
             rows = _setting(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
             parts = max(2, math.ceil(total / rows))
-            spread = df.withColumn("_tie", F.monotonically_increasing_id())
-            spread = spread.repartitionByRange(parts, *self.keys, *self.order, "_tie")
+            spread = df.withColumn("_ord_tie", F.monotonically_increasing_id())
+            spread = spread.repartitionByRange(parts, *self.keys, *self.order, "_ord_tie")
             df = materialize(spread.withColumn(CHUNK, F.spark_partition_id()))
-            self.order = self.order + ["_tie"]
+            self.order = self.order + ["_ord_tie"]
         self.df = df
 
     def _with(self, df: DataFrame) -> "Ordered":
@@ -74,7 +74,7 @@ class Ordered:
         return self._with(self.df.withColumn(name, value))
 
     def frame(self) -> DataFrame:
-        return self.df.drop(CHUNK, "_tie") if self.chunked else self.df
+        return self.df.drop(CHUNK, "_ord_tie") if self.chunked else self.df
 
     # -- windows ---------------------------------------------------------
     def _group(self) -> list[str]:
@@ -86,7 +86,7 @@ class Ordered:
 
     def _carry(self, summary: Column, over_chunks, reverse: bool) -> DataFrame:
         """One row per chunk that continues a group: what precedes it."""
-        per_chunk = self.df.groupBy(*self._group()).agg(summary.alias("_s"))
+        per_chunk = self.df.groupBy(*self._group()).agg(summary.alias("_ord_sum"))
         chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK)
         before = (
             Window.partitionBy(*self.keys)
@@ -94,20 +94,20 @@ class Ordered:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         return (
-            per_chunk.withColumn("_c", over_chunks(before))
-            .withColumn("_n", F.count(F.lit(1)).over(before))
-            .where(F.col("_n") > 0)
-            .select(*self._group(), "_c")
+            per_chunk.withColumn("_ord_carry", over_chunks(before))
+            .withColumn("_ord_seen", F.count(F.lit(1)).over(before))
+            .where(F.col("_ord_seen") > 0)
+            .select(*self._group(), "_ord_carry")
         )
 
     def _join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         group = self._group()
-        small = carry.select(*[F.col(c).alias(f"_k_{c}") for c in group], "_c")
-        match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group]
+        small = carry.select(*[F.col(c).alias(f"_ord_key_{c}") for c in group], "_ord_carry")
+        match = [F.col(c).eqNullSafe(F.col(f"_ord_key_{c}")) for c in group]
         condition = match[0]
         for part in match[1:]:
             condition = condition & part
-        return df.join(F.broadcast(small), condition, "left").drop(*[f"_k_{c}" for c in group])
+        return df.join(F.broadcast(small), condition, "left").drop(*[f"_ord_key_{c}" for c in group])
 
     def _edge(self, value: Column, last: bool) -> Column:
         position = F.struct(*[F.col(c) for c in self.order])
@@ -121,11 +121,11 @@ class Ordered:
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.lag(value).over(w)))
         carry = self._carry(
-            self._edge(value, last=not reverse), lambda b: F.last("_s").over(b), reverse
+            self._edge(value, last=not reverse), lambda b: F.last("_ord_sum").over(b), reverse
         )
         df = self.df.withColumn(name, F.lag(F.struct(value.alias("v"))).over(w))
         df = self._join_carry(df, carry)
-        return self._with(df.withColumn(name, F.coalesce(name, "_c")["v"]).drop("_c"))
+        return self._with(df.withColumn(name, F.coalesce(name, "_ord_carry")["v"]).drop("_ord_carry"))
 
     def with_lead(self, name: str, value: Column) -> "Ordered":
         return self.with_lag(name, value, reverse=True)
@@ -135,28 +135,28 @@ class Ordered:
         w = self._window().rowsBetween(Window.unboundedPreceding, 0)
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.sum(value).over(w)))
-        carry = self._carry(F.sum(value), lambda b: F.sum("_s").over(b), False)
+        carry = self._carry(F.sum(value), lambda b: F.sum("_ord_sum").over(b), False)
         df = self._join_carry(self.df.withColumn(name, F.sum(value).over(w)), carry)
-        total = F.coalesce(F.col(name) + F.col("_c"), F.col(name), F.col("_c"))
-        return self._with(df.withColumn(name, total).drop("_c"))
+        total = F.coalesce(F.col(name) + F.col("_ord_carry"), F.col(name), F.col("_ord_carry"))
+        return self._with(df.withColumn(name, total).drop("_ord_carry"))
 
     def with_cummax(self, name: str, value: Column) -> "Ordered":
         """Running maximum up to and including the row."""
         w = self._window().rowsBetween(Window.unboundedPreceding, 0)
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.max(value).over(w)))
-        carry = self._carry(F.max(value), lambda b: F.max("_s").over(b), False)
+        carry = self._carry(F.max(value), lambda b: F.max("_ord_sum").over(b), False)
         df = self._join_carry(self.df.withColumn(name, F.max(value).over(w)), carry)
-        return self._with(df.withColumn(name, F.greatest(name, "_c")).drop("_c"))
+        return self._with(df.withColumn(name, F.greatest(name, "_ord_carry")).drop("_ord_carry"))
 
     def with_row_number(self, name: str) -> "Ordered":
         """0-based position inside the group."""
         if not self.chunked:
             return self._with(self.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("long")))
-        carry = self._carry(F.count(F.lit(1)), lambda b: F.sum("_s").over(b), False)
+        carry = self._carry(F.count(F.lit(1)), lambda b: F.sum("_ord_sum").over(b), False)
         df = self.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("long"))
         df = self._join_carry(df, carry)
-        return self._with(df.withColumn(name, F.col(name) + F.coalesce("_c", F.lit(0))).drop("_c"))
+        return self._with(df.withColumn(name, F.col(name) + F.coalesce("_ord_carry", F.lit(0))).drop("_ord_carry"))
 
     def with_last_known(self, name: str, value: Column, reverse: bool = False) -> "Ordered":
         """Last non-null value up to and including the row (next one when ``reverse``)."""
@@ -167,10 +167,10 @@ class Ordered:
         present = F.when(value.isNotNull(), F.struct(*[F.col(c) for c in self.order]))
         pick = F.min_by if reverse else F.max_by
         carry = self._carry(
-            pick(value, present), lambda b: F.last("_s", ignorenulls=True).over(b), reverse
+            pick(value, present), lambda b: F.last("_ord_sum", ignorenulls=True).over(b), reverse
         )
         df = self._join_carry(self.df.withColumn(name, inner), carry)
-        return self._with(df.withColumn(name, F.coalesce(name, "_c")).drop("_c"))
+        return self._with(df.withColumn(name, F.coalesce(name, "_ord_carry")).drop("_ord_carry"))
 
     def with_next_known(self, name: str, value: Column) -> "Ordered":
         return self.with_last_known(name, value, reverse=True)
