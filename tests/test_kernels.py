@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelode.functions import binary
 from tracelode.operators import blocks, greedy, matching, periods, segmentation, similarity, subspace
 from tracelode.operators.consistency import streaks
-from tracelode.operators.metrics import fit_metrics
+from tracelode.operators.metrics import fit_metrics, label_times
 from tracelode.operators.sessions import sessionize
 
 
@@ -166,3 +166,16 @@ def test_warping_distance():
     exact = similarity._banded(x, y, None)[0]
     assert exact <= similarity.multilevel_dtw(x, y, 1) + 1e-9
     assert similarity.multilevel_dtw(x, y, 64) == pytest.approx(exact)
+
+
+@pytest.mark.parametrize("conf", ["spark", "chunked"])
+@pytest.mark.parametrize("most", [0, 1000])
+def test_interval_labels(request, conf, most):
+    spark = request.getfixturevalue(conf)
+    rng = random.Random(8)
+    spans = [(s, s + rng.randint(0, 40)) for s in rng.sample(range(1000), 30)]
+    times = [rng.randrange(1100) for _ in range(200)]
+    points = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i long, t long")
+    intervals = spark.createDataFrame(spans, "s long, e long")
+    got = {r["i"]: r["hit"] for r in label_times(points, "t", intervals, "s", "e", "hit", most).collect()}
+    assert got == {i: any(s <= t < e for s, e in spans) for i, t in enumerate(times)}

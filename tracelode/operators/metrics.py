@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelode.operators.alignment import asof, neighbours
 from tracelode.plans.ordered import Ordered
 from tracelode.plans.quantiles import medians, with_group
-from tracelode.plans.sizing import small_side
+from tracelode.plans.sizing import fits, small_side
 
 
 def fit_metrics(df: DataFrame, keys: Sequence[str], parsed: str, target: str) -> DataFrame:
@@ -75,11 +75,24 @@ def best_parameters(results: DataFrame, keys: Sequence[str], order: str) -> Data
     return results.groupBy(*keys).agg(F.min_by(body, F.struct((-F.col("bacc")).alias("b"), F.col(order))).alias("_b")).select(*keys, "_b.*")
 
 
-def label_times(df: DataFrame, time: str, intervals: DataFrame, start: str, end: str, name: str) -> DataFrame:
-    """True when the time lies in any half-open interval (intervals are few)."""
-    spans = intervals.agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_i"))
-    inside = F.exists("_i", lambda i: (F.col(time) >= i["a"]) & (F.col(time) < i["b"]))
-    return df.crossJoin(F.broadcast(spans)).withColumn(name, inside).drop("_i")
+def label_times(df: DataFrame, time: str, intervals: DataFrame, start: str, end: str, name: str, most: int = 1_000) -> DataFrame:
+    """True when the time lies in any half-open interval.
+
+    A measured handful of intervals travels with the scan.  More of them are put on the
+    same time axis: a point is inside when the latest end among the intervals that
+    started so far lies after it."""
+    if fits(intervals, most):
+        spans = intervals.agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_i"))
+        inside = F.exists("_i", lambda i: (F.col(time) >= i["a"]) & (F.col(time) < i["b"]))
+        return df.crossJoin(F.broadcast(spans)).withColumn(name, inside).drop("_i")
+    body = F.struct(*[F.col(c) for c in df.columns])
+    points = df.select(F.col(time).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_until"), body.alias("_row"))
+    marks = intervals.groupBy(F.col(start).alias("_at")).agg(F.max(end).alias("_until")).select(
+        "_at", F.lit(0).alias("_side"), "_until", F.lit(None).cast(points.schema["_row"].dataType).alias("_row")
+    )
+    scan = Ordered(points.unionByName(marks), [], ["_at", "_side"]).with_cummax("_open", F.col("_until")).frame()
+    rows = scan.where(F.col("_side") == 1)
+    return rows.select("_row.*", F.coalesce(F.col("_open") > F.col("_at"), F.lit(False)).alias(name))
 
 
 def window_label(start: Column, attack_start: Column, attack_end: Column) -> Column:
