@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +34,44 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
         return df
     share = math.ceil(rows / total * 1_000_000)
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(20_481)), F.lit(1_000_000)) < share)
+
+
+def scatter(records: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+    """Records of each bucket as one binary row, so that a shuffle moves few rows: (bucket, packed)."""
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order]
+    firsts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.r_[firsts[1:], len(bucket)]
+    return pd.DataFrame({"bucket": bucket[firsts].astype(np.int64), "packed": [records[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)]})
+
+
+def gathered(packed, kind: np.dtype) -> np.ndarray:
+    """The records of packed rows."""
+    return np.frombuffer(b"".join(packed), kind)
+
+
+def membership(keys: DataFrame, column: str, bits: int = 1 << 23):
+    """A filter ``keys may hold this value`` as a pandas UDF: a bitmap of ``bits`` hashed positions (1 MB), whatever the number
+    of keys.  It lets through every key and few others; an exact join follows."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    rows = (
+        keys.select(place.alias("at"))
+        .groupBy(F.bitmap_bucket_number("at").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+        .collect()
+    )
+    table = np.zeros((bits // 32_768 + 2, 4_096), np.uint8)
+    for row in rows:
+        table[row["part"]] = np.frombuffer(row["bitmap"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_hold(part: pd.Series, bit: pd.Series) -> pd.Series:
+        part, bit = part.to_numpy(), bit.to_numpy()
+        return pd.Series((shared.value[part, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
+        return df.filter(may_hold(F.bitmap_bucket_number(at), F.bitmap_bit_position(at)))
+
+    return keep

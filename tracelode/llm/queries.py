@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import packing, tokens
+from tracelode.llm import jaccard, packing, tokens
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(load(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under shingle similarity."""
+    return jaccard.jaccard_components(load(spark, folder, "documents", "doc_id", "text"))
+
+
 @query
 def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the packed training sequences."""
