@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.sources.tables import table
@@ -70,8 +70,8 @@ def membership(keys: DataFrame, column: str, bits: int = 1 << 23):
         part, bit = part.to_numpy(), bit.to_numpy()
         return pd.Series((shared.value[part, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def test(name: str) -> Column:
         at = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
-        return df.filter(may_hold(F.bitmap_bucket_number(at), F.bitmap_bit_position(at)))
+        return may_hold(F.bitmap_bucket_number(at), F.bitmap_bit_position(at))
 
-    return keep
+    return test

@@ -219,7 +219,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
                 out, size = [], 0
         yield pd.DataFrame(out, columns=["cls", "tokens"])
 
-    texts = membership(wanted, "doc")(docs, "doc_id")
+    texts = docs.filter(membership(wanted, "doc")("doc_id"))
     texts = texts.join(wanted.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     sets = materialize(shingle_sets(texts, words, rows, "cls binary, tokens array<long>").dropDuplicates(["cls"]))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
