@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import jaccard, packing, suffixes, tokens
+from tracelode.llm import jaccard, packing, suffixes, tokens, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fold."""
+    docs = load(spark, folder, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, folder, "labels", "doc_id", "toxic")))
+
+
 @query
 def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without repeated strings."""
