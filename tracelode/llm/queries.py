@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import jaccard, packing, suffixes, tokens, toxicity
+from tracelode.llm import jaccard, packing, pages, suffixes, tokens, topk, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,18 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(load(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(load(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query
+def op7_ball_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return topk.top_k(load(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under shingle similarity."""
