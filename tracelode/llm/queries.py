@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import jaccard, packing, pages, suffixes, tokens, topk, toxicity
+from tracelode.llm import jaccard, language, packing, pages, suffixes, tokens, topk, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,13 @@ def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(load(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = load(spark, folder, "documents", "doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
 @query
 def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the packed training sequences."""
