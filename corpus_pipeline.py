@@ -6,19 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import packing
+from tracelode.llm import contamination, jaccard, packing, private, toxicity
+from tracelode.llm.frames import load, small_batches
 from tracelode.session import materialize
 from tracelode.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the clause grammar does not reject."""
+    small_batches(spark)
+    return toxicity.keep_civil(docs, toxicity.fit(docs, load(spark, folder, "labels", "doc_id", "toxic")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    small_batches(spark)
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.keep_clean(docs, load(spark, folder, "benchmark", "item_id", "text"))
+
+
+def redact_private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    small_batches(spark)
+    return private.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Training sequences of what is left."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("private data", redact_private),
     ("packing", pack),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import jaccard, language, packing, pages, suffixes, tokens, topk, toxicity
+from tracelode.llm import contamination, jaccard, language, packing, pages, private, suffixes, tokens, topk, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(load(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return contamination.find_contaminated(load(spark, folder, "documents", "doc_id", "text"), load(spark, folder, "benchmark", "item_id", "text"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
@@ -43,6 +49,12 @@ def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(load(spark, folder, "pages", "page_id", "url", "html"))
 
 
+@query
+def op6_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return private.find_private(load(spark, folder, "documents", "doc_id", "text"))
+
+
 @query
 def op7_ball_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
