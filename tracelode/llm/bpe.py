@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import threading
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -18,12 +19,17 @@ from tokenizers import Tokenizer
 VOCABULARY = "byte_bpe_50k.json"
 
 # The published pattern over the characters that PLAIN admits, where \w less digits and _ is exactly the letters.
-PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Contractions come after words and numbers, which never start with their sign.
+PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 # ASCII, Latin, Greek and Cyrillic text with usual punctuation; no superscript digits, fractions or control characters.
 PLAIN = re.compile("[\t-\r -~ -±´-¸º»¿-ɏͰ-ͳ΄-ΆΈ-ΊΌΎ-ΡΣ-ҁҊ-ԯ–—‘-„•…€]*")
 
+# Bytes as the letters of the vocabulary: printable ones stand for themselves, the others for those from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
+
 LONGEST_CACHED = 64  # characters; longer pre-tokens are encoded each time
-CACHE_ENTRIES = 400_000  # of one worker; a full cache starts anew
+CACHE_ENTRIES = 700_000  # of one generation of a worker; the one before it is kept too
 
 
 class PreTokens:
@@ -31,6 +37,7 @@ class PreTokens:
 
     def __init__(self, name: str = VOCABULARY):
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.no_truncation()
         self.library.no_padding()
@@ -46,36 +53,29 @@ class PreTokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Put the unknown ones of the pre-tokens into the cache; returns those too long for it."""
-        cache = self.cache
-        missing = [p for p in pieces if p not in cache]
-        if not missing:
-            return {}
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(pieces)
-        long = {p: self.whole(p) for p in missing if len(p) > LONGEST_CACHED}
-        missing = [p for p in missing if len(p) <= LONGEST_CACHED]
-        encoded = self.library.encode(missing, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4").tobytes()
-        ends = np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(missing))) * 4
-        start = 0
-        for piece, end in zip(missing, ends.tolist(), strict=True):
-            cache[piece] = ids[start:end]
-            start = end
-        return long
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that the cache lacks; all but the long ones are kept in it."""
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        found = {p: self.older[p] for p in missing if p in self.older}
+        tokenize = self.library.model.tokenize
+        for piece in missing:
+            if piece not in found and len(piece) <= LONGEST_CACHED:
+                tokens = tokenize(piece.encode().decode("latin-1").translate(LETTERS))
+                found[piece] = array("I", [t.id for t in tokens]).tobytes()
+        self.cache.update(found)
+        return found | {p: self.whole(p) for p in missing if len(p) > LONGEST_CACHED}
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text; a null text is empty."""
         pieces = self.pieces(text) if text else []
         if pieces is None:
             return self.whole(text)
-        long = self.learn(set(pieces))
-        cache = self.cache
-        if long:
-            return b"".join([cache[p] if p in cache else long[p] for p in pieces])
-        return b"".join([cache[p] for p in pieces])
+        held = list(map(self.cache.get, pieces))
+        if None in held:
+            found = self.learn({p for p, ids in zip(pieces, held, strict=True) if ids is None})
+            held = [found[p] if ids is None else ids for p, ids in zip(pieces, held, strict=True)]
+        return b"".join(held)
 
 
 _ENCODERS: dict[str, PreTokens] = {}

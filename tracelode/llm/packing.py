@@ -16,11 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tracelode.llm.bpe import VOCABULARY, encoder
+from tracelode.llm.frames import over_batches
 
 CAPACITY = 2048
 END = 1  # id that closes a document
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     ignored.  Sequence ids are unique over the table and depend only on how the input is split."""
     last = np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         known = encoder(vocabulary)
         next_sequence = TaskContext.get().partitionId() << PARTITION_BITS
         keys: list = []
@@ -110,16 +110,15 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
         if keys:
             yield _packed(keys, ids, capacity, next_sequence)[0]
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return over_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
-def _packed(keys: list, ids: list[bytes], capacity: int, sequence: int) -> tuple[pd.DataFrame, int]:
+def _packed(keys: list, ids: list[bytes], capacity: int, sequence: int) -> tuple[dict, int]:
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     at = layout(lengths, capacity)
     checks = [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + n)]) for d, s, n in at[:, :3].tolist()]
-    names = pd.array(keys, dtype="Int64") if not all(isinstance(k, (int, np.integer)) for k in keys) else np.array(keys, np.int64)
-    out = pd.DataFrame({
-        "doc_id": names[at[:, 0]], "start": at[:, 1], "length": at[:, 2], "ids_crc32": np.array(checks, np.int64),
+    out = {
+        "doc_id": [keys[d] for d in at[:, 0].tolist()], "start": at[:, 1], "length": at[:, 2], "ids_crc32": checks,
         "doc_tokens": lengths[at[:, 0]], "sequence_id": sequence + at[:, 3], "offset": at[:, 4],
-    })
+    }
     return out, sequence + int(at[-1, 3]) + 1

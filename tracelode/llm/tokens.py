@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.bpe import VOCABULARY, encoder
+from tracelode.llm.frames import over_batches
 
 LIMIT = 1024
 FREQUENT = 50_000  # entries of the broadcast table, about 2 MB
@@ -51,12 +52,12 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     counted each; other columns are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         worker = encoder(vocabulary)
         frequent = shared.value
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+            sizes, counts = [], []
+            for text in batch["text"]:
                 text = text or ""
                 pieces = worker.pieces(text)
                 if pieces is None:
@@ -65,18 +66,20 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
                     lengths = [frequent.get(p, 0) for p in pieces]
                     count = sum(lengths)
                     if rare := [p for p, n in zip(pieces, lengths, strict=True) if not n]:
-                        long = worker.learn(set(rare))
-                        cache = worker.cache
-                        count += sum([len(cache[p] if p in cache else long[p]) for p in rare]) // 4
-                rows.append((key, len(text.encode()), count, count > limit))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_tokens", "over_limit"]).astype({"doc_id": "Int64"})
+                        held = list(map(worker.cache.get, rare))
+                        if None in held:
+                            found = worker.learn({p for p, ids in zip(rare, held, strict=True) if ids is None})
+                            held = [found[p] if ids is None else ids for p, ids in zip(rare, held, strict=True)]
+                        count += sum(map(len, held)) // 4
+                sizes.append(len(text.encode()))
+                counts.append(count)
+            yield {"doc_id": batch["doc_id"], "n_bytes": sizes, "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return over_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def frequent_lengths(docs: DataFrame, vocabulary: str) -> dict[str, int]:
     """Pre-token -> number of ids, for the pre-tokens of the frequent words as they stand after a space."""
     known = encoder(vocabulary)
     pieces = {p for word in frequent_words(docs) for p in known.pieces(" " + word) or ()}
-    known.learn(pieces)
-    return {p: len(known.cache[p]) // 4 for p in pieces if p in known.cache}
+    return {p: len(ids) // 4 for p, ids in known.learn(pieces).items()}
