@@ -135,27 +135,39 @@ def test_subspace_scores(request, conf):
     assert got["threshold"].iloc[0] == pytest.approx(expected[n - lag + 1 :].max() + 1e-6)
 
 
-def test_segmentation_is_exact():
-    rng = random.Random(11)
-    size, rows = 6, []
-    entropy = [rng.random() * 3 for _ in range(size)]
-    for start in range(size):
-        for length in range(1, size - start + 1):
-            rows.append(
-                dict(start=start, length=length, confidence=round(rng.random(), 3), is_dynamic=rng.random() > 0.3, endian=rng.choice(["big", "n/a"]),
-                     first_entropy=entropy[start], last_entropy=entropy[start + length - 1], on_block=start >= 2, block_start=0, block_end=size - 1)
-            )
-    edges = pd.DataFrame(rows)
-    best = 0.0
-    for cuts in itertools.product([0, 1], repeat=size - 1):
-        ends = [i for i, c in enumerate(cuts) if c] + [size - 1]
-        starts = [0] + [e + 1 for e in ends[:-1]]
-        fields = [next(r for r in rows if r["start"] == s and r["length"] == e - s + 1) for s, e in zip(starts, ends)]
-        mean = sum(f["confidence"] * (1.0 if f["on_block"] else 0.9) for f in fields) / len(fields)
-        pairs = [not a["is_dynamic"] or a["last_entropy"] > b["first_entropy"] for a, b in zip(fields, fields[1:])]
-        share = sum(pairs) / len(pairs) if pairs and any(f["endian"] != "n/a" for f in fields) else 0.5
-        best = max(best, 0.10 + 0.65 * mean + 0.20 * share + 0.05)
-    assert segmentation._search(edges, "big", 3)[0][0] == pytest.approx(best)
+@pytest.mark.parametrize("run", ["big", "little"])
+def test_segmentation_is_exact(run):
+    """The best answer of 200 random blocks, with one path kept for each state, against enumeration."""
+    for seed in range(200):
+        rng = random.Random(seed)
+        size, rows = 6, []
+        entropy = [rng.random() * 3 for _ in range(size)]
+        for start in range(size):
+            for length in range(1, size - start + 1):
+                rows.append(
+                    dict(start=start, length=length, confidence=round(rng.random(), 3), is_dynamic=rng.random() > 0.3, endian=rng.choice([run, "n/a", "n/a"]),
+                         first_entropy=entropy[start], last_entropy=entropy[start + length - 1], on_block=start >= 2, block_start=0, block_end=size - 1)
+                )
+        at = {(r["start"], r["length"]): r for r in rows}
+        best = 0.0
+        for cuts in itertools.product([0, 1], repeat=size - 1):
+            ends = [i for i, c in enumerate(cuts) if c] + [size - 1]
+            starts = [0] + [e + 1 for e in ends[:-1]]
+            fields = [at[s, e - s + 1] for s, e in zip(starts, ends)]
+            mean = sum(f["confidence"] * (1.0 if f["on_block"] else 0.9) for f in fields) / len(fields)
+            if run == "big":
+                pairs = [not a["is_dynamic"] or a["last_entropy"] > b["first_entropy"] for a, b in zip(fields, fields[1:])]
+            else:
+                pairs = [not b["is_dynamic"] or a["last_entropy"] < b["first_entropy"] for a, b in zip(fields, fields[1:])]
+            share = sum(pairs) / len(pairs) if pairs and any(f["endian"] != "n/a" for f in fields) else 0.5
+            best = max(best, 0.10 + 0.65 * mean + 0.20 * share + 0.05)
+        assert segmentation._search(pd.DataFrame(rows), run, 1)[0][0] == pytest.approx(best), seed
+
+
+def test_long_series_are_warped_at_full_length():
+    rng = np.random.default_rng(5)
+    x, y = rng.random(8192), rng.random(8192)
+    assert 0 < similarity.multilevel_dtw(x, y, 1) < np.abs(x - y).sum()
 
 
 def test_warping_distance():

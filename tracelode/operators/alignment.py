@@ -255,7 +255,12 @@ def expand_intervals(
     packets: DataFrame, signal: DataFrame, keys: Sequence[str], packet_time: str, signal_time: str, value: str,
     mode: str = "packet_bins", out_of_range: str = "skip", epsilon: float = 1e-9,
 ) -> DataFrame:
-    """One signal value per packet from the interval [t_i, t_i+1) it falls into."""
+    """One signal value per packet from the interval [t_i, t_i+1) it falls into.
+
+    A packet outside all intervals gets null (``skip``), the nearest value (``hold``) or
+    fails the query (``error``)."""
+    if out_of_range not in ("skip", "hold", "error"):
+        raise ValueError(f"unknown policy {out_of_range!r}")
     keys = list(keys)
     found = neighbours(packets, signal, keys, packet_time, signal_time, signal_time, [value])
     inside = F.col("prev").isNotNull() & F.col("next").isNotNull()
@@ -275,6 +280,8 @@ def expand_intervals(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     edge = F.coalesce(v0, v1) if out_of_range == "hold" else F.lit(None).cast("double")
+    if out_of_range == "error":
+        edge = F.raise_error(F.concat(F.lit("outside the signal: "), F.col(packet_time).cast("string"))).cast("double")
     out = found.withColumn("expanded", F.when(inside, F.when(flat, v0).otherwise(moved)).otherwise(edge))
     assigned = F.lit(True) if out_of_range == "hold" else inside
     return out.withColumn("assigned", assigned).withColumn("interval_start", F.when(inside, t0)).drop(

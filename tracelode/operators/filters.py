@@ -31,7 +31,8 @@ def drop_retransmissions(packets: DataFrame) -> DataFrame:
     A dropped packet must not hide later ones, which makes the rule sequential, but
     only inside packets that share endpoints, ack and payload.  Those few copies are
     streamed past two small sets; packets without a twin never leave the JVM."""
-    identity = F.xxhash64("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ack", F.md5("payload"))
+    # 256 bits: unrelated packets do not fall together at any number of packets.
+    identity = F.unhex(F.sha2(F.to_json(F.struct("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ack", F.md5("payload").alias("body"))).cast("binary"), 256))
     rows = packets.withColumn("_id", identity)
     twins = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_id")
     single = rows.join(twins, "_id", "left_anti").select(*packets.columns)

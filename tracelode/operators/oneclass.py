@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,12 +57,15 @@ _NODE = "tree int, node int, feature int, cut double, left int, right int, size
 def isolation_trees(train: DataFrame, key: str, columns: Sequence[str], trees: int = 32, sample: int = 256, seed: int = 42) -> DataFrame:
     """Forest as a node table.  Every tree draws its own hash sample of ``sample`` rows
     (the method's subsampling), so a task never sees more than that."""
-    ranked = train.select(key, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     total = train.count()
     # Hash thinning before the exact cut keeps the sort small on large inputs.
     share = min(1.0, 4.0 * sample / max(1, total))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "tree", key), F.lit(1 << 30)) / float(1 << 30)
-    thin = ranked.withColumn("_u", unit).where(F.col("_u") <= share)
+    def unit(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), tree, F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+
+    # A row is copied only for the trees that may draw it.
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: unit(tree) <= share)
+    thin = train.select(key, *columns, F.explode(drawn).alias("tree")).withColumn("_u", unit(F.col("tree")))
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +107,9 @@ def isolation_scores(df: DataFrame, forest: DataFrame, columns: Sequence[str], s
         tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "size")) for _, part in rows.groupby("tree", sort=True)
     ]
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    norm = float(_average_path(np.array([sample]))[0])
+    # Trees of fewer rows than ``sample`` are normalised by what they have.
+    grown = int(rows.loc[rows["node"] == 0, "size"].max())
+    norm = float(_average_path(np.array([min(sample, grown)]))[0])
 
     @F.pandas_udf(T.DoubleType())
     def score(data: pd.Series) -> pd.Series:

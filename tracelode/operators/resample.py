@@ -32,15 +32,17 @@ def grid(bounds: DataFrame, keys: Sequence[str], start: str, end: str, step: int
     return outer.select(*keys, F.explode(F.sequence(low, high, F.lit(step).cast("long"))).alias(name))
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], time: str, value: str, step: int, how: str) -> DataFrame:
-    """One value per step: mean, last, or mode with last as tie-break."""
+def bucketed(df: DataFrame, keys: Sequence[str], time: str, value: str, step: int, how: str, order: str | None = None) -> DataFrame:
+    """One value per step: mean, last, or mode with last as tie-break.  ``order`` tells
+    rows of one time apart; without it the greater value counts as the later one."""
+    later = F.struct(time, order or value)
     at = (F.floor(F.col(time) / step) * step).alias("t")
     if how == "mean":
         return df.groupBy(*keys, at).agg(F.avg(value).alias("v"))
     if how == "last":
-        return df.groupBy(*keys, at).agg(F.max_by(value, time).alias("v"))
+        return df.groupBy(*keys, at).agg(F.max_by(value, later).alias("v"))
     if how == "mode":
-        counts = df.groupBy(*keys, at, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max(time).alias("_l"))
+        counts = df.groupBy(*keys, at, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max(later).alias("_l"))
         return counts.groupBy(*keys, "t").agg(F.max_by("_v", F.struct("_c", "_l")).alias("v"))
     raise ValueError(f"unknown aggregation {how!r}")
 
@@ -108,11 +110,12 @@ def normalize(df: DataFrame, keys: Sequence[str], value: str, method: str, name:
     return with_group(df, stats, keys).withColumn(name, scaled).drop("_c", "_s")
 
 
-def state_rows(df: DataFrame, keys: Sequence[str], time: str, channel: str, value: str, channels: Sequence[str]) -> DataFrame:
-    """Latest value of every channel at each distinct time, once all were seen."""
+def state_rows(df: DataFrame, keys: Sequence[str], time: str, channel: str, value: str, channels: Sequence[str], order: str) -> DataFrame:
+    """Latest value of every channel at each distinct time, once all were seen; of
+    several at one time, the one that ``order`` puts last."""
     keys = list(keys)
     per_time = df.groupBy(*keys, time).agg(
-        *[F.max(F.when(F.col(channel) == c, F.col(value))).alias(c) for c in channels]
+        *[F.max_by(value, F.when(F.col(channel) == c, F.col(order))).alias(c) for c in channels]
     )
     scan = Ordered(per_time, keys, [time])
     for c in channels:
@@ -127,9 +130,9 @@ def state_map(df: DataFrame, channels: Sequence[str]) -> Column:
     return F.create_map(*[part for c in channels for part in (F.lit(c), F.col(c))])
 
 
-def per_second_last(df: DataFrame, keys: Sequence[str], time: str, value: str, unit: int = 1_000_000) -> DataFrame:
-    """Last value in every whole second."""
-    return df.groupBy(*keys, F.floor(F.col(time) / unit).alias("sec")).agg(F.max_by(value, time).alias(value))
+def per_second_last(df: DataFrame, keys: Sequence[str], time: str, value: str, order: str, unit: int = 1_000_000) -> DataFrame:
+    """Last value in every whole second; ``order`` tells rows of one time apart."""
+    return df.groupBy(*keys, F.floor(F.col(time) / unit).alias("sec")).agg(F.max_by(value, F.struct(time, order)).alias(value))
 
 
 def sampling_interval(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:

@@ -51,37 +51,43 @@ def _search(edges: pd.DataFrame, run: str, keep: int) -> list[tuple[float, list[
     for i, s in enumerate(rows["start"]):
         starting.setdefault(int(s), []).append(i)
     columns = {c: rows[c].tolist() for c in ("length", "confidence", "is_dynamic", "endian", "first_entropy", "last_entropy", "on_block")}
-    size = end - begin + 1
-    found: list[tuple[float, list[int]]] = []
-    for count in range(1, size + 1):
-        # state: position -> {(last edge static, byte order seen): [(value, path)]}
+    worth = [CONFIDENCE * c * (1.0 if on else OFF_BLOCK) for c, on in zip(columns["confidence"], columns["on_block"])]
+    ordered = [e != "n/a" for e in columns["endian"]]
+
+    def layers(count: int, entropy: bool, usable) -> dict:
+        """Best paths of ``count`` usable fields to the block's end by state; a state is
+        (last field static, byte order seen), which with the position decides every gain
+        to come."""
         layer = {begin: {(None, False): [(0.0, [])]}}
         for _ in range(count):
             following: dict[int, dict] = {}
             for position, states in layer.items():
                 for (static, seen), paths in states.items():
                     for i in starting.get(position, []):
+                        if not usable(i):
+                            continue
                         now_static = not columns["is_dynamic"][i]
-                        gain = CONFIDENCE / count * columns["confidence"][i] * (1.0 if columns["on_block"][i] else OFF_BLOCK)
+                        slot = following.setdefault(position + int(columns["length"][i]), {}).setdefault((now_static, seen or ordered[i]), [])
                         for value, path in paths:
-                            extra = gain
-                            if path:
-                                ok = _pair_ok(run, static, now_static, columns["last_entropy"][path[-1]], columns["first_entropy"][i])
-                                extra += ENTROPY / (count - 1) * ok
-                            state = (now_static, seen or columns["endian"][i] != "n/a")
-                            slot = following.setdefault(position + int(columns["length"][i]), {}).setdefault(state, [])
+                            extra = worth[i] / count
+                            if path and entropy:
+                                extra += ENTROPY / (count - 1) * _pair_ok(run, static, now_static, columns["last_entropy"][path[-1]], columns["first_entropy"][i])
                             slot.append((value + extra, path + [i]))
             layer = {
                 p: {s: sorted(v, key=lambda x: (-x[0], x[1]))[:keep] for s, v in states.items()} for p, states in following.items()
             }
-        for (_, seen), paths in layer.get(end + 1, {}).items():
-            for value, path in paths:
-                if count == 1 or not seen:
-                    # No comparable pair: the entropy share is fixed at one half.
-                    value = CONFIDENCE / count * sum(
-                        columns["confidence"][i] * (1.0 if columns["on_block"][i] else OFF_BLOCK) for i in path
-                    ) + ENTROPY * 0.5
-                found.append((value + COVERAGE + COMPLETE, path))
+        return layer.get(end + 1, {})
+
+    found: list[tuple[float, list[int]]] = []
+    for count in range(1, end - begin + 2):
+        if count > 1:
+            # Paths with a byte order: pairs count.
+            for (_, seen), paths in layers(count, True, lambda i: True).items():
+                found += [(value + COVERAGE + COMPLETE, path) for value, path in paths if seen]
+        # Without a comparable pair the entropy share is fixed at one half, so these are
+        # ranked by their confidences alone.
+        for paths in layers(count, False, lambda i, one=count == 1: one or not ordered[i]).values():
+            found += [(value + ENTROPY * 0.5 + COVERAGE + COMPLETE, path) for value, path in paths]
     found.sort(key=lambda x: (-x[0], x[1]))
     return found[:keep]
 

@@ -133,23 +133,21 @@ def precision_k(left: DataFrame, right: DataFrame, pair: DataFrame, keys: Sequen
     return rows.groupBy(*keys).agg((F.count_if(F.col("_d") <= F.col("_eps")) / F.count(F.lit(1))).alias("precision_k"))
 
 
-def dtw_similarity(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: int = 1, longest: int = 4096) -> DataFrame:
+def dtw_similarity(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: int = 1) -> DataFrame:
     """exp(-3 * distance / length) of min-max scaled series under multilevel DTW.
 
-    A series longer than ``longest`` is first averaged over equal runs by Spark (all
-    rows count), which is the coarser level the multilevel method itself uses, so a
-    task holds at most two short arrays."""
+    Both series of a pair meet in one task at full length, as warping is sequential;
+    the method keeps a few cells for each point, so memory grows with their length."""
     keys = list(keys)
 
-    def shrink(series: DataFrame, side: str) -> DataFrame:
-        n = series.groupBy(*keys).agg((F.max("i") + 1).alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-        run = F.ceil(F.col("_n") / longest)
+    def scaled(series: DataFrame, side: str) -> DataFrame:
+        n = series.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
         unit = F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-        rows = series.join(n, keys).groupBy(*keys, F.floor(F.col("i") / run).alias("j")).agg(F.avg(unit).alias("u"))
-        packed = F.transform(F.array_sort(F.collect_list(F.struct("j", "u"))), lambda e: e["u"])
+        rows = series.join(n, keys).select(*keys, "i", unit.alias("u"))
+        packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda e: e["u"])
         return rows.groupBy(*keys).agg(packed.alias(side))
 
-    pairs = shrink(left, "a").join(shrink(right, "b"), keys)
+    pairs = scaled(left, "a").join(scaled(right, "b"), keys)
 
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -163,20 +161,35 @@ def dtw_similarity(left: DataFrame, right: DataFrame, keys: Sequence[str], radiu
 
 
 def _banded(x: np.ndarray, y: np.ndarray, cells: dict[int, tuple[int, int]] | None):
-    """Cheapest warping path inside per-row column ranges."""
+    """Cheapest warping path inside per-row column ranges; only those cells are kept."""
     n, m = len(x), len(y)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0.0
-    for i in range(n):
-        lo, hi = cells[i] if cells is not None else (0, m - 1)
+    inf = float("inf")
+    ranges = [cells[i] if cells is not None else (0, m - 1) for i in range(n)]
+    rows: list[list[float]] = []
+
+    def at(i: int, j: int) -> float:
+        if i < 0 or j < 0:
+            return 0.0 if i == j == -1 else inf
+        lo, hi = ranges[i]
+        return rows[i][j - lo] if lo <= j <= hi else inf
+
+    ys = y.tolist()
+    for i, value in enumerate(x.tolist()):
+        lo, hi = ranges[i]
+        row: list[float] = []
+        rows.append(row)
+        before = at(i, lo - 1)
+        corner = at(i - 1, lo - 1)
         for j in range(lo, hi + 1):
-            cost[i + 1, j + 1] = abs(x[i] - y[j]) + min(cost[i, j + 1], cost[i + 1, j], cost[i, j])
-    path, i, j = [], n, m
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        steps = ((cost[i - 1, j], i - 1, j), (cost[i, j - 1], i, j - 1), (cost[i - 1, j - 1], i - 1, j - 1))
-        _, i, j = min(steps, key=lambda s: s[0])
-    return cost[n, m], path[::-1]
+            above = at(i - 1, j)
+            before = abs(value - ys[j]) + min(before, above, corner)
+            row.append(before)
+            corner = above
+    path, i, j = [], n - 1, m - 1
+    while i >= 0 and j >= 0:
+        path.append((i, j))
+        _, i, j = min(((at(i - 1, j), i - 1, j), (at(i, j - 1), i, j - 1), (at(i - 1, j - 1), i - 1, j - 1)), key=lambda s: s[0])
+    return at(n - 1, m - 1), path[::-1]
 
 
 def multilevel_dtw(x: np.ndarray, y: np.ndarray, radius: int) -> float:

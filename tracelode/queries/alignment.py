@@ -289,7 +289,7 @@ def common_grid(spark, folder):
     "select user_id, epoch_us(ts) // 1000000 as sec, arg_max(value, epoch_us(ts)) as value from events group by 1, 2",
 )
 def per_second_last(spark, folder):
-    return resample.per_second_last(events(spark, folder, "user_id", "value"), KEYS, "ts_us", "value")
+    return resample.per_second_last(events(spark, folder, "event_id", "user_id", "value"), KEYS, "ts_us", "value", "event_id")
 
 
 @query(
@@ -361,8 +361,8 @@ def series_quantiles(spark, folder):
 
 
 STATE = """
-with p as (select user_id, epoch_us(ts) as ts_us, max(case when event_type = 'click' then value end) as click, max(case when event_type = 'view' then value end) as view,
-             max(case when event_type = 'error' then value end) as error from events group by 1, 2),
+with p as (select user_id, epoch_us(ts) as ts_us, arg_max(value, event_id) filter (event_type = 'click') as click, arg_max(value, event_id) filter (event_type = 'view') as view,
+             arg_max(value, event_id) filter (event_type = 'error') as error from events group by 1, 2),
 f as (select user_id, ts_us, last_value(click ignore nulls) over w as click, last_value(view ignore nulls) over w as view, last_value(error ignore nulls) over w as error
       from p window w as (partition by user_id order by ts_us))
 """
@@ -370,8 +370,8 @@ f as (select user_id, ts_us, last_value(click ignore nulls) over w as click, las
 
 @query("state_rows", STATE + "select * from f where click is not null and view is not null and error is not null")
 def state_rows(spark, folder):
-    ev = events(spark, folder, "user_id", "event_type", "value")
-    return resample.state_rows(ev, KEYS, "ts_us", "event_type", "value", ["click", "view", "error"])
+    ev = events(spark, folder, "event_id", "user_id", "event_type", "value")
+    return resample.state_rows(ev, KEYS, "ts_us", "event_type", "value", ["click", "view", "error"], "event_id")
 
 
 @query(

@@ -201,10 +201,10 @@ def fill_majority(spark, folder):
 
 @query(
     "whole_numbers",
-    "select l_orderkey, l_linenumber, cast(l_quantity as bigint) as l_quantity, l_discount, cast(l_extendedprice * 100 as double) as cents from lineitem where l_returnflag = 'R'",
+    "select l_orderkey, l_linenumber, cast(l_quantity as bigint) as l_quantity, l_discount, cast(l_extendedprice * 100 as double) as cents from lineitem",
 )
 def whole_numbers(spark, folder):
-    rows = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
+    rows = table(spark, folder, "lineitem")
     fixed = profiling.whole_numbers(rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"), ["l_quantity", "l_discount"])
     return fixed.withColumn("cents", F.col("l_extendedprice") * 100).drop("l_extendedprice")
 
@@ -325,7 +325,7 @@ def similarity_weighted(spark, folder):
 
 @query(
     "similarity_windows",
-    """with a0 as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as v from events where event_type = 'click' and value < 150),
+    """with a0 as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as v from events where event_type = 'click'),
     b0 as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as v from events where event_type <> 'click'),
     n as (select user_id, la, lb from (select user_id, count(*) as la from a0 group by 1) join (select user_id, count(*) as lb from b0 group by 1) using (user_id)),
     p as (select *, least(la, lb) as w, greatest(la, lb) as g, greatest(1, (greatest(la, lb) - least(la, lb) + 1) // least(10, greatest(la, lb) - least(la, lb) + 1)) as st from n),
@@ -341,7 +341,7 @@ def similarity_windows(spark, folder):
     def side(rows):
         return Ordered(rows, KEYS, ["ts_us", "event_id"]).with_row_number("i").frame().select("user_id", "i", F.col("value").alias("v"))
 
-    left = side(ev.where((F.col("event_type") == "click") & (F.col("value") < 150)))
+    left = side(ev.where(F.col("event_type") == "click"))
     right = side(ev.where(F.col("event_type") != "click"))
     a, b = similarity.sliding_pairs(left, right, KEYS)
     sums = similarity.positional(a, b, [*KEYS, "window"])

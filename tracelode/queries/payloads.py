@@ -173,14 +173,14 @@ def range_coverage(spark, folder):
 @query(
     "field_block_overlap",
     """with f as (select distinct l_suppkey as session, cast(l_partkey as int) as start_pos, cast(l_partkey as int) + 3 as end_pos from lineitem),
-    b as (select distinct l_suppkey as session, cast(l_partkey as int) * 2 as s, cast(l_partkey as int) * 2 + cast(l_quantity as int) as e from lineitem where l_returnflag = 'A')
+    b as (select distinct l_suppkey as session, cast(l_partkey as int) * 2 as s, cast(l_partkey as int) * 2 + cast(l_quantity as int) as e from lineitem)
     select * from f where exists (select 1 from b where b.session = f.session and f.start_pos <= b.e and f.end_pos >= b.s)""",
 )
 def field_block_overlap(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("session", F.col("l_suppkey"))
     part = F.col("l_partkey").cast("int")
     fields = lines.select("session", part.alias("start_pos"), (part + 3).alias("end_pos")).distinct()
-    found = lines.where(F.col("l_returnflag") == "A").select(
+    found = lines.select(
         "session", (part * 2).alias("start_position"), (part * 2 + F.col("l_quantity").cast("int")).alias("end_position")
     ).distinct()
     return blocks.intersecting(fields, found, KEYS)

@@ -27,9 +27,18 @@ def window_alarms(stream: DataFrame, keys: Sequence[str], time: str, size: str,
     )
 
 
-def pattern_matches(stream: DataFrame, key: str, time: str, token: str, pattern: Sequence[str], late: str) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+
+
+def pattern_matches(
+    stream: DataFrame, key: str, time: str, token: str, pattern: Sequence[str], late: str, idle_ms: int | None = None
+) -> DataFrame:
     """Online matcher: advance on the expected token; on a mismatch start over and try the
-    same token as the first one.  Emits (key, start_ts, end_ts) per complete match."""
+    same token as the first one.  Emits (key, start_ts, end_ts) per complete match.
+
+    A key's place in the pattern is kept until ``idle_ms`` of event time pass without a
+    row of it, for ever if that is None."""
     wanted = list(pattern)
     kind = stream.schema[key].dataType.simpleString()
 
@@ -51,20 +60,22 @@ def pattern_matches(stream: DataFrame, key: str, time: str, token: str, pattern:
                     found.append((group[0], start, seconds))
                     at = 0
         state.update((at, float(start)))
-        state.setTimeoutTimestamp(int(rows[time].max().timestamp() * 1000) + 3_600_000)
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(int(rows[time].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame(found, columns=[key, "start_ts", "end_ts"])
 
     return (
         stream.withWatermark(time, late)
         .groupBy(key)
         .applyInPandasWithState(
-            match, f"{key} {kind}, start_ts double, end_ts double", "at int, start double", "append", GroupStateTimeout.EventTimeTimeout
+            match, f"{key} {kind}, start_ts double, end_ts double", "at int, start double", "append", _timeout(idle_ms)
         )
     )
 
 
-def gated_alarms(stream: DataFrame, key: str, time: str, alarm: str, needed: int, late: str) -> DataFrame:
-    """Rows whose alarm streak reached ``needed``; the streak is the only state."""
+def gated_alarms(stream: DataFrame, key: str, time: str, alarm: str, needed: int, late: str, idle_ms: int | None = None) -> DataFrame:
+    """Rows whose alarm streak reached ``needed``; the streak is the only state, kept
+    until ``idle_ms`` of event time pass without a row of the key, for ever if None."""
     kind = stream.schema[key].dataType.simpleString()
 
     def gate(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,11 +90,12 @@ def gated_alarms(stream: DataFrame, key: str, time: str, alarm: str, needed: int
             if streak >= needed:
                 out.append((group[0], pd.Timestamp(stamp).timestamp(), streak))
         state.update((streak,))
-        state.setTimeoutTimestamp(int(rows[time].max().timestamp() * 1000) + 3_600_000)
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(int(rows[time].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame(out, columns=[key, "ts", "streak"])
 
     return (
         stream.withWatermark(time, late)
         .groupBy(key)
-        .applyInPandasWithState(gate, f"{key} {kind}, ts double, streak int", "streak int", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(gate, f"{key} {kind}, ts double, streak int", "streak int", "append", _timeout(idle_ms))
     )
