@@ -462,11 +462,11 @@ def cumulative_time_split(spark, folder):
 
 @query(
     "combine_sessions",
-    """with c as (select user_id, epoch_us(ts) // 604800000000 as capture, arg_min(event_type, event_id) as pattern, count(*) as n from events group by 1, 2),
-    g as (select user_id, count(distinct capture) as captures from c where capture < 2819 group by 1 having count(distinct pattern) = 1 and count(*) filter (pattern is null) = 0)
-    select user_id, capture, pattern, n, captures from c join g using (user_id) where capture < 2819""",
+    """with c as (select user_id, epoch_us(ts) // 1296000000000 as capture, arg_min(event_type, event_id) as pattern, count(*) as n from events group by 1, 2),
+    g as (select user_id, count(distinct capture) as captures from c group by 1 having count(distinct pattern) = 1 and count(*) filter (pattern is null) = 0)
+    select user_id, capture, pattern, n, captures from c join g using (user_id)""",
 )
 def combine_sessions(spark, folder):
-    ev = events(spark, folder, "event_id", "user_id", "event_type").withColumn("capture", F.floor(F.col("ts_us") / 604800000000))
+    ev = events(spark, folder, "event_id", "user_id", "event_type").withColumn("capture", F.floor(F.col("ts_us") / 1296000000000))
     per = ev.groupBy("user_id", "capture").agg(F.min_by("event_type", "event_id").alias("pattern"), F.count(F.lit(1)).alias("n"))
-    return blocks.combine_sessions(per.where(F.col("capture") < 2819), "user_id", "pattern", "capture")
+    return blocks.combine_sessions(per, "user_id", "pattern", "capture")

@@ -193,15 +193,18 @@ CANDIDATE_SQL = (
 )
 
 
-@query("ngram_candidates", _gram_sql([1, 2, 3]) + CANDIDATE_SQL + "select * from cand")
+SIZES = list(range(1, 21))
+
+
+@query("ngram_candidates", _gram_sql(SIZES) + CANDIDATE_SQL + "select * from cand")
 def ngram_candidates(spark, folder):
     numbered = patterns.positions(tokens(spark, folder), KEYS, ORDER)
-    grams = patterns.ngrams(numbered, KEYS, "token", [1, 2, 3])
+    grams = patterns.ngrams(numbered, KEYS, "token", SIZES)
     return patterns.candidates(grams, patterns.session_lengths(numbered, KEYS), KEYS, 0.2, "S")
 
 
 # Greedy selection in SQL: follow the first match that starts after the last one ends.
-GREEDY_SQL = _gram_sql([1, 2, 3], "event_type").replace("with ev as", "with recursive ev as") + """,
+GREEDY_SQL = _gram_sql(SIZES, "event_type").replace("with ev as", "with recursive ev as") + """,
     cand as (select user_id, size, gram, min(pos) as start_pos from grams join lens using (user_id)
              where gram like 'e%' and pos < floor(n * 0.2) group by 1, 2, 3),
     hits as (select g.user_id, g.size, g.gram, g.pos, c.start_pos from grams g join cand c using (user_id, size, gram)),
@@ -218,7 +221,7 @@ GREEDY_SQL = _gram_sql([1, 2, 3], "event_type").replace("with ev as", "with recu
 
 def _rates(spark, folder):
     return patterns.frequent_patterns(
-        events(spark, folder, "event_id", "user_id", "event_type"), KEYS, ORDER, "event_type", [1, 2, 3], 0.2, "e"
+        events(spark, folder, "event_id", "user_id", "event_type"), KEYS, ORDER, "event_type", SIZES, 0.2, "e"
     )
 
 
