@@ -501,7 +501,7 @@ def split_by_count(spark, folder):
 # The event order is random, so the published thresholds find nothing here; the
 # relaxed ones exercise the whole search.
 LOOSE = periods.PeriodConfig(
-    autocorr_threshold=0.05, max_lag=8, min_segments=3, similarity_threshold=0.5, time_jitter_ratio=5.0,
+    autocorr_threshold=0.05, max_lag=40, min_segments=3, similarity_threshold=0.5, time_jitter_ratio=5.0,
     coverage_threshold=0.2, start_prefix="C",
 )
 
