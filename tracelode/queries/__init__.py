@@ -11,6 +11,7 @@ FAMILIES = (
     "matching",
     "detection",
     "inference",
+    "views",
 )
 
 for _family in FAMILIES:
