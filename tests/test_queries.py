@@ -11,7 +11,7 @@ from tracelode.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = [
-    "sessionize_gap", "stream_sessions", "acf_by_lag", "ngram_greedy_rate", "pattern_members", "asof_nearest", "window_value_match",
+    "dense_view", "parsed_times", "solution_scores", "sessionize_gap", "stream_sessions", "acf_by_lag", "ngram_greedy_rate", "pattern_members", "asof_nearest", "window_value_match",
     "resample_interp", "fill_majority", "byte_entropy", "static_gaps", "decode_floats", "column_profile", "similarity_precision3",
     "greedy_assignment", "alarm_hold", "vote_fusion", "window_confusion", "confusion_rollup", "label_perturbation",
 ]

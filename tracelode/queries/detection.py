@@ -647,7 +647,23 @@ def subspace_first_alarms(spark, folder):
     return subspace.first_alarms(flagged, "channel", "t", 1705000000000000, 1706400000000000)
 
 
-@query("envelope_outliers")
+# The squared distance is the sum of squared residuals of each column after those before it, over their variances.
+ENVELOPE = """with l as (select l_quantity as a, l_extendedprice as b, l_discount as c, l_tax as e, l_returnflag as f from lineitem),
+m as (select avg(a) as ma, avg(b) as mb, avg(c) as mc, avg(e) as me from l where f = 'A'),
+y1 as (select f, a - ma as z1, b - mb as b0, c - mc as c0, e - me as e0 from l, m),
+p1 as (select avg(z1 * z1) as v1, avg(b0 * z1) as sb, avg(c0 * z1) as sc, avg(e0 * z1) as se from y1 where f = 'A'),
+y2 as (select f, z1, v1, b0 - sb / v1 * z1 as z2, c0 - sc / v1 * z1 as c1, e0 - se / v1 * z1 as e1 from y1, p1),
+p2 as (select avg(z2 * z2) as v2, avg(c1 * z2) as sc, avg(e1 * z2) as se from y2 where f = 'A'),
+y3 as (select f, z1, v1, z2, v2, c1 - sc / v2 * z2 as z3, e1 - se / v2 * z2 as e2 from y2, p2),
+p3 as (select avg(z3 * z3) as v3, avg(e2 * z3) as se from y3 where f = 'A'),
+y4 as (select f, z1, v1, z2, v2, z3, v3, e2 - se / v3 * z3 as z4 from y3, p3),
+p4 as (select avg(z4 * z4) as v4 from y4 where f = 'A'),
+d as (select f, z1 * z1 / v1 + z2 * z2 / v2 + z3 * z3 / v3 + z4 * z4 / v4 as d from y4, p4),
+t as (select quantile_cont(d, 0.99) as t from d where f = 'A')
+select f as l_returnflag, count(*) as n, count(*) filter (d > t) as outliers from d, t group by 1"""
+
+
+@query("envelope_outliers", ENVELOPE)
 def envelope_outliers(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -401,12 +401,40 @@ def claim_table(spark, folder):
     )
 
 
-@query("column_claims")
+def _claims_sql(name: str, limit: float, rounds: int = 6) -> str:
+    """Rounds of claims written out; every round settles a field, and there are five."""
+    parts = [f"{name}_r0 as (select session, \"column\", field, score from base where score > {limit})"]
+    for k in range(1, rounds + 1):
+        w, v, r, before = f"{name}_w{k}", f"{name}_v{k}", f"{name}_r{k}", f"{name}_r{k - 1}"
+        parts += [
+            f"{w} as (select session, \"column\", arg_min(field, (-score, field)) as field, max(score) as score from {before} group by 1, 2)",
+            f"{v} as (select session, arg_min(\"column\", (-score, \"column\")) as \"column\", field, max(score) as score, count(*) as n from {w} group by 1, 3)",
+            f"""{r} as (select * from {before} b where session in (select session from {v} where n > 1)
+                and not exists (select 1 from {v} v where v.session = b.session and (v."column" = b."column" or v.field = b.field)))""",
+        ]
+    union = " union all ".join(f"select session, \"column\", field, score from {name}_v{k}" for k in range(1, rounds + 1))
+    return ", ".join([*parts, f"{name} as ({union})"])
+
+
+CLAIM_BASE = """with base as (select c_nationkey % 5 as session, 'col' || lpad(cast(c_nationkey as varchar), 2, '0') as "column", c_mktsegment as field,
+    round(avg(c_acctbal) / 10000, 6) as score from customer group by c_nationkey, c_mktsegment), """
+
+
+@query("column_claims", CLAIM_BASE + _claims_sql("won", 0.4) + " select * from won")
 def column_claims(spark, folder):
     return matching.column_claims(claim_table(spark, folder), ["session"], "column", "field", "score", "threshold")
 
 
-@query("solution_scores")
+@query(
+    "solution_scores",
+    CLAIM_BASE + _claims_sql("low", 0.4) + ", " + _claims_sql("high", 0.45)
+    + """, t as (select session, count(distinct "column") as columns from base group by 1),
+    m as (select session, solution, avg(score) as avg_score, count(*) as matched, any_value(reward) as reward
+          from (select *, 0 as solution, 0.6 as reward from low union all select *, 1, 0.7 from high) group by 1, 2),
+    s as (select m.*, columns, 0.7 * (avg_score * 0.7 + matched / columns * 0.3) + 0.3 * reward as total_score from m join t using (session))
+    select session, solution, round(avg_score, 7) as avg_score, matched, cast(reward as double) as reward, columns, round(total_score, 7) as total_score
+    from (select *, row_number() over (partition by session order by total_score desc, solution) as rk from s) where rk = 1""",
+)
 def solution_scores(spark, folder):
     """Best of two candidate thresholds ("solutions") per session by the blended score."""
     table_ = claim_table(spark, folder)
@@ -415,10 +443,16 @@ def solution_scores(spark, folder):
         won = matching.column_claims(table_.withColumn("threshold", F.lit(limit)), ["session"], "column", "field", "score", "threshold")
         parts.append(won.withColumn("solution", F.lit(name)).withColumn("reward", F.lit(reward)))
     totals = table_.groupBy("session").agg(F.countDistinct("column").alias("columns"))
-    return matching.best_solutions(parts[0].unionByName(parts[1]), totals, ["session"], "solution", "score", "reward")
+    best = matching.best_solutions(parts[0].unionByName(parts[1]), totals, ["session"], "solution", "score", "reward")
+    return best.withColumns({c: F.round(c, 7) for c in ("avg_score", "total_score")})
 
 
-@query("unmatched_columns")
+@query(
+    "unmatched_columns",
+    CLAIM_BASE + _claims_sql("won", 0.4)
+    + """ select session, "column", arg_max(field, (score, field)) as best_field, max(score) as best_score from base b
+    where not exists (select 1 from won w where w.session = b.session and w."column" = b."column") group by 1, 2""",
+)
 def unmatched_columns(spark, folder):
     rows = claim_table(spark, folder)
     won = matching.column_claims(rows, ["session"], "column", "field", "score", "threshold")
