@@ -12,10 +12,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.llm.frames import ddl
 from tracelode.session import materialize
 
 ERROR_RATE = 0.05  # edits allowed for each character of an item
@@ -122,30 +123,29 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, sho
     """``docs`` with ``_items``, the benchmark items each text holds, as item:distance in item order.
 
     Several texts of one item_id count as one item each; the least distance is reported."""
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = docs.columns.index("text")
     out = docs.withColumn("_items", F.array().cast("array<string>"))
-    blocks = item_blocks(benchmark)
-    for number, block in enumerate(blocks):
+    last = len(docs.columns)
+    for passes, block in enumerate(item_blocks(benchmark)):
         rows = [(row["item_id"], plain(row["text"])) for row in block.collect()]
         items = [(k, text) for k, (_, text) in enumerate(rows) if len(text) >= shortest]
         shared = docs.sparkSession.sparkContext.broadcast((items, [key for key, _ in rows]))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, keys = shared.value
             matcher = Matcher(items, rate)
             for batch in batches:
                 held = []
-                for text, before in zip(batch["text"], batch["_items"], strict=True):
+                for text, before in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
                     best = {int(k): int(d) for k, d in (x.split(":") for x in before)}
-                    for at, distance in matcher.match(plain(text)):
-                        best[keys[at]] = min(distance, best.get(keys[at], distance))
+                    for number, distance in matcher.match(plain(text)):
+                        best[keys[number]] = min(distance, best.get(keys[number], distance))
                     held.append([f"{k}:{d}" for k, d in sorted(best.items())])
-                yield batch[names].assign(_items=pd.Series(held, dtype=object, index=batch.index))
+                yield batch.set_column(last, batch.schema.field(last), pa.array(held, pa.list_(pa.string())))
 
-        if number:
+        if passes:
             out = materialize(out)
-        out = out.mapInPandas(run, f"{kinds}, _items array<string>")
+        out = out.mapInArrow(run, ddl(docs, "_items array<string>"))
     return out
 
 

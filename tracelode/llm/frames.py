@@ -3,21 +3,54 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from tracelode.sources.tables import table
 
 
+ARROW_ROWS = 1_000  # rows of whole texts a Python worker gets at a time
+
+
 def load(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; texts are read whole."""
+    small_batches(spark)
     return table(spark, folder, name).select(*columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get whole texts in small batches, so that memory does not depend on how long texts are on average."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def over_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over an iterator of batches as dicts of lists, giving batches of the ``schema``.  Values pass through Arrow as they
+    are: long ids stay exact beside nulls."""
+    fields = to_arrow_schema(DataType.fromDDL(schema))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ({name: batch.column(k).to_pylist() for k, name in enumerate(names)} for batch in batches if batch.num_rows)
+        for out in fn(rows):
+            yield pa.RecordBatch.from_pydict(out, fields)
+
+    return df.mapInArrow(run, schema)
+
+
+def ddl(df: DataFrame, *more: str) -> str:
+    """Schema text of all columns of ``df``, then ``more``."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions a shuffle of this session's size gets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -45,11 +78,6 @@ def scatter(records: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket[firsts].astype(np.int64), "packed": [records[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)]})
 
 
-def gathered(packed, kind: np.dtype) -> np.ndarray:
-    """The records of packed rows."""
-    return np.frombuffer(b"".join(packed), kind)
-
-
 def membership(keys: DataFrame, column: str, bits: int = 1 << 23):
     """A filter ``keys may hold this value`` as a pandas UDF: a bitmap of ``bits`` hashed positions (1 MB), whatever the number
     of keys.  It lets through every key and few others; an exact join follows."""

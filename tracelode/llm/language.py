@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import bounded_sample, held_out
+from tracelode.llm.frames import bounded_sample, held_out, over_batches
 from tracelode.session import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.pieces, _table(model.probabilities)))
     languages, priors = model.languages, model.priors
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         names, table = shared.value
         lattice = Lattice(names)
         known: dict[str, int] = {}
@@ -235,9 +235,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     values.append(value)
                     labels.append(label)
                 at = end
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], "Int64"), "lang_pred": labels, "score": np.array(values, np.float64)})
+            yield {"doc_id": batch["doc_id"], "lang_pred": labels, "score": values}
 
-    found = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    found = over_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
     return found.withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT)).select("doc_id", "held_out", "lang_pred", "score")
 
 

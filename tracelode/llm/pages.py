@@ -12,9 +12,10 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from tracelode.llm.frames import over_batches
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Fixed lists of element names and of words in class, id and role attributes.
@@ -275,11 +276,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, or one without text, has the empty text; broken and cut markup is read as far as it goes; a page
     of any length is read whole; repeated rows are extracted each; other columns are ignored; an empty table gives no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out = batch[["page_id", "url"]].copy()
-            out["text"] = [main_text(page) for page in batch["html"]]
-            out["n_chars"] = [len(t) for t in out["text"]]
-            yield out.astype({"page_id": "Int64"})
+            texts = [main_text(page) for page in batch["html"]]
+            yield {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+    return over_batches(pages.select("page_id", "url", "html"), run, SCHEMA)

@@ -14,11 +14,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import membership
+from tracelode.llm.frames import membership, over_batches
 from tracelode.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,19 +139,21 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 def instances(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, digest and spans, and its instances; texts are read once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             rows = []
-            for key, name, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
+            for text in batch["text"]:
                 text = text or ""
                 spans = base_spans(text)
                 base = _join(spans)
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                rows.append((key, name, *counts, hashlib.sha256(base.encode()).hexdigest(), base, candidates(text, spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"]).astype({"doc_id": "Int64"})
+                found = [dict(zip(("start", "end", "value", "known", "patterns"), c, strict=True)) for c in candidates(text, spans)]
+                rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), base, found))
+            names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found")
+            yield {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"]} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return named.mapInPandas(run, ROW_SCHEMA)
+    return over_batches(named, run, ROW_SCHEMA)
 
 
 def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -193,19 +195,19 @@ def find_private(docs: DataFrame) -> DataFrame:
     rows = materialize(instances(docs.select("doc_id", "text")))
     extra = learned_spans(rows).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "extra")
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             spans = []
             for base, more in zip(batch["base"], batch["extra"], strict=True):
-                if more is None or not len(more):
+                if not more:
                     spans.append(base)
                     continue
                 held = [(int(s), (*KINDS, LEARNED).index(k), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
-                spans.append(_join(sorted(held + [(int(m["start"]), 4, int(m["end"])) for m in more])))
-            yield batch.assign(spans=spans)[["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]].astype({"doc_id": "Int64"})
+                spans.append(_join(sorted(held + [(m["start"], 4, m["end"]) for m in more])))
+            yield {name: batch[name] for name in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")} | {"spans": spans}
 
     both = rows.drop("found").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left").drop("d", "h", "text_hash")
-    return both.mapInPandas(joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return over_batches(both, joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -218,22 +220,26 @@ def redact(docs: DataFrame) -> DataFrame:
     marked = named.filter(held("_text")).join(extra, same, "left").select(*docs.columns, "_extra")
     plain = named.filter(~held("_text")).select(*docs.columns, F.lit(None).cast(extra.schema["_extra"].dataType).alias("_extra"))
     names = docs.columns
+    at, last = names.index("text"), len(names)
+    counted = names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redacted(text, more) for text, more in zip(batch["text"], batch["_extra"], strict=True)]
-            out = batch[names].assign(text=texts)
-            if "n_chars" in names:
-                out["n_chars"] = [len(new) if new is not None and new != old else n for new, old, n in zip(texts, batch["text"], batch["n_chars"], strict=True)]
+            old = batch.column(at).to_pylist()
+            new = [redacted(text, more) for text, more in zip(old, batch.column(last).to_pylist(), strict=True)]
+            out = batch.select(range(last)).set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            if counted is not None:
+                sizes = [n if b == a else len(b) for a, b, n in zip(old, new, batch.column(counted).to_pylist(), strict=True)]
+                out = out.set_column(counted, batch.schema.field(counted), pa.array(sizes, batch.schema.field(counted).type))
             yield out
 
-    return plain.unionByName(marked).mapInPandas(run, docs.schema)
+    return plain.unionByName(marked).mapInArrow(run, docs.schema)
 
 
 def redacted(text: str | None, extra) -> str | None:
     if text is None:
         return None
-    spans = base_spans(text) + ([(int(m["start"]), 4, int(m["end"])) for m in extra] if extra is not None else [])
+    spans = base_spans(text) + [(m["start"], 4, m["end"]) for m in extra or []]
     out, at = [], 0
     for start, kind, end in sorted(spans):
         if end <= at:

@@ -92,6 +92,10 @@ class Best:
         self.id[at] = np.take_along_axis(key, order, 1)
 
 
+def as_integers(values: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in values], object).reshape(values.shape)
+
+
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, best: Best, exact: bool) -> None:
     """Fill ``best`` with the rows of the tree; row ``own`` of a query is not a candidate.
 
@@ -115,7 +119,8 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray
             if exact:
                 scores = np.rint(queries[at] @ rows.T).astype(np.int64)
             else:
-                scores = (queries[at].astype(object) @ rows.T.astype(object)).astype(np.int64)
+                whole = (as_integers(queries[at]) @ as_integers(rows).T).clip(NONE + 1, -NONE)
+                scores = whole.astype(np.int64)
             keys = ids[tree.order[start:end]]
             scores = np.where(keys[None, :] == own[at][:, None], NONE, scores)
             best.add(at, scores, keys)
@@ -160,7 +165,7 @@ def top_k(vectors: DataFrame, step: int = QUERY_STEP, k: int = K, scale: int = S
 
     Ties go to the smaller vec_id; fewer rows are returned if there are fewer candidates.  Vectors that are null or hold
     null or non-finite components take no part, nor do rows without vec_id; vectors meet only vectors of their length;
-    repeated rows of a vec_id count once; other columns are ignored; an empty table gives no rows.
+    repeated rows of a vec_id count once; a product beyond a long is cut to the longest; other columns are ignored; an empty table gives no rows.
 
     Work is a grid of blocks: each shard meets each block of queries in a task of bounded size."""
     vectors = vectors.select("vec_id", "embedding")

@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import bounded_sample, held_out
+from tracelode.llm.frames import bounded_sample, ddl, held_out, over_batches
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 20_000  # labelled rows that a fit looks at, chosen by hash; all when there are fewer
@@ -277,17 +278,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def _features(texts: DataFrame, stems: dict[str, float], *carry: str) -> DataFrame:
-    kinds = ", ".join(f"{name} {texts.schema[name].dataType.simpleString()}" for name in carry)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         scorer = Scorer(lexicon(stems))
         for batch in batches:
             found = np.array([scorer.features(text) for text in batch["text"]], np.float64).reshape(-1, 3)
-            out = batch[list(carry)].copy()
-            out["best"], out["total"], out["share"] = found.T
-            yield out
+            yield {name: batch[name] for name in carry} | {"best": found[:, 0], "total": found[:, 1], "share": found[:, 2]}
 
-    return texts.select(*carry, "text").mapInPandas(run, f"{kinds}, best double, total double, share double")
+    kept = texts.select(*carry)
+    return over_batches(texts.select(*carry, "text"), run, ddl(kept, "best double", "total double", "share double"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -319,12 +317,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs``, all columns, that are not predicted toxic."""
     w = [float(v) for v in model.weights]
-    names = docs.columns
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon(model.stems))
         for batch in batches:
-            found = np.array([scorer.features(text) for text in batch["text"]], np.float64).reshape(-1, 3)
-            yield batch[names][w[0] + found @ np.array(w[1:]) < 0]
+            found = np.array([scorer.features(text) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, 3)
+            yield batch.filter(pa.array(w[0] + found @ np.array(w[1:]) < 0))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
