@@ -15,21 +15,22 @@ Strings of a text that follow each other and have the same least hash form one s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import gathered, membership, scatter, shuffle_width
+from tracelode.llm.frames import membership, over_batches, scatter, shuffle_width
 from tracelode.llm.shingles import mixed
 from tracelode.session import materialize
 
 LENGTH = 50
 GRAM = 16
 SLICE_STRINGS = 256  # strings of one slice at most
-BUFFER = 1_500_000  # records a worker packs at a time
+BUFFER = 500_000  # records a worker packs at a time
 SHARD_RECORDS = 1_000_000
 SHARD_SLICES = 40_000  # about 3 MB of text
 DOC_BUCKET = 20_000
@@ -38,6 +39,7 @@ WORD = 7  # codes in one 63-bit key
 
 MARK = np.dtype([("mark", "<u4"), ("doc", "<i8")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+OWNED = np.dtype([("doc", "<i8"), ("mark", "<u8")])
 PLACE = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("slice", "<u4")])
 
 
@@ -155,12 +157,31 @@ def runs(values: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np
     return starts, ends
 
 
+def squeezed(records: np.ndarray) -> bytes:
+    """Records as compressed planes of bytes: constant and slowly growing bytes take no room."""
+    return zstandard.compress(np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1).T).tobytes(), 3)
+
+
+def expanded(packed: list[bytes], kind: np.dtype) -> np.ndarray:
+    width = kind.itemsize
+    parts = [np.frombuffer(zstandard.decompress(p), np.uint8).reshape(width, -1).T for p in packed]
+    return np.array(np.concatenate(parts), order="C").view(kind).ravel()
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _shared_marks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc_id, bucket, packed marks) of hashes that two documents or more have."""
+def _dealt(records: np.ndarray, groups: int) -> pd.DataFrame:
+    """Records by a hash of their document, in document order, squeezed."""
+    records = records[np.argsort(records["doc"], kind="stable")]
+    out = scatter(records, (mixed(records["doc"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64))
+    out["packed"] = [squeezed(np.frombuffer(p, records.dtype)) for p in out["packed"]]
+    return out
+
+
+def _shared_marks(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame:
+    """(doc, held, marks) of hashes that two documents or more have; a mark is the bucket and the low half of the hash."""
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -196,14 +217,20 @@ def _shared_marks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         starts, ends = runs(mark)
         differ = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         keep = np.repeat(differ, ends - starts)
-        mark, doc = mark[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")
-        mark, doc = mark[order], doc[order]
-        starts, ends = runs(doc) if len(doc) else (doc, doc)
-        return pd.DataFrame({"doc": doc[starts], "bucket": pdf["bucket"].iloc[0], "packed": [mark[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+        owned = np.empty(int(keep.sum()), OWNED)
+        owned["doc"] = doc[keep]
+        owned["mark"] = (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)) | mark[keep].astype(np.uint64)
+        return _dealt(owned, groups)
+
+    def by_doc(pdf: pd.DataFrame) -> pd.DataFrame:
+        owned = expanded(list(pdf["packed"]), OWNED)
+        owned = owned[np.argsort(owned["doc"], kind="stable")]
+        starts, ends = runs(owned["doc"])
+        return pd.DataFrame({"doc": owned["doc"][starts], "held": ends - starts, "marks": [squeezed(np.sort(owned["mark"][a:b])) for a, b in zip(starts, ends, strict=True)]})
 
     rows = docs.filter("doc_id is not null").mapInPandas(marks, "bucket long, packed binary")
-    return rows.groupBy("bucket").applyInPandas(shared, "doc long, bucket long, packed binary")
+    shared_rows = rows.groupBy("bucket").applyInPandas(shared, "bucket long, packed binary")
+    return shared_rows.groupBy("bucket").applyInPandas(by_doc, "doc long, held long, marks binary")
 
 
 def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFrame:
@@ -222,7 +249,7 @@ def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFra
                 least = anchors(np.frombuffer(data, np.uint8), length)
                 starts, ends = runs(least, SLICE_STRINGS)
                 head = least[starts]
-                wanted = np.concatenate([(np.uint64(m["bucket"]) << np.uint64(32)) | np.frombuffer(m["packed"], "<u4").astype(np.uint64) for m in marks])
+                wanted = expanded([marks], np.dtype("<u8"))
                 own = (((head >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (head & np.uint64(0xFFFFFFFF))
                 keep = np.isin(own, wanted)
                 starts, ends, head = starts[keep], ends[keep], head[keep]
@@ -232,7 +259,7 @@ def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFra
                 where.append(place)
                 home.append((mixed(head) % np.uint64(shards)).astype(np.int64))
                 size += len(place)
-                if size >= BUFFER // 8:
+                if size >= BUFFER // 4:
                     yield packed(held, where, home)
                     held, where, home, size = {}, [], [], 0
         if where:
@@ -249,7 +276,7 @@ def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFra
             part = place[a:b].copy()
             part["slice"] = local
             bodies = [texts[k] for k in used]
-            rows.append((int(shard[a]), b"".join(bodies), np.array([len(x) for x in bodies], "<u4").tobytes(), part.tobytes()))
+            rows.append((int(shard[a]), zstandard.compress(b"".join(bodies), 3), np.array([len(x) for x in bodies], "<u4").tobytes(), squeezed(part)))
         return pd.DataFrame(rows, columns=["shard", "bodies", "sizes", "places"])
 
     return texts.mapInPandas(cut, "shard long, bodies binary, sizes binary, places binary")
@@ -305,15 +332,16 @@ def _found(slices: DataFrame, length: int, groups: int) -> DataFrame:
         places = []
         for body, sizes, packed in zip(pdf["bodies"], pdf["sizes"], pdf["places"], strict=True):
             ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            body = zstandard.decompress(body)
             local = np.array([held.setdefault(body[a:b], len(held)) for a, b in zip([0, *ends], ends)], np.uint32)
-            place = np.frombuffer(packed, PLACE).copy()
+            place = expanded([packed], PLACE)
             place["slice"] = local[place["slice"]]
             places.append(place)
         found = shard_spans(list(held), np.concatenate(places), length)
-        return scatter(found, (mixed(found["doc"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64))
+        return _dealt(found, groups)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, start, end = merge_spans(gathered(pdf["packed"], SPAN))
+        doc, start, end = merge_spans(expanded(list(pdf["packed"]), SPAN))
         firsts, lasts = runs(doc) if len(doc) else (doc, doc)
         return pd.DataFrame({"doc": doc[firsts], "spans": [np.c_[start[a:b], end[a:b]].ravel() for a, b in zip(firsts, lasts, strict=True)]})
 
@@ -333,18 +361,30 @@ def merge_spans(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span["doc"][at], span["start"][at], (reach - base)[np.r_[at[1:] - 1, len(span) - 1]]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, spans) of documents with bytes to remove; spans are start, end, start, end ... in bytes."""
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(doc, digest) of documents whose whole text is that of a document with a smaller doc_id."""
+    named = docs.filter("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    least = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
+    return named.join(least, "digest").filter("doc_id > first").select(F.col("doc_id").alias("doc"), "digest").distinct()
+
+
+def with_spans(docs: DataFrame, distinct: DataFrame, length: int) -> tuple[DataFrame, Callable[[str], Column]]:
+    """(doc_id, text, spans) of documents that may hold repeated strings, and the test for those; spans are start, end, start,
+    end ... in bytes.  ``distinct``: ``docs`` without whole copies.
+
+    Texts are shuffled once: the search for spans and their return to the texts read the same partitions."""
     width = shuffle_width(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * width, size // 18 // SHARD_RECORDS + 1)
-    shared = materialize(_shared_marks(docs, length, buckets))
-    slices = shared.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
-    shards = max(2 * width, slices // 4 // SHARD_SLICES + 1)
-    by_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("bucket", "packed")).alias("marks"))
-    texts = docs.filter(membership(shared, "doc")("doc_id")).join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
-    groups = max(2 * width, docs.count() // DOC_BUCKET + 1)
-    return _found(_slices(texts, length, buckets, shards), length, groups)
+    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets = max(2 * width, (size[0] or 0) // 18 // SHARD_RECORDS + 1)
+    groups = max(2 * width, size[1] // DOC_BUCKET + 1)
+    shared = materialize(_shared_marks(distinct, length, buckets, groups))
+    slices = shared.agg(F.sum("held")).first()[0] or 0
+    shards = max(2 * width, slices // SHARD_SLICES + 1)
+    may_share = membership(shared, "doc")
+    texts = distinct.filter("doc_id is not null").filter(may_share("doc_id")).repartition(width, "doc_id")
+    marked = texts.join(shared, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
+    found = _found(_slices(marked, length, buckets, shards), length, groups)
+    return texts.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans"), may_share
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -353,19 +393,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null or empty text has no bytes; a text shorter than ``length`` keeps all; repeated rows with one doc_id are no
     smaller than each other, and keep each what no smaller document has; a row without doc_id keeps all and removes
-    nothing elsewhere; other columns are ignored; an empty table gives no rows."""
-    docs = docs.select("doc_id", "text")
-    found = materialize(repeated_spans(docs, length))
-    has = membership(found, "doc")
-    cut = docs.filter(has("doc_id")).join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    plain = docs.filter(~has("doc_id")).withColumn("spans", F.lit(None).cast("array<long>"))
+    nothing elsewhere; other columns are ignored; an empty table gives no rows.
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A whole copy of a smaller document is removed whole and stays out of the search: its strings are all in the other."""
+    docs = docs.select("doc_id", "text")
+    copies = materialize(whole_copies(docs))
+    copied = membership(copies, "doc")
+    same = (F.col("doc_id") == F.col("doc")) & (F.unhex(F.md5("text")) == F.col("digest"))
+    distinct = docs.filter(~copied("doc_id")).unionByName(docs.filter(copied("doc_id")).join(copies, same, "left_anti"))
+    cut, may_share = with_spans(docs, distinct, length)
+    none = F.lit(None).cast("array<long>")
+    whole = F.when(F.octet_length("text") >= length, F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")))
+    gone = docs.filter(copied("doc_id")).join(copies, same, "left_semi").withColumn("spans", whole)
+    plain = distinct.filter(F.col("doc_id").isNull() | ~may_share("doc_id")).withColumn("spans", none)
+
+    def kept(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 data = _bytes(text)
-                edges = [] if spans is None else [int(x) for x in spans]
+                edges = spans or []
                 rest = memoryview(data)
                 digest = hashlib.sha256()
                 at = 0
@@ -374,7 +421,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = b
                 digest.update(rest[at:])
                 removed = sum(edges[1::2]) - sum(edges[::2])
-                rows.append((doc, len(data), removed, len(edges) // 2, digest.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+                rows.append((len(data), removed, len(edges) // 2, digest.hexdigest()))
+            yield {"doc_id": batch["doc_id"]} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return plain.unionByName(cut).mapInPandas(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return over_batches(plain.unionByName(cut).unionByName(gone), kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
