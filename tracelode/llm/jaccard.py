@@ -4,46 +4,62 @@ Documents of one shingle set are a class.  Classes with the same least shingle f
 group.  The matrix holds, for each group, the union of its members' leading shingles
 and a hashed bitmap of the union of all of them.
 
-1. Classes are compared with the least class of each of three sketch groups; verified
-   links join near copies early, so a group of thousands costs as many comparisons as
+1. Classes are compared with one class of each of their sketch groups; verified links
+   join near copies early, so a group of thousands costs as many comparisons as
    it has members.
 2. Two groups qualify when a shingle leads in both and what may follow it is long
    enough for the wanted overlap.  Shingles that many documents share come last in the
    order and therefore hardly ever lead.
 3. A qualifying group is opened only for members whose overlap with the other group's
    union bitmap can reach the threshold, and only between different components.
-4. What is left is verified on the full shingle sets, rebuilt from the texts.
+4. What is left is verified on the full shingle sets, rebuilt from the texts: single
+   pairs one by one, members of large groups block against block, so that no pairs of a
+   group are emitted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.components import components
-from tracelode.llm.frames import gathered, membership, scatter, shuffle_width
-from tracelode.llm.shingles import WORDS, mixed, shingle_hashes
+from tracelode.llm.frames import ddl, membership, scatter, shuffle_width
+from tracelode.llm.shingles import WORDS, column_shingles, mixed
 from tracelode.session import materialize
 
 PERCENT = 75
-FREQUENT = 100_000  # shingles known to be common; only their place in the order depends on it
+FREQUENT = 200_000  # shingles known to be common; only their place in the order depends on it
+COMMON = 8  # counted times that make a shingle common
+BAND = 1.25  # sizes of one band of sketch groups differ by less than this factor
 LANES = 32  # longs of a bitmap: 2,048 hashed positions
-BUFFER = 2_000_000  # shingles a worker collects before it packs them
+BUFFER = 400_000  # shingles a worker collects before it packs them
+COUNTED = 2_000_000  # shingles a worker counts together
+SEEN = 2  # times that make a shingle of those worth reporting
 PER_BUCKET = 400_000
-CELL = np.dtype([("token", "<u8"), ("group", "<u8"), ("least", "<u4"), ("most", "<u4"), ("rest", "<u4")])
+BLOCK = 512  # classes of a host, and guests, that one task compares
+CELL = np.dtype([("token", "<u4"), ("least", "<u4"), ("most", "<u4"), ("rest", "<u4"), ("group", "<u8")])
 BITS = [f"b{k}" for k in range(LANES)]
 
 
-def shingle_sets(docs: DataFrame, words: int, finish, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from finish((key, shingle_hashes(text, words)) for batch in batches for key, text in zip(batch["doc_id"], batch["text"], strict=True))
+def over_sets(docs: DataFrame, words: int, finish, schema: str) -> DataFrame:
+    """``finish`` over (doc_id, shingles) of all documents."""
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (field.split(" ") for field in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), column_shingles(batch.column(1), words), strict=True))
+        for out in finish(sets):
+            yield pa.RecordBatch.from_pandas(out, fields, preserve_index=False)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
@@ -56,7 +72,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
             held.append(tokens)
             size += len(tokens)
             total += len(tokens)
-            if size > BUFFER:
+            if size > COUNTED:
                 yield often(held)
                 held, size = [], 0
         if held:
@@ -65,13 +81,13 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
 
     def often(held: list[np.ndarray]) -> pd.DataFrame:
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"token": pd.array(tokens[n >= 6].view(np.int64), "Int64"), "n": n[n >= 6]})
+        return pd.DataFrame({"token": pd.array(tokens[n >= SEEN].view(np.int64), "Int64"), "n": n[n >= SEEN]})
 
-    seen = shingle_sets(docs, words, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.col("token").isNotNull(), F.desc("n"), "token").limit(FREQUENT + 1).collect()
-    total = top[0]["n"] if top and top[0]["token"] is None else 0
-    common = [row["token"] for row in top if row["token"] is not None]
-    return np.array(common[::-1], np.int64).view(np.uint64), int(total or 0)
+    seen = over_sets(docs, words, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = materialize(seen.filter(F.col("token").isNull() | (F.col("n") >= COMMON)))
+    total = seen.filter("token is null").agg(F.sum("n")).first()[0]
+    top = seen.filter("token is not null").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()["token"]
+    return np.ascontiguousarray(top.to_numpy(np.int64)[::-1]).view(np.uint64), int(total or 0)
 
 
 class Order:
@@ -99,9 +115,10 @@ class Order:
         return np.r_[plain, rest[: keep - len(plain)]]
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Three sketch keys; the first names the group."""
+        """Three sketch keys; the first names the group.  Common shingles say little about a text unless it has hardly any other:
+        then it is one of many near copies, which only those shingles hold together."""
         common, _ = self.common(tokens)
-        plain = tokens[~common] if not common.all() else tokens
+        plain = tokens[~common] if 2 * common.sum() < len(tokens) else tokens
         other = mixed(plain * np.uint64(0xD6E8FEB86659FD93))
         every = mixed(tokens * np.uint64(0xCA5A826395121157))
         return np.array([plain[0], mixed(np.atleast_1d(other.min()) + np.uint64(1))[0], mixed(np.atleast_1d(every.min()) + np.uint64(2))[0]], np.uint64)
@@ -121,23 +138,27 @@ def summaries(docs: DataFrame, words: int, order) -> DataFrame:
     """One row per document: doc_id, n, cls, three keys, bitmap."""
 
     def rows(sets) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+        keys, sizes, names, numbers = [], [], [], []
         for key, tokens in sets:
-            if len(tokens):
-                out.append((key, len(tokens), class_of(tokens), *order.value.keys(tokens).view(np.int64), *bitmap(tokens)))
-            else:
-                out.append((key, 0, None, None, None, None, *[None] * LANES))
-            if len(out) >= 5_000:
-                yield frame(out)
-                out = []
-        if out:
-            yield frame(out)
+            keys.append(key)
+            sizes.append(len(tokens))
+            names.append(class_of(tokens) if len(tokens) else None)
+            numbers.append(np.r_[order.value.keys(tokens).view(np.int64), bitmap(tokens)] if len(tokens) else empty)
+            if len(keys) >= 2_000:
+                yield frame(keys, sizes, names, numbers)
+                keys, sizes, names, numbers = [], [], [], []
+        yield frame(keys, sizes, names, numbers)
 
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        names = ["doc_id", "n", "cls", "k0", "k1", "k2", *BITS]
-        return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c != "cls"})
+    empty = np.zeros(3 + LANES, np.int64)
 
-    return shingle_sets(docs, words, rows, "doc_id long, n long, cls binary, k0 long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS))
+    def frame(keys: list, sizes: list, names: list, numbers: list) -> pd.DataFrame:
+        out = pd.DataFrame(np.array(numbers, np.int64).reshape(-1, 3 + LANES), columns=["k0", "k1", "k2", *BITS])
+        out.insert(0, "doc_id", pd.array(keys, "Int64"))
+        out.insert(1, "n", np.array(sizes, np.int64))
+        out.insert(2, "cls", pd.Series(names, dtype=object))
+        return out
+
+    return over_sets(docs, words, rows, "doc_id long, n long, cls binary, k0 long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def qualifying_groups(docs: DataFrame, words: int, percent: int, order, buckets: int) -> DataFrame:
@@ -145,29 +166,32 @@ def qualifying_groups(docs: DataFrame, words: int, percent: int, order, buckets:
 
     def cells(sets) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        place: list[np.ndarray] = []
         size = 0
         for _, tokens in sets:
             if not len(tokens):
                 continue
             lead = order.value.leading(tokens, percent)
             cell = np.zeros(len(lead), CELL)
-            cell["token"], cell["group"] = lead, order.value.keys(tokens)[0]
+            cell["token"], cell["group"] = lead & np.uint64(0xFFFFFFFF), order.value.keys(tokens)[0]
+            place.append(((lead >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
             cell["least"] = cell["most"] = len(tokens)
             cell["rest"] = len(tokens) - np.arange(len(lead))
             held.append(cell)
             size += len(cell)
             if size > BUFFER:
-                yield merged(held)
-                held, size = [], 0
+                yield merged(held, place)
+                held, place, size = [], [], 0
         if held:
-            yield merged(held)
+            yield merged(held, place)
 
-    def merged(held: list[np.ndarray]) -> pd.DataFrame:
-        cell = _unions(np.concatenate(held))
-        return scatter(cell, (cell["token"] >> np.uint64(32)).astype(np.int64) % buckets)
+    def merged(held: list[np.ndarray], place: list[np.ndarray]) -> pd.DataFrame:
+        out = scatter(np.concatenate(held), np.concatenate(place))
+        out["packed"] = [_planes(_unions(np.frombuffer(p, CELL))) for p in out["packed"]]
+        return out
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = _unions(gathered(pdf["packed"], CELL))
+        cell = _unions(np.concatenate([_cells(p) for p in pdf["packed"]]))
         token = cell["token"]
         firsts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         counts = np.diff(np.r_[firsts, len(token)])
@@ -185,10 +209,25 @@ def qualifying_groups(docs: DataFrame, words: int, percent: int, order, buckets:
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
         return pd.DataFrame({"g": found[:, 0].view(np.int64), "h": found[:, 1].view(np.int64)})
 
-    packed = shingle_sets(docs, words, cells, "bucket long, packed binary")
+    packed = over_sets(docs, words, cells, "bucket long, packed binary")
     return packed.groupBy("bucket").applyInPandas(pairs, "g long, h long").distinct()
 
 
+def _planes(cell: np.ndarray) -> bytes:
+    """Cells as planes of bytes, which compress better than records: sizes are small and mostly equal."""
+    narrow = cell.copy()
+    narrow["most"] -= cell["least"]
+    narrow["rest"] = cell["most"] - cell["rest"]
+    return np.ascontiguousarray(narrow.view(np.uint8).reshape(-1, CELL.itemsize).T).tobytes()
+
+
+def _cells(planes: bytes) -> np.ndarray:
+    cell = np.array(np.frombuffer(planes, np.uint8).reshape(CELL.itemsize, -1).T, order="C").view(CELL).ravel()
+    cell["most"] += cell["least"]
+    cell["rest"] = cell["most"] - cell["rest"]
+    return cell
+
+
 def _unions(cell: np.ndarray) -> np.ndarray:
     """One cell for each token and group, in that order, with the range of sizes and the longest rest."""
     if not len(cell):
@@ -203,28 +242,29 @@ def _unions(cell: np.ndarray) -> np.ndarray:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, from the sets themselves."""
-    pairs = materialize(pairs.select("a", "b").distinct())
-    wanted = materialize(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "doc"), "cls"))
+    """The pairs (a, b) of classes whose sets are similar enough, from the texts of one document each."""
+    named = classes.select("cls", "doc")
+    pairs = pairs.select("a", "b").distinct()
+    pairs = pairs.join(named.select(F.col("cls").alias("a"), F.col("doc").alias("p")), "a").join(named.select(F.col("cls").alias("b"), F.col("doc").alias("q")), "b")
+    pairs = materialize(pairs)
 
-    def rows(sets) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        size = 0
-        for _, tokens in sets:
-            if len(tokens):
-                out.append((class_of(tokens), tokens.view(np.int64)))
-                size += len(tokens)
-            if size > BUFFER // 4:
-                yield pd.DataFrame(out, columns=["cls", "tokens"])
-                out, size = [], 0
-        yield pd.DataFrame(out, columns=["cls", "tokens"])
+    def texts(doc: str, text: str) -> DataFrame:
+        found = docs.filter(membership(pairs, doc)("doc_id"))
+        return found.select(F.col("doc_id").alias(f"_{doc}"), F.col("text").alias(text))
 
-    texts = docs.filter(membership(wanted, "doc")("doc_id"))
-    texts = texts.join(wanted.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-    sets = materialize(shingle_sets(texts, words, rows, "cls binary, tokens array<long>").dropDuplicates(["cls"]))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
+    both = pairs.join(texts("p", "x"), F.col("p").eqNullSafe(F.col("_p"))).select("a", "b", "q", "x")
+    both = both.join(texts("q", "y"), F.col("q").eqNullSafe(F.col("_q"))).select("a", "b", "x", "y")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_shingles(batch.column(2), words), column_shingles(batch.column(3), words), strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                # A doc_id may stand for several texts; only those of the two classes count.
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and class_of(x) == a and class_of(y) == b)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(linked, "a binary, b binary").distinct()
 
 
 def _missing(one: str, other: str) -> Column:
@@ -240,72 +280,163 @@ def _sizes_allow(one: str, other: str, percent: int) -> Column:
     return (100 * F.col(one) >= percent * F.col(other)) & (100 * F.col(other) >= percent * F.col(one))
 
 
-def opened(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes from qualifying pairs (g, h) of groups.
+def opened(docs: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components in qualifying groups (g, h).
 
-    ``members``: cls, g, root, n, bitmap.  Members of a group in one component are a unit with the union of their bitmaps."""
-    units = materialize(members.groupBy("g", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("size"), F.min("cls").alias("cls"), *[F.expr(f"bit_or({b})").alias(b) for b in BITS]))
-    columns = ["g", "root", "least", "most", "size", "cls", *BITS]
-    own = units.groupBy("g").agg(F.count("*").alias("units")).filter("units > 1").select("g", F.col("g").alias("h"))
-    met = (
-        pairs.select("g", "h").unionByName(own)
-        .join(_side(units, "x", columns), F.col("g") == F.col("x_g"))
-        .join(_side(units, "y", columns), F.col("h") == F.col("y_g"))
-        .filter((F.col("x_root") != F.col("y_root")) & ((F.col("g") != F.col("h")) | (F.col("x_root") < F.col("y_root"))))
-        .filter((100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least")))
+    ``members``: cls, doc, g, root, n, bitmap.  Two groups of one class each are compared directly.  Of other pairs the
+    larger group is the host and members of the smaller are guests if their overlap with the host's union can reach the
+    threshold; members of a host that spans components are guests of their own group."""
+    unions = materialize(
+        members.groupBy("g").agg(
+            F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("cls").alias("cls"), F.min("root").alias("root"),
+            F.max("root").alias("other"), *[F.expr(f"bit_or({b})").alias(b) for b in BITS],
+        )
     )
+    columns = ["g", "size", "least", "most", "cls", "root", "other", *BITS]
+    met = pairs.join(_side(unions, "x", columns), F.col("g") == F.col("x_g")).join(_side(unions, "y", columns), F.col("h") == F.col("y_g"))
+    met = met.filter((100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least")))
+    # Groups that lie in one and the same component have nothing to find.
+    met = met.filter((F.col("x_root") != F.col("y_root")) | (F.col("x_root") != F.col("x_other")) | (F.col("y_root") != F.col("y_other")))
     single = (F.col("x_size") == 1) & (F.col("y_size") == 1)
     fits = ((100 - percent) * F.col("x_least") >= 100 * _missing("x", "y")) & ((100 - percent) * F.col("y_least") >= 100 * _missing("y", "x"))
-    met = materialize(met.filter(~single | fits))
-    direct = met.filter(single).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
-
-    # Larger units: each member against the other unit's union, then what is left of both against each other.
-    large = met.filter(~single)
-    unit = ["x_g", "x_root", "y_g", "y_root"]
-    mine = ["g", "root", "cls", "n", *BITS]
-    left = large.select(*unit, *[f"y_{b}" for b in BITS]).join(_side(members, "a", mine), (F.col("a_g") == F.col("x_g")) & (F.col("a_root") == F.col("x_root")))
-    left = left.filter((100 - percent) * F.col("a_n") >= 100 * _missing("a", "y")).select(*unit, "a_cls", "a_n", *[f"a_{b}" for b in BITS])
-    right = large.select(*unit, *[f"x_{b}" for b in BITS]).join(_side(members, "b", mine), (F.col("b_g") == F.col("y_g")) & (F.col("b_root") == F.col("y_root")))
-    right = right.filter((100 - percent) * F.col("b_n") >= 100 * _missing("b", "x")).select(*unit, "b_cls", "b_n", *[f"b_{b}" for b in BITS])
-    close = left.join(right, unit).filter(_sizes_allow("a_n", "b_n", percent))
-    close = close.filter(((100 - percent) * F.col("a_n") >= 100 * _missing("a", "b")) & ((100 - percent) * F.col("b_n") >= 100 * _missing("b", "a")))
-    return direct.unionByName(close.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")))
-
-
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
-
-    Two documents link when 100 * shared >= percent * union of their sets of distinct ``words``-word shingles (A-Z in
-    lower case, words between ASCII white space; a shorter text is one shingle).  No link is lost.  A null, empty or
-    wordless text has no shingles and no links.  Repeated rows are documents of their own that link with each other; a
-    null doc_id is never the least unless its component holds nothing else; other columns are ignored; an empty table
-    gives no rows."""
+    direct = met.filter(single & fits).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
+
+    larger = F.col("x_size") >= F.col("y_size")
+    hosted = met.filter(~single).select(F.when(larger, F.col("g")).otherwise(F.col("h")).alias("host"), F.when(larger, F.col("h")).otherwise(F.col("g")).alias("guest"))
+    mine = ["g", "cls", "n", *BITS]
+    guests = hosted.join(_side(members, "a", mine), F.col("guest") == F.col("a_g")).join(_side(unions, "y", columns), F.col("host") == F.col("y_g"))
+    guests = guests.filter((100 - percent) * F.col("a_n") >= 100 * _missing("a", "y")).select("host", F.col("a_cls").alias("cls"))
+    own = members.join(unions.filter("size > 1 and root <> other").select("g"), "g", "left_semi").select(F.col("g").alias("host"), "cls")
+    guests = materialize(guests.unionByName(own).distinct())
+    return verified(docs, classes, direct, words, percent).unionByName(_hosted(docs, guests, members, words, percent))
+
+
+def _hosted(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the members of each host and its guests, block by block; a task holds two blocks of texts."""
+    sizes = members.join(guests.select(F.col("host").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("held"))
+    invited = guests.groupBy("host").agg(F.count("*").alias("invited"))
+    blocks = lambda name: F.ceil(F.col(name) / BLOCK).cast("int")
+    plan = materialize(sizes.join(invited, F.col("g") == F.col("host")).select("host", blocks("held").alias("p"), blocks("invited").alias("q")))
+    spot = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    held = members.select(F.col("g").alias("host"), "cls").join(plan, "host").select("host", "cls", F.lit(0).alias("side"), spot("p").alias("i"), every("q").alias("j"))
+    come = guests.join(plan, "host").select("host", "cls", F.lit(1).alias("side"), spot("q").alias("j"), every("p").alias("i"))
+    rows = held.unionByName(come).join(members.select("cls", "doc", "root"), "cls")
+    wanted = materialize(rows)
+    texts = docs.filter(membership(wanted, "doc")("doc_id"))
+    rows = wanted.join(texts, F.col("doc").eqNullSafe(F.col("doc_id"))).select("host", "i", "j", "side", "cls", "root", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = list(column_shingles(pa.array(pdf["text"], pa.large_string()), words))
+        true = np.array([class_of(t) == c for t, c in zip(sets, pdf["cls"], strict=True)])  # a doc_id may stand for several texts
+        x, y = (np.flatnonzero(true & (pdf["side"] == k).to_numpy()) for k in (0, 1))
+        shared = overlaps([sets[k] for k in x], [sets[k] for k in y])
+        n = np.array([len(s) for s in sets], np.int64)
+        root, cls = pd.factorize(pdf["root"])[0], pdf["cls"].to_numpy()
+        linked = (100 * shared >= percent * (n[x][:, None] + n[y][None, :] - shared)) & (root[x][:, None] != root[y][None, :])
+        # Links that join what others have joined already add nothing.
+        joined = {k: k for k in set(root.tolist())}
+
+        def find(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = k = joined[joined[k]]
+            return k
+
+        out = []
+        for a, b in np.argwhere(linked).tolist():
+            p, q = find(root[x[a]]), find(root[y[b]])
+            if p != q:
+                joined[p] = q
+                out.append((cls[x[a]], cls[y[b]]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("host", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 20_000) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not out.size:
+        return out.astype(np.int64)
+    tokens = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for start in range(0, len(tokens), width):
+        part = tokens[start : start + width]
+        sides = []
+        for sets in (left, right):
+            table = np.zeros((len(sets), len(part)), np.float32)
+            for k, own in enumerate(sets):
+                at = np.searchsorted(own, part)
+                table[k] = own[np.minimum(at, len(own) - 1)] == part
+            sides.append(table)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def assigned(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per document: doc_id, n, cls, root (least class of the component, null without shingles), component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     common, total = frequent_shingles(docs, words)
     order = spark.sparkContext.broadcast(Order(common))
-    buckets = max(2 * shuffle_width(docs), total * (100 - percent) // 100 // PER_BUCKET + 1)
+    buckets = max(shuffle_width(docs), total * (100 - percent) // 100 // PER_BUCKET + 1)
 
     seen = materialize(summaries(docs, words, order))
     held = seen.filter("cls is not null")
     classes = materialize(held.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("k0", "k1", "k2")], *[F.first(b).alias(b) for b in BITS]))
 
-    # Near copies first: each class against the least class of its three sketch groups.
-    keyed = classes.select("cls", "n", F.explode(F.array("k0", "k1", "k2")).alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("n", "cls")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("first.cls").alias("a"), F.col("first.n").alias("m"))
-    near = keyed.join(leaders, "key").filter((F.col("cls") != F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("cls").alias("b")).distinct()
+    # Near copies first: each class against one class of its sketch groups, of about its size and of the next larger one.
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    keyed = classes.select("cls", "n", F.explode(F.array("k0", "k1", "k2")).alias("key"), band.alias("band"))
+    leaders = keyed.groupBy("key", "band").agg(F.min(F.struct("cls", "n")).alias("first")).select("key", "band", F.col("first.cls").alias("a"), F.col("first.n").alias("m"))
+    asked = keyed.select("cls", "n", "key", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    near = asked.join(leaders, ["key", "band"]).filter((F.col("cls") != F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("cls").alias("b")).distinct()
     sides = ["cls", "n", *BITS]
     near = near.join(_side(classes, "x", sides), F.col("a") == F.col("x_cls")).join(_side(classes, "y", sides), F.col("b") == F.col("y_cls"))
     near = near.filter(((100 - percent) * F.col("x_n") >= 100 * _missing("x", "y")) & ((100 - percent) * F.col("y_n") >= 100 * _missing("y", "x"))).select("a", "b")
     links = materialize(verified(docs, classes, near, words, percent))
     roots = materialize(components(links))
 
-    members = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", F.col("k0").alias("g"), F.coalesce("root", "cls").alias("root"), "n", *BITS)
+    members = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "doc", F.col("k0").alias("g"), F.coalesce("root", "cls").alias("root"), "n", *BITS)
     pairs = qualifying_groups(docs, words, percent, order, buckets)
-    more = verified(docs, classes, opened(pairs, materialize(members), percent), words, percent)
+    more = opened(docs, classes, pairs, materialize(members), words, percent)
     roots = materialize(components(links.unionByName(more)))
 
     named = classes.select("cls", "doc").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
-    return seen.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(least, "root").select("cls", "root", "component_id")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return seen.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", "n", "cls", "root", component.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
+
+    Two documents link when 100 * shared >= percent * union of their sets of distinct ``words``-word shingles (A-Z in
+    lower case, words between ASCII white space; a shorter text is one shingle).  No link is lost.  A null, empty or
+    wordless text has no shingles and no links.  Repeated rows are documents of their own that link with each other; a
+    null doc_id is never the least unless its component holds nothing else; other columns are ignored; an empty table
+    gives no rows."""
+    return assigned(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs``, all columns: of each component the row with the least doc_id (and class, if rows share it), and all
+    rows without shingles.  Only rows that may go are shuffled."""
+    found = materialize(assigned(docs, words, percent))
+    held = found.filter("cls is not null").groupBy("root", "doc_id", "cls").agg(F.count("*").alias("rows"))
+    first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cls")).alias("first"))
+    held = held.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cls") == F.col("first.cls")))
+    doubtful = materialize(held.filter("not stays or rows > 1").select(F.col("doc_id").alias("_doc"), F.col("cls").alias("_cls"), "stays"))
+    may_go = membership(doubtful, "_doc")
+    names = docs.columns
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = column_shingles(batch.column(names.index("text")), words)
+            yield batch.append_column("_class", pa.array([class_of(t) if len(t) else None for t in sets], pa.binary()))
+
+    judged = docs.filter(may_go("doc_id")).mapInArrow(classed, ddl(docs, "_class binary"))
+    judged = judged.join(doubtful, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_class") == F.col("_cls")), "left")
+    clear = judged.filter(F.col("stays").isNull()).select(*names)
+    repeated = judged.filter("stays").dropDuplicates(["doc_id", "_class"]).select(*names)
+    return docs.filter(~may_go("doc_id")).unionByName(clear).unionByName(repeated)
