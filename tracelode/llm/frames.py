@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -32,6 +33,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def trim() -> None:
+    """Give memory that a finished task no longer needs back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, and :func:`trim` after the last."""
+    yield from batches
+    trim()
+
+
 def over_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` over an iterator of batches as dicts of lists, giving batches of the ``schema``.  Values pass through Arrow as they
     are: long ids stay exact beside nulls."""
@@ -40,7 +56,7 @@ def over_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ({name: batch.column(k).to_pylist() for k, name in enumerate(names)} for batch in batches if batch.num_rows)
-        for out in fn(rows):
+        for out in trimmed(fn(rows)):
             yield pa.RecordBatch.from_pydict(out, fields)
 
     return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.components import components
-from tracelode.llm.frames import ddl, membership, scatter, shuffle_width
+from tracelode.llm.frames import ddl, membership, scatter, shuffle_width, trim, trimmed
 from tracelode.llm.shingles import WORDS, column_shingles, mixed
 from tracelode.session import materialize
 
@@ -39,8 +39,8 @@ FREQUENT = 200_000  # shingles known to be common; only their place in the order
 COMMON = 8  # counted times that make a shingle common
 BAND = 1.25  # sizes of one band of sketch groups differ by less than this factor
 LANES = 32  # longs of a bitmap: 2,048 hashed positions
-BUFFER = 400_000  # shingles a worker collects before it packs them
-COUNTED = 2_000_000  # shingles a worker counts together
+BUFFER = 300_000  # shingles a worker collects before it packs them
+COUNTED = 1_000_000  # shingles a worker counts together
 SEEN = 2  # times that make a shingle of those worth reporting
 PER_BUCKET = 400_000
 BLOCK = 512  # classes of a host, and guests, that one task compares
@@ -56,7 +56,7 @@ def over_sets(docs: DataFrame, words: int, finish, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), column_shingles(batch.column(1), words), strict=True))
-        for out in finish(sets):
+        for out in trimmed(finish(sets)):
             yield pa.RecordBatch.from_pandas(out, fields, preserve_index=False)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -207,6 +207,7 @@ def qualifying_groups(docs: DataFrame, words: int, percent: int, order, buckets:
             if good.any():
                 found.append(np.unique(np.c_[a["group"][good], b["group"][good]], axis=0))
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+        trim()
         return pd.DataFrame({"g": found[:, 0].view(np.int64), "h": found[:, 1].view(np.int64)})
 
     packed = over_sets(docs, words, cells, "bucket long, packed binary")
@@ -263,6 +264,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
                 # A doc_id may stand for several texts; only those of the two classes count.
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and class_of(x) == a and class_of(y) == b)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return both.mapInArrow(linked, "a binary, b binary").distinct()
 
@@ -348,6 +350,7 @@ def _hosted(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int,
             if p != q:
                 joined[p] = q
                 out.append((cls[x[a]], cls[y[b]]))
+        trim()
         return pd.DataFrame(out, columns=["a", "b"])
 
     return rows.groupBy("host", "i", "j").applyInPandas(compare, "a binary, b binary")
