@@ -166,6 +166,29 @@ def test_main_text(page, text):
     assert pages.main_text(page) == text
 
 
+LONG = "Ten words of a paragraph, with a comma, and of some length."
+UNEQUAL = [
+    # Title, lead and trailing list beside the best container.
+    ("<body><ul><li><a href=x>Home</a></ul><div><h1>Title</h1><div class=lead>" + "Lead words of the page, " * 4 + "</div><div class=content>" + f"<p>{LONG}</p>" * 10
+     + "</div><ul><li>first<li>last</ul><ul><li><a href=y>more</a></ul></div>", "Title " + "Lead words of the page, " * 4 + f"{LONG} " * 10 + "first last"),
+    # Sections of unequal length, with short blocks, a table, a quote and code between them.
+    (f"<body><div><h2>A</h2><section><p>{LONG * 9}</p></section><div>So.</div><table><tr><td>1<td>2</table><section>Small</section><pre>x = 1</pre><blockquote>Said</blockquote><p>End</p></div>",
+     f"A {LONG * 9} So. 1 2 Small x = 1 Said End"),
+    # Rows of columns: the best column does not stand for all.
+    (f"<body><div><div class=row><div class=col><p>{LONG * 6}</p></div></div><div class=row><div class=col><p>{LONG}</p></div></div></div>", f"{LONG * 6} {LONG}"),
+    # Slugs of headings and sections are no names of boxes; captions and lists of links inside the text are text.
+    (f"<article><h1 class=banner>T</h1><p>{LONG}</p><h2 id=comments>On comments</h2><section id=related><p>Related work</p></section><div class='no-sidebar-here'>kept</div>"
+     "<figure><img src=x><figcaption>Caption</figcaption></figure><ul><li><a href=x>Source one</a><li><a href=y>Source two</a></ul><div id=comments>x</div><div class='related-posts'>y</div></article>",
+     f"T {LONG} On comments Related work kept Caption Source one Source two"),
+    (f"<body><div class=post><header><h1>T</h1></header><p>{LONG}</p></div>", f"T {LONG}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), UNEQUAL)
+def test_unequal_pages_keep_their_text(page, text):
+    assert pages.main_text(page) == text.strip()
+
+
 def test_pages_table(spark):
     data = [(k, "u", p, 1) for k, (p, _) in enumerate(PAGES)] + [(None, None, "<p>" * 20_000 + "deep", 1)]
     got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string, text int")).collect()}

@@ -3,14 +3,17 @@
 A tolerant parse gives a tree without scripts, styles, menus, forms and the like.  Each
 paragraph passes points for its length and commas to its ancestors, less with each
 level; a container's points are discounted by its link density.  The best container is
-kept with those siblings that look like parts of the same article.
+kept with the headings, lists, tables, quotes and text blocks that stand beside it or
+beside what holds it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -21,7 +24,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 # Fixed lists of element names and of words in class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style textarea title noscript template iframe svg math xmp noembed noframes".split()
-DROPPED = set("head nav footer aside form button select option dialog menu object audio video canvas map fieldset label figcaption".split()) | set(RAW)
+DROPPED = set("head nav footer aside form button select option dialog menu object audio video canvas map fieldset label".split()) | set(RAW)
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
@@ -37,8 +40,18 @@ BAD_WORDS = set(
     "comments disqus reply replies respond cookie cookies consent notice notices gdpr share sharing social related recommended popular trending footer masthead popup "
     "modal overlay subscribe subscription newsletter signup login paywall widget toolbar pagination pager skip banners adsense teaser outbrain taboola toc tags".split()
 )
+# Words that may stand beside a bad word in one class or id token: "comments-area", "related-posts".
+FILLERS = set(
+    "area bar block bottom box button buttons col column container group header icon icons inner item items left link links list module outer panel posts region "
+    "right row section slot stories title top unit wrap wrapper zone".split()
+)
 GOOD_WORDS = set("article articles body content entry main post story text page".split())
 PRIOR = {"article": 25, "main": 20, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "form": -3, "header": -10, "th": -5, "h1": -5, "h2": -5}
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+# What is kept beside the best container wherever it stands, unless most of it is links.
+BESIDE = HEADINGS | set("p ul ol dl li dt dd table caption thead tbody tfoot tr blockquote pre figure details".split())
+# Elements whose id is a name of the layout; on others it may be the slug of a heading.
+LAYOUT = set("div ul ol dl table td".split())
 SHORT = 25  # characters under which a paragraph passes no points
 LEVELS = 4
 
@@ -48,38 +61,61 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.S,
 )
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PARTS = re.compile(r"[a-z]+")
+# Grades of elements: text everywhere; text inside the chosen container only; the same unless that is the body; never text.
+TEXT, INSIDE, TITLE, NEVER = range(4)
 
 
 class Node:
-    __slots__ = ("commas", "dropped", "linked", "links", "parent", "parts", "points", "tag", "text")
+    __slots__ = ("commas", "dropped", "grade", "linked", "links", "parent", "parts", "points", "tag", "text")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, grade: int = TEXT):
+        self.tag, self.parent, self.grade = tag, parent, grade
+        self.dropped = grade == NEVER
         self.parts: list[str | Node] = []
         self.points = 0.0
         self.text = self.links = self.commas = 0  # characters, characters in links, commas, of all below
         self.linked = tag == "a" or (parent is not None and parent.linked)
 
 
-def _unwanted(tag: str, rest: str) -> bool:
+@lru_cache(10_000)
+def _bad(token: str) -> bool:
+    """Whether a whole token is made of bad words, with fillers beside them."""
+    words = PARTS.findall(token.lower())
+    return any(w in BAD_WORDS for w in words) and all(w in BAD_WORDS or w in FILLERS or len(w) == 1 for w in words)
+
+
+def _grade(tag: str, rest: str) -> int:
     if tag in DROPPED:
-        return True
+        return NEVER
+    plain = INSIDE if tag == "figcaption" else TEXT
     if not rest or tag in ("html", "body"):
-        return False
+        return plain
     if HIDDEN.search(rest):
-        return True
+        return NEVER
+    if tag in HEADINGS:
+        return TEXT
     words: set[str] = set()
+    bad: set[str] = set()
+    layout = tag in LAYOUT
     for m in HINT.finditer(rest):
-        words.update(PARTS.findall((m[1] or m[2] or m[3] or "").lower()))
-    return bool(words & BAD_WORDS) and not words & GOOD_WORDS - ({"article"} if "comment" in words or "comments" in words else set())
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        tokens = [value] if name == "aria-label" else value.split()
+        words.update(PARTS.findall(value.lower()))
+        if any(_bad(token) for token in tokens):
+            bad.add(name)
+        if name == "class" and "section" in tokens:
+            layout = False
+    if not bad or words & GOOD_WORDS - ({"article"} if "comment" in words or "comments" in words else set()):
+        return plain
+    return INSIDE if bad == {"id"} and not layout else NEVER
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text of dropped elements is left out."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     stack = [root]
     at = 0
     size = len(page)
@@ -109,10 +145,12 @@ def parse(page: str) -> Node:
         parent = stack[-1]
         if tag in VOID:
             if tag in BLOCKS and not parent.dropped:
-                parent.parts.append(Node(tag, parent, False))
+                parent.parts.append(Node(tag, parent))
             continue
-        header = tag == "header" and not any(n.tag in ("article", "main", "section") for n in stack)
-        node = Node(tag, parent, parent.dropped or header or _unwanted(tag, rest))
+        grade = NEVER if parent.dropped else _grade(tag, rest)
+        if tag == "header" and not any(n.tag in ("article", "main", "section") for n in stack):
+            grade = max(grade, NEVER if parent.tag in ("body", "html") else TITLE)
+        node = Node(tag, parent, grade)
         if not node.dropped:
             parent.parts.append(node)
         if rest.rstrip().endswith("/") and tag not in BLOCKS:
@@ -145,12 +183,12 @@ def _imply(stack: list[Node], tag: str) -> None:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Fill in the sums of all nodes and return them, children before parents."""
+    """Fill in the sums of the nodes that are text everywhere and return them, children before parents."""
     order, queue = [], [root]
     while queue:
         node = queue.pop()
         order.append(node)
-        queue.extend(p for p in node.parts if isinstance(p, Node))
+        queue.extend(p for p in node.parts if isinstance(p, Node) and p.grade == TEXT)
     order.reverse()
     for node in order:
         own = "".join(p for p in node.parts if isinstance(p, str))
@@ -214,28 +252,67 @@ def best_container(nodes: list[Node]) -> Node | None:
     return best
 
 
-def _kept_siblings(best: Node) -> list[str | Node]:
-    if best.parent is None or best.tag in ("article", "main", "body"):
-        # Further articles beside the best are other articles unless they carry as much text.
-        if best.tag != "article" or best.parent is None:
-            return [best]
-    kept: list[str | Node] = []
+def _runs(parts: list[str | Node]) -> list[list[str | Node]]:
+    """Blocks one by one, and what stands between blocks together."""
+    runs: list[list[str | Node]] = []
+    inline = False
+    for part in parts:
+        block = isinstance(part, Node) and part.tag in BLOCKS
+        if block or not inline:
+            runs.append([])
+        runs[-1].append(part)
+        inline = not block
+    return runs
+
+
+def _beside(inner: Node, worth: float, near: bool) -> tuple[list[str | Node], list[str | Node]]:
+    """What is kept before and after a child of a container: parts of the same text, not blocks of links."""
+    runs = _runs(inner.parent.parts)
+    own = next(k for k, run in enumerate(runs) if any(part is inner for part in run))
+    sure, maybe = {own}, set()
+    for k, run in enumerate(runs):
+        nodes = [p for p in run if isinstance(p, Node)]
+        loose = sum(len(" ".join(p.split())) for p in run if isinstance(p, str))
+        text = loose + sum(n.text for n in nodes)
+        links = sum(n.links for n in nodes)
+        if k == own or not text or links > 0.5 * text:
+            continue
+        commas = sum(n.commas for n in nodes) + sum(p.count(",") for p in run if isinstance(p, str))
+        prose = text > 80 and links < 0.25 * text or commas and not links
+        tag = run[0].tag if nodes and run[0] is nodes[0] and nodes[0].tag in BLOCKS else ""
+        if tag == "article" or inner.tag == "article":
+            # Further articles beside the best are other articles unless they carry as much text.
+            if tag == inner.tag and run[0].points * (1 - links / text) >= worth or tag == "p" and prose:
+                sure.add(k)
+        elif tag in BESIDE or prose:
+            sure.add(k)
+        elif near and inner.tag != "article":
+            maybe.add(k)
+    # Short blocks belong to the text when they stand between parts of it.
+    sure |= {k for k in maybe if min(sure) < k < max(sure)}
+    kept = [p for k in sorted(sure) for p in runs[k]]
+    at = next(k for k, part in enumerate(kept) if part is inner)
+    return kept[:at], kept[at + 1 :]
+
+
+def _kept(best: Node) -> list[str | Node]:
+    """The best container and what is kept beside it and beside its ancestors, in page order."""
     worth = max(10.0, 0.2 * best.points * (1 - _density(best)))
-    for part in best.parent.parts:
-        if part is best:
-            kept.append(part)
-        elif isinstance(part, Node) and part.text:
-            density = _density(part)
-            own = part.points * (1 - density)
-            if part.tag == best.tag and own >= worth or part.tag == "p" and (part.text > 80 and density < 0.25 or part.commas and density == 0):
-                kept.append(part)
-    return kept
-
-
-def _blocks(parts: list[str | Node]) -> list[str]:
+    kept: deque[str | Node] = deque([best])
+    inner = best
+    while inner.parent is not None and inner.tag not in ("main", "body") and (inner is best or best.tag != "article"):
+        before, after = _beside(inner, worth, inner is best)
+        kept.extendleft(reversed(before))
+        kept.extend(after)
+        inner = inner.parent
+    return list(kept)
+
+
+def _blocks(parts: list[str | Node], best: Node) -> list[str]:
     """Texts of the blocks in page order."""
     blocks: list[str] = []
     open_: list[str] = []
+    whole = best.tag in ("body", "html")
 
     def shut() -> None:
         if open_:
@@ -243,21 +320,24 @@ def _blocks(parts: list[str | Node]) -> list[str]:
                 blocks.append(text)
             open_.clear()
 
-    stack: list = list(reversed(parts))
+    stack: list = [(part, False) for part in reversed(parts)]
     while stack:
-        part = stack.pop()
+        part, inside = stack.pop()
         if part is None:
             shut()
         elif isinstance(part, str):
             open_.append(part)
-        elif part.tag in ("ul", "ol", "table", "dl") and part.text and _density(part) > 0.6:
-            shut()  # a list of links
+        elif part.grade > INSIDE and (whole or not inside) or part.grade and not inside:
+            shut()
+        elif whole and part.tag in ("ul", "ol", "table", "dl") and part.text and _density(part) > 0.6:
+            shut()  # a list of links, such as a menu, of a page without a container
         else:
+            inside = inside or part is best
             block = part.tag in BLOCKS
             if block:
                 shut()
-                stack.append(None)
-            stack.extend(reversed(part.parts))
+                stack.append((None, inside))
+            stack.extend((p, inside) for p in reversed(part.parts))
     shut()
     return blocks
 
@@ -267,7 +347,7 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = _measure(parse(page))
     best = best_container(nodes)
-    return " ".join(_blocks(_kept_siblings(best))) if best is not None else ""
+    return " ".join(_blocks(_kept(best), best)) if best is not None else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
