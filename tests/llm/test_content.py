@@ -98,6 +98,17 @@ def test_decontamination_against_brute_force(spark):
     assert contamination.find_contaminated(table(spark), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_short_items_and_typography_are_found(spark):
+    items = [(1, "Is it so?"), (2, "42"), (3, "水的沸点是多少度？请回答，谢谢。"), (4, "He said: \"the answer - it isn't far - lies within 'these' walls\", and left us - alone."), (5, "?!"), (6, "What is the boiling"), (7, "Two and twenty letters")]
+    texts = ["So: is it  so, then", "this it sold; 1942, 42nd, a420", "the answer is 42.", "问题：水的沸点是多少度?请回答、谢谢!好", "\u00abhe said\u00bb: \u201cthe\u00a0answer \u2014 it isn\u2019t far \u2014 lies\u00a0within \u2018these\u2019 walls\u201d, and left\u2026us \u2013 al\u00adone",
+             "what is the boilings", "two and twenty latters", None, "?!"]
+    data = [(k, t, None, 0, "", "", "", 0.0, 0) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["items"] for r in contamination.find_contaminated(table(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {0: "1:0", 1: "", 2: "2:0", 3: "3:0", 4: "4:0", 5: "", 6: "7:1", 7: "", 8: ""}
+    kept = contamination.keep_clean(table(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 5, 7, 8}
+
+
 BASE = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

@@ -4,10 +4,13 @@ A test item of m characters may differ from a passage by k edits.  Cut into k +
 pieces, one of them must then stand in the passage unchanged.  All pieces are searched
 at once by an automaton; around each hit the item is verified with Myers' bit-parallel
 edit distance.  Letters and digits count; case, punctuation and white space do not.
+An item too short for a single edit must stand in the passage as whole words.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,16 +23,41 @@ from tracelode.llm.frames import ddl
 from tracelode.session import materialize
 
 ERROR_RATE = 0.05  # edits allowed for each character of an item
-SHORTEST = 24  # characters under which an item is too common a phrase to be searched
+SHORTEST = 1  # characters of an item: one without letters or digits cannot be searched
+BOUNDED = 24  # characters under which an item without an edit to spare is matched as whole words only
 BLOCK_CHARS = 8_000_000  # of items searched in one pass; more items take more passes
 
-# Upper case to lower case, ASCII punctuation and control characters to spaces.
+# Upper case to lower case, ASCII punctuation, symbols and control characters to spaces.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
+def _fold() -> dict[str, str]:
+    """Punctuation, white space and accents on their own beyond ASCII as spaces, invisible characters as nothing."""
+    kinds = {chr(c): unicodedata.category(chr(c)) for c in [*range(128, 0x20000), *range(0xE0000, 0xE0200)]}
+    return {c: "" if kind == "Cf" else " " for c, kind in kinds.items() if kind[0] in "PZ" or kind in ("Cc", "Cf", "Sk")}
+
+
+_FOLD = _fold()
+# Scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+_GAPS = re.compile(f" (?<=[{_UNSPACED}] )(?=[{_UNSPACED}])")
+_OPEN = re.compile(f"[ {_UNSPACED}]")
+
+
 def plain(text: str | None) -> str:
-    """Words in lower case with one space between."""
-    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()).decode("utf-8", "surrogatepass")
+    """Words in lower case with one space between; none between characters of scripts that put no spaces."""
+    lower = (text or "").lower()
+    folded = not lower.isascii()
+    if folded:
+        for c in _FOLD.keys() & set(lower):
+            lower = lower.replace(c, _FOLD[c])
+    words = b" ".join(lower.encode("utf-8", "surrogatepass").translate(_PLAIN).split()).decode("utf-8", "surrogatepass")
+    return _GAPS.sub("", words) if folded else words
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether a word starts at ``start`` and one ends at ``end``; any character may in scripts without spaces."""
+    return (start == 0 or bool(_OPEN.match(text[start - 1]) or _OPEN.match(text[start]))) and (end == len(text) or bool(_OPEN.match(text[end]) or _OPEN.match(text[end - 1])))
 
 
 def pieces(item: str, rate: float = ERROR_RATE) -> list[tuple[int, str]]:
@@ -102,6 +130,10 @@ class Matcher:
                     continue
                 pattern, budget = self.items[key]
                 start = last - size + 1 - offset  # where the item starts if nothing before the hit was edited
+                if size == pattern.size:  # the whole item
+                    if budget or size >= BOUNDED or whole(text, start, last + 1):
+                        best[key] = 0
+                    continue
                 if start in windows[key]:
                     continue
                 windows[key].add(start)
@@ -152,8 +184,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, sho
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, items (item_id:edit distance, comma-joined by item).
 
-    A null or empty text holds nothing; items that are null, or shorter than ``SHORTEST`` letters, digits and spaces, are not
-    searched; an empty benchmark finds nothing; repeated rows and null doc_ids are searched each; other columns are
+    A null or empty text holds nothing; items that are null or without letters and digits are not searched; items under
+    ``BOUNDED`` characters that have no edit to spare are matched as whole words; an empty benchmark finds nothing; repeated rows and null doc_ids are searched each; other columns are
     ignored; an empty table gives no rows."""
     found = matched(docs.select("doc_id", "text"), benchmark, rate)
     return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.array_join("_items", ",").alias("items"))
