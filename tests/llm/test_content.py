@@ -25,6 +25,15 @@ def test_grammar_weighs_clauses():
     assert score("") == score(None) == score("idiotic plans") == 0
 
 
+def test_threats_need_intent_and_target():
+    for text in ("we will beat the eggs", "you should burn the old logs", "it must kill the process", "you kill me", "i will kill the big bad old wolf and you"):
+        assert score(text) == 0, text
+    assert score("i will kill you") == 3.0 and score("they will hurt and beat the old them") == 6.0
+    assert score("i will not kill you") == 1.5 and score("he said they will kill them") == pytest.approx(1.8)
+    assert score("i will kill you, you idiot") == 4.5 and score("i will kill you you idiot") == 7.5
+    assert score("you burn the logs idiot") == score("you see the logs idiot") > 0
+
+
 def test_composition_multiplies_weights():
     damp = toxicity.scope((toxicity.NEGATION,), (toxicity.INSULT,), 0.5, 2)
     both = toxicity.compose([damp, damp])

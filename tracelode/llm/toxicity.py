@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Tokens become symbols: insult, threat, intent, target, negation, report, quote, other.
-Five small transducers rewrite and weigh the symbols of a clause: negation damps what
+Four small transducers rewrite and weigh the symbols of a clause: negation damps what
 stands in its scope, reported speech damps what follows it, a target near an insult
 strengthens it, a threat needs intent before and a target after it, and an insult
 matches as it is.  They are composed once into one table; a clause's score is the
@@ -44,6 +44,7 @@ REPORTS = "said says claimed claims wrote writes reported reports quoted quote c
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE = range(8)
 SYMBOLS = 8
+PAID, MORE = 8, 9  # written only: the target of the threats held so far, a further threat to hold
 CLAUSE = re.compile(r"[.!?;:\n]+|,\s|\bbut\b")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 
@@ -72,11 +73,20 @@ def scope(opening: tuple[int, ...], weighed: tuple[int, ...], weight: float, rea
 
 
 def threats(reach: int) -> Transducer:
-    """A threat verb without intent within ``reach`` symbols before it is an ordinary word."""
-    t = Transducer(rest={k: max(k - 1, 0) for k in range(reach + 1)})
-    for state in range(reach + 1):
-        t.arcs[state, INTENT] = (OTHER, 1.0, reach)
-        t.arcs[state, THREAT] = (THREAT if state else OTHER, 1.0, max(state - 1, 0))
+    """A threat verb with intent within ``reach`` symbols before it is held and paid at a target within ``reach`` symbols after
+    it; without intent it is an ordinary word, and without a target it is never paid."""
+    wide = reach + 1  # a state is how far the intent reaches, times ``wide``, and how far the held threats do
+    t = Transducer()
+    for state in range(wide * wide):
+        intent, held = max(state // wide - 1, 0) * wide, max(state % wide - 1, 0)
+        t.rest[state] = intent + held
+        t.arcs[state, INTENT] = (OTHER, 1.0, reach * wide + held)
+        if state >= wide:
+            t.arcs[state, THREAT] = (MORE if state % wide else THREAT, 1.0, intent + reach)
+        else:
+            t.arcs[state, THREAT] = (OTHER, 1.0, intent + held)
+        if state % wide:
+            t.arcs[state, TARGET] = (PAID, 1.0, intent)
     return t
 
 
@@ -89,11 +99,18 @@ class Grammar:
     weighs: list[list[float]]
 
     def clause(self, symbols: list[int], strengths: list[float]) -> float:
-        """Weight of a clause's matched symbols."""
-        state, total = 0, 0.0
+        """Weight of a clause's matched symbols; that of threats counts once their target is there."""
+        state, total, held = 0, 0.0, 0.0
         for symbol, strength in zip(symbols, strengths, strict=True):
-            if self.gives[state][symbol] in (INSULT, THREAT):
+            given = self.gives[state][symbol]
+            if given == INSULT:
                 total += strength * self.weighs[state][symbol]
+            elif given == THREAT:
+                held = strength * self.weighs[state][symbol]
+            elif given == MORE:
+                held += strength * self.weighs[state][symbol]
+            elif given == PAID:
+                total += held
             state = self.goes[state][symbol]
         return total
 
@@ -125,9 +142,8 @@ def grammar() -> Grammar:
     return compose([
         scope((NEGATION,), matched, 0.5, 3),
         scope((REPORT, QUOTE), matched, 0.6, 12),
-        threats(4),
         scope((TARGET,), (INSULT,), 1.5, 4),
-        scope((THREAT,), (TARGET,), 1.0, 4),
+        threats(4),
     ])
 
 
