@@ -41,6 +41,16 @@ def test_composition_multiplies_weights():
     assert both.clause([toxicity.NEGATION, *[toxicity.OTHER] * 2, toxicity.INSULT], [0.0] * 3 + [4.0]) == 4.0
 
 
+def test_stems_are_not_cut_by_their_number(spark):
+    common = " ".join(f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}yyzzz" for k in range(9_000))
+    blob = "q" + "lo" * 30
+    # The common stems are dropped for their clean documents; rarer ones and a very long word are learned.
+    data = [(common + (f" {blob} vexling" if k < 9 else ""), 1) for k in range(10)] + [(common, 0)] * 60
+    stems = toxicity.induced_stems(spark.createDataFrame(data, "text string, toxic int").repartition(3), 10, 60)
+    own = toxicity.lexicon(stems)
+    assert all(own.look(word)[0] == toxicity.INSULT for word in (blob, "vexling")) and own.look("waaayyzzz")[0] == toxicity.OTHER and blob + " " in toxicity._stems(blob)
+
+
 def test_toxicity_on_held_out_labels(spark):
     got = QUERIES["op1_toxicity"](spark, FOLDER)
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")

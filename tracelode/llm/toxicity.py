@@ -32,7 +32,6 @@ FIT_ROWS = 20_000  # labelled rows that a fit looks at, chosen by hash; all when
 STEMS = (3, 9)  # lengths of induced stems
 EVIDENCE = 12.0  # log-likelihood ratio a stem needs; covers some ten thousand candidates
 PURITY = 0.5  # share of its documents that are toxic
-CANDIDATES = 50_000
 
 # Fixed word lists of the grammar.
 INSULTS = "idiot idiots moron morons stupid dumb fool fools loser losers scum trash pathetic worthless disgusting clown imbecile cretin vermin filth".split()
@@ -216,20 +215,19 @@ def _stems(text: str | None) -> set[str]:
     """Stems of a text's words, and the words themselves with a closing space."""
     found: set[str] = set()
     for word in {w for w in TOKEN.findall((text or "").lower()) if len(w) >= STEMS[0]}:
-        found.add(word[: 40] + " ")
+        found.add(word + " ")
         found.update(word[:k] for k in range(STEMS[0], min(len(word) - 1, STEMS[1]) + 1))
     return found
 
 
-def _counted(rows: DataFrame, wanted=None) -> DataFrame:
-    """(stem, n): documents of ``rows`` that hold each stem, of ``wanted`` only if given; pre-aggregated in each task."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(stem, n): documents of ``rows`` that hold each stem; pre-aggregated in each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                stems = _stems(text)
-                held.update(stems if wanted is None else stems & wanted.value)
+                held.update(_stems(text))
                 if len(held) > 300_000:
                     yield pd.DataFrame(held.items(), columns=["stem", "n"])
                     held = Counter()
@@ -244,24 +242,17 @@ def induced_stems(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         return {}
     base = toxic / (toxic + clean)
     least = max(3, int(EVIDENCE / -np.log(base)))
-    held = _counted(rows.filter("toxic = 1")).filter(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()
-    hits = {row["stem"]: row["n"] for row in held}
-    wanted = rows.sparkSession.sparkContext.broadcast(set(hits))
-    others = {row["stem"]: row["n"] for row in _counted(rows.filter("toxic = 0"), wanted).collect()}
-    good = {}
-    for stem, a in hits.items():
-        b = others.get(stem, 0)
-        share = a / (a + b)
-        ratio = a * np.log(share / base) + (b * np.log((b / (a + b)) / (1 - base)) if b else 0)
-        if share >= PURITY and ratio >= EVIDENCE:
-            good[stem] = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
+    both = _counted(rows.filter("toxic = 1")).filter(F.col("n") >= least).withColumnRenamed("n", "a")
+    both = both.join(_counted(rows.filter("toxic = 0")).withColumnRenamed("n", "b"), "stem", "left").fillna(0, "b")
+    share = F.col("a") / (F.col("a") + F.col("b"))
+    doubt = F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    # Stems are weighed where they are counted; only accepted ones come to the driver.
+    held = both.filter((share >= PURITY) & (F.col("a") * F.log(share / base) + doubt >= EVIDENCE)).collect()
+    hits = {row["stem"]: row["a"] for row in held}
+    good = {row["stem"]: float(np.log((row["a"] + 0.5) / (toxic + 1)) - np.log((row["b"] + 0.5) / (clean + 1))) for row in held}
     # The longest stem that keeps nearly all documents of a shorter one replaces it.
-    kept = {}
-    for stem in good:
-        longer = (s for s in good if len(s) == len(stem) + 1 and s.startswith(stem))
-        if not any(hits[s] >= 0.9 * hits[stem] for s in longer):
-            kept[stem] = min(good[stem], 6.0)
-    return kept
+    replaced = {stem[:-1] for stem in good if hits[stem] >= 0.9 * hits.get(stem[:-1], np.inf)}
+    return {stem: min(weight, 6.0) for stem, weight in good.items() if stem not in replaced}
 
 
 @dataclass
