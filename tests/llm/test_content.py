@@ -175,6 +175,17 @@ def test_private_data(spark):
     assert private.find_private(table(spark, [])).count() == 0
 
 
+def test_labelled_and_grouped_identifiers(spark):
+    texts = ["password = hunter2 x", "secret: correct-horse.", "api_key=sk_live_abcDEFxyz1", "IBAN: DE89 3704 0044 0532 0130 00, ok", "{\"password\": \"two words\"}", "password=p@ss!wort", "token: password: abc"]
+    texts += [f"Phone: +1 (555) 555-{1000 + k} thanks" for k in range(9)] + ["phone: (404) 555-1234 now", "note: call in 12 days", "of 12 300 in 2024", "thing: other"]
+    data = [(k, t, None, 0, "", "", "", 0.0, len(t)) for k, t in enumerate(texts)]
+    clean = {r["doc_id"]: r["text"] for r in private.redact(table(spark, data)).collect()}
+    assert [clean[k] for k in range(7)] == ["password = <identifier> x", "secret: <identifier>.", "api_key=<identifier>", "IBAN: <identifier>, ok", "{\"password\": \"<identifier>\"}", "password=<identifier>", "token: <identifier>: <identifier>"]
+    assert clean[7] == "Phone: <phone> thanks" and clean[16] == "phone: <identifier> now" and [clean[k] for k in (17, 18, 19)] == texts[17:]
+    long = "1 " * 100_000 + "a:" * 50_000 + "A1-" * 50_000
+    assert private.candidates(long, private.base_spans(long))
+
+
 def test_contexts_teach_new_identifiers(spark):
     edges = [("label ref:", f"v{k}", k < 9) for k in range(10)] + [("after word m9", "v9", False), ("after word m9", "w", False)] + [("built d4", f"y{k}", k == 0) for k in range(9)]
     found = {r["pattern"] for r in private.confident(spark.createDataFrame(edges, "pattern string, value string, known boolean")).collect()}

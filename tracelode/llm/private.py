@@ -1,7 +1,8 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contexts.
 
 The base formats (email, ip, card, phone) are read by their patterns.  All other strings
-that look like identifiers are candidates.  Candidates and base finds are instances;
+with digits, in one piece or in groups, and all that follows a label with a separator are
+candidates.  Candidates and base finds are instances;
 what stands around an instance and how it is built are its lexical patterns.  Spark
 scores the graph of patterns and instances in rounds: a pattern is as good as the share
 of its instances that are known or believed to be personal, an instance as good as its
@@ -26,8 +27,9 @@ LEARNED = "identifier"
 ROUNDS = 3
 CONFIDENCE = 0.8  # of a pattern that is used
 SUPPORT = 3  # distinct instances that a pattern needs
-FEWEST = 6  # letters and digits of a candidate; at least DIGITS of them digits
+FEWEST = 6  # letters and digits of a candidate whose build is told by kind and length; at least DIGITS of them digits
 DIGITS = 4
+LONGEST = 40  # letters and digits of an identifier in groups (34 in an IBAN)
 
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +40,12 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]+")
 PART = re.compile(r"[A-Za-z0-9_/+.-]")
 LABEL = re.compile(r"([^\W\d_]{2,20})[\"']?\s{0,2}([=:#])?\s{0,2}[\"'(\[]?$")
+SEPARATOR = re.compile(r"[=:#]")
+BEFORE = re.compile(r"[^\W\d_]{2}[\"']?\s{0,2}$")
+LABELLED = re.compile(r"""\s{0,2}(?:(?P<mark>["'])(?P<quoted>[^"'\n]{1,100})(?P=mark)|["'(\[]?(?P<value>[^\s"'<>(){}\[\],;]+))""")
+# Groups with digits, or of capitals, with one space or hyphen between them; the first may stand in brackets.
+GROUP = r"(?:[A-Z]{0,4}[0-9]{1,8}[A-Z]{0,4}|[A-Z]{2,4})(?![^\W_])"
+GROUPS = re.compile(rf"(?<![^\W_])(?:\([0-9]{{1,5}}\)[ -]?{GROUP}|{GROUP}[ -]{GROUP})(?:[ -]{GROUP})*+")
 # Fixed words that name an identifier when they stand before it with a separator: seed patterns.
 LABELS = frozenset("password passwd pwd secret token key apikey ssn passport iban account".split())
 # Access keys with this opening have one public format: seed instances.
@@ -93,21 +101,64 @@ def shape(value: str) -> str:
     return f"{opening}{kind}{len(value)}"
 
 
-def patterns(text: str, start: int, value: str) -> list[str]:
-    """Lexical patterns of an instance: its build, and what stands before it."""
-    built = shape(value)
-    found = [f"built {built}"]
+def layout(value: str) -> str:
+    """A value with its digits, capitals and small letters made equal."""
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value)).replace("A", "\0")).replace("\0", "A")
+
+
+def patterns(text: str, start: int, value: str, built: str | None = None) -> list[str]:
+    """Lexical patterns of an instance: its build, if that says anything, and what stands before it."""
+    built = shape(value) if built is None else built
+    found = [f"built {built}"] if built else []
     if m := LABEL.search(text[max(0, start - 28) : start]):
         word = m[1].lower()
-        found.append(f"label {word}{m[2]}" if m[2] else f"after {word} {built}")
+        if m[2]:
+            found.append(f"label {word}{m[2]}")
+        elif built:
+            found.append(f"after {word} {built}")
     return found
 
 
+def _strong(value: str) -> bool:
+    return sum(c.isalnum() for c in value) >= FEWEST and sum(c.isdigit() for c in value) >= DIGITS
+
+
+def _wide(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, build) of what stands in groups and of what follows labels; the latter's build is empty without digits."""
+    found = []
+    for m in GROUPS.finditer(text):
+        if DIGIT.search(m[0]) and sum(c.isalnum() for c in m[0]) <= LONGEST:
+            found.append((*m.span(), f"groups {layout(m[0])}"))
+    groups = {s: e for s, e, _ in found}
+    for sep in SEPARATOR.finditer(text):
+        at = sep.start()
+        if not BEFORE.search(text[max(0, at - 5) : at]) or not (m := LABELLED.match(text, at + 1)):
+            continue
+        start, end = m.span("quoted") if m["quoted"] else m.span("value")
+        if not m["quoted"]:
+            while end > start and not text[end - 1].isalnum() and text[end - 1] in ".:!?#*=-/":
+                end -= 1
+        if max(groups.get(start, 0), groups.get(start - 1, 0)) < end and any(c.isalnum() for c in text[start:end]):
+            value = text[start:end]
+            found.append((start, end, (shape(value) if _strong(value) else layout(value)) if DIGIT.search(value) else ""))
+    return sorted(found)
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """Identifier-like strings outside the base spans, and the base finds as known instances."""
     found = [(s, e, text[s:e], True, patterns(text, s, text[s:e])) for s, _, e in spans]
     taken = sorted((s, e) for s, _, e in spans)
+    wide = []
     last = at = 0
+    reach = -1  # the furthest end of the base spans that start before
+    for start, end, built in _wide(text):
+        while at < len(taken) and taken[at][0] <= start:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if end > reach:
+            wide.append((start, end, built))
+    pieces = set()
+    at = near = cover = 0
     for m in DIGIT.finditer(text):
         if m.start() < last:
             continue
@@ -125,10 +176,19 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             at += 1
         if at < len(taken) and taken[at][0] < end:
             continue
+        while near < len(wide) and wide[near][0] <= start:
+            cover = max(cover, wide[near][1])
+            near += 1
         value = text[start:end]
-        if sum(c.isalnum() for c in value) < FEWEST or sum(c.isdigit() for c in value) < DIGITS:
-            continue
-        found.append((start, end, value, bool(ACCESS_KEY.fullmatch(value)), patterns(text, start, value)))
+        strong = _strong(value)
+        if not strong and end <= cover:
+            continue  # a part of what is a candidate as a whole
+        pieces.add((start, end))
+        found.append((start, end, value, bool(ACCESS_KEY.fullmatch(value)), patterns(text, start, value, None if strong else layout(value))))
+    for start, end, built in wide:
+        value = text[start:end]
+        if (start, end) not in pieces and (told := patterns(text, start, value, built)):
+            found.append((start, end, value, bool(ACCESS_KEY.fullmatch(value)), told))
     return found
 
 
