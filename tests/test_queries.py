@@ -37,3 +37,9 @@ def test_hot_group_paths_match_sql(chunked, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_name_unions_reduce_before_they_collect(spark, duck):
+    problems, _, _ = compare(spark, duck, FOLDER, QUERIES["name_unions"], ORACLES["name_unions"])
+    plan = QUERIES["name_unions"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert not problems and "collect_list" in plan and plan.index("collect_list") < plan.index("min(struct(event_id")

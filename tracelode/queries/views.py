@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.operators import alignment, fusion, metrics, resample, similarity, views
+from tracelode.operators import alignment, metrics, resample, similarity, views
 from tracelode.queries.registry import query
 from tracelode.sources.tables import events, micros, table
 
@@ -18,9 +18,13 @@ KEYS = ["user_id"]
     select user_id, string_agg(part, '|' order by first) as names from f group by 1""")
 def name_unions(spark, folder):
     ev = events(spark, folder, "event_id", "user_id", "event_type")
-    parts = F.concat_ws("|", "event_type", F.col("event_id") % 3, F.lit(""), "event_type")
-    lists = ev.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", parts.alias("p")))), lambda s: s["p"]).alias("l"))
-    return lists.select(*KEYS, fusion.ordered_union(F.col("l")).alias("names"))
+    bar = F.lit("|")
+    parts = F.split(F.concat("event_type", bar, (F.col("event_id") % 3).cast("string"), bar, bar, "event_type"), r"\|")
+    rows = ev.select(*KEYS, "event_id", F.posexplode(parts).alias("place", "part")).where("part <> ''")
+    # A user's few names are reduced before they are collected.
+    first = rows.groupBy(*KEYS, "part").agg(F.min(F.struct("event_id", "place")).alias("at"))
+    lists = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("l"))
+    return lists.select(*KEYS, F.array_join(F.transform("l", lambda s: s["part"]), "|").alias("names"))
 
 
 @query("window_labels", """with o as (select o_custkey, epoch_us(o_orderdate) // 1000000 as s from orders), a as (select o_custkey, min(s) + 864000 as a0, min(s) + 8640000 as a1 from o group by 1)
