@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import contamination, jaccard, language, packing, pages, private, suffixes, tokens, topk, toxicity
+from tracelode.llm import contamination, jaccard, language, merkle, packing, pages, private, runs, suffixes, tokens, topk, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,18 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of the packed training sequences."""
     return packing.pack(load(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document."""
+    return runs.find_runs(load(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document in the manifest of the table."""
+    return merkle.proofs(load(spark, folder, "documents", *merkle.FIELDS))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.sql()
