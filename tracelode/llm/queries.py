@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import contamination, jaccard, language, merkle, packing, pages, private, runs, suffixes, tokens, topk, toxicity
+from tracelode.llm import contamination, context_tree, jaccard, language, merkle, packing, pages, private, runs, suffixes, tokens, topk, toxicity
 from tracelode.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_merkle_manifest"] = merkle.sql()
+
+
+@query
+def op12_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Language model score of every document, learned outside the held-out fold."""
+    return context_tree.score_documents(load(spark, folder, "documents", "doc_id", "text"))
