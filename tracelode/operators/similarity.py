@@ -218,7 +218,8 @@ def multilevel_dtw(x: np.ndarray, y: np.ndarray, radius: int) -> float:
 
 
 def weighted_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """All measures and the weighted score, one row per pair."""
+    """All measures and the weighted score, one row per pair; measures without a weight are left out if they need a pass of
+    their own."""
     keys = list(keys)
     pair = both(left, right, keys)
     sums = positional(left, right, keys)
@@ -227,12 +228,14 @@ def weighted_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], weig
         *keys, "a_n", "b_n", range_overlap().alias("overlap"), cv_similarity().alias("cv"),
         F.coalesce(cosine(sums), F.lit(0.0)).alias("cosine"), F.coalesce(pearson(sums), F.lit(0.0)).alias("pearson"),
     )
-    for part in (
+    parts = [
         kl_similarity(left, right, pair, keys).withColumnRenamed("kl_similarity", "kl"),
         quantile_similarity(left, right, pair, keys),
         precision_k(left, right, pair, keys),
-        dtw_similarity(left, right, keys).withColumnRenamed("dtw_similarity", "dtw"),
-    ):
+    ]
+    if "dtw" in weights:
+        parts.append(dtw_similarity(left, right, keys).withColumnRenamed("dtw_similarity", "dtw"))
+    for part in parts:
         out = out.join(part, keys, "left")
     out = out.withColumn("range", 0.6 * F.col("precision_k") + 0.2 * F.col("overlap") + 0.2 * F.col("quantile_similarity"))
     score = sum((F.col(name) * weight for name, weight in weights.items()), F.lit(0.0))

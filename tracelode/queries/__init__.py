@@ -12,6 +12,7 @@ FAMILIES = (
     "detection",
     "inference",
     "views",
+    "recovery",
 )
 
 for _family in FAMILIES:

@@ -393,8 +393,15 @@ def reusable_assignment(spark, folder):
     return matching.reusable_assignment(scores(spark, folder), "group_id", "session", "score")
 
 
+def mean_score():
+    """Mean balance in millionths of 10,000, from whole cents, so that no tie depends on the order of a sum."""
+    cents, n = F.sum(F.round(F.col("c_acctbal") * 100).cast("long")), F.count(F.lit(1))
+    twice = 2 * cents + n
+    return ((twice - F.pmod(twice, 2 * n)) / (2 * n) / 1_000_000.0).alias("score")
+
+
 def claim_table(spark, folder):
-    rows = table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("score"))
+    rows = table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(mean_score())
     return rows.select(
         (F.col("c_nationkey") % 5).alias("session"), F.concat(F.lit("col"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("column"),
         F.col("c_mktsegment").alias("field"), "score", F.lit(0.4).alias("threshold"),
@@ -417,7 +424,8 @@ def _claims_sql(name: str, limit: float, rounds: int = 6) -> str:
 
 
 CLAIM_BASE = """with base as (select c_nationkey % 5 as session, 'col' || lpad(cast(c_nationkey as varchar), 2, '0') as "column", c_mktsegment as field,
-    round(avg(c_acctbal) / 10000, 6) as score from customer group by c_nationkey, c_mktsegment), """
+    (t - ((t % d) + d) % d) / d / 1000000.0::double as score from (select c_nationkey, c_mktsegment, 2 * sum(cast(round(c_acctbal * 100) as bigint))::bigint + count(*) as t, 2 * count(*) as d
+      from customer group by c_nationkey, c_mktsegment)), """
 
 
 @query("column_claims", CLAIM_BASE + _claims_sql("won", 0.4) + " select * from won")
@@ -432,7 +440,7 @@ def column_claims(spark, folder):
     m as (select session, solution, avg(score) as avg_score, count(*) as matched, any_value(reward) as reward
           from (select *, 0 as solution, 0.6 as reward from low union all select *, 1, 0.7 from high) group by 1, 2),
     s as (select m.*, columns, 0.7 * (avg_score * 0.7 + matched / columns * 0.3) + 0.3 * reward as total_score from m join t using (session))
-    select session, solution, round(avg_score, 7) as avg_score, matched, cast(reward as double) as reward, columns, round(total_score, 7) as total_score
+    select session, solution, round(avg_score, 12) as avg_score, matched, cast(reward as double) as reward, columns, round(total_score, 12) as total_score
     from (select *, row_number() over (partition by session order by total_score desc, solution) as rk from s) where rk = 1""",
 )
 def solution_scores(spark, folder):
@@ -444,7 +452,7 @@ def solution_scores(spark, folder):
         parts.append(won.withColumn("solution", F.lit(name)).withColumn("reward", F.lit(reward)))
     totals = table_.groupBy("session").agg(F.countDistinct("column").alias("columns"))
     best = matching.best_solutions(parts[0].unionByName(parts[1]), totals, ["session"], "solution", "score", "reward")
-    return best.withColumns({c: F.round(c, 7) for c in ("avg_score", "total_score")})
+    return best.withColumns({c: F.round(c, 12) for c in ("avg_score", "total_score")})
 
 
 @query(
