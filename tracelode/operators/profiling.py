@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelode.operators.sweep import changing_in_windows
 from tracelode.plans.ordered import Ordered
 from tracelode.plans.sizing import small_side
 
@@ -196,16 +197,12 @@ def dynamic_columns(profiles: DataFrame, repetition: float = 0.98, excluded: Seq
 
 
 def dynamic_in_ranges(df: DataFrame, time: str, columns: Sequence[str], ranges: DataFrame) -> DataFrame:
-    """Per column: dynamic in any / in all time ranges (range_id, start, end).
-
-    Ranges come from files, so they are few; a row keeps the list of ranges it is in
-    and only minima and maxima travel through the shuffle."""
-    spans = ranges.agg(F.collect_list(F.struct("range_id", "start", "end")).alias("_r"))
-    hit = F.filter("_r", lambda r: (F.col(time) >= r["start"]) & (F.col(time) <= r["end"]))
-    rows = df.crossJoin(F.broadcast(spans)).withColumn("_id", F.explode(F.transform(hit, lambda r: r["range_id"])))
-    stats = rows.groupBy("_id").agg(*[(F.min(c) != F.max(c)).alias(c) for c in columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(False)).alias("d")) for c in columns])
-    long = stats.select(F.explode(pairs).alias("p")).select("p.*")
+    """Per column: dynamic in any / in all time ranges (range_id, start, end), any number of them.
+
+    A range without rows does not count."""
+    flags = changing_in_windows(df, ranges.select("range_id", "start", "end"), [], time, "start", "end", columns).where("points > 0")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_changes").alias("d")) for c in columns])
+    long = flags.select(F.explode(pairs).alias("p")).select("p.*")
     return long.groupBy("column").agg(F.bool_or("d").alias("dynamic_any"), F.bool_and("d").alias("dynamic_all"))
 
 

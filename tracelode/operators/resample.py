@@ -47,28 +47,41 @@ def bucketed(df: DataFrame, keys: Sequence[str], time: str, value: str, step: in
     raise ValueError(f"unknown aggregation {how!r}")
 
 
-def fill(df: DataFrame, keys: Sequence[str], time: str, value: str, how: str) -> DataFrame:
-    """ffill+bfill, or linear in time between known points and flat outside."""
+def fill(df: DataFrame, keys: Sequence[str], time: str, value: str, how: str, reach: int | None = None, beyond: str = "hold") -> DataFrame:
+    """ffill+bfill, or linear in time between known points and flat outside.
+
+    ``reach``, in units of ``time``, limits the interpolation: a missing value further than that behind the last known point
+    keeps what was interpolated at the limit (``hold``), or, with ``beyond="null"``, gaps with such values stay null as a
+    whole; values outside the known points are flat in any case."""
     known = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
     point = F.when(F.col(value).isNotNull(), known)
-    scan = Ordered(df, keys, [time]).with_last_known("_p", point).with_next_known("_n", point).frame()
+    scan = Ordered(df, keys, [time])
+    if reach is not None and beyond == "null":  # each known point also carries the time of the row before it, the end of a gap
+        scan = scan.with_lag("_before", F.col(time))
+        point = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v"), F.col("_before").alias("b")))
+    scan = scan.with_last_known("_p", point).with_next_known("_n", point).frame()
     p, n = F.col("_p"), F.col("_n")
     if how == "ffill":
         filled = F.coalesce(p["v"], n["v"])
     else:
-        weight = (F.col(time) - p["t"]) / (n["t"] - p["t"])
+        at = F.col(time) if reach is None or beyond == "null" else F.least(F.col(time), p["t"] + reach)
+        weight = (at - p["t"]) / (n["t"] - p["t"])
         between = p["v"] + weight * (n["v"] - p["v"])
         filled = F.when(F.col(value).isNotNull(), F.col(value)).otherwise(F.coalesce(between, p["v"], n["v"]))
-    return scan.withColumn(value, filled).drop("_p", "_n")
+        if reach is not None and beyond == "null":
+            filled = F.when(F.col(value).isNull() & (n["b"] - p["t"] > reach), None).otherwise(filled)
+    return scan.withColumn(value, filled).drop("_p", "_n", "_before")
 
 
-def resample(df: DataFrame, keys: Sequence[str], time: str, value: str, step: int, how: str, filling: str) -> DataFrame:
-    """Dense series (keys, t, v) at multiples of ``step``."""
+def resample(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, step: int, how: str, filling: str, limit: int | None = None, beyond: str = "hold"
+) -> DataFrame:
+    """Dense series (keys, t, v) at multiples of ``step``; ``limit`` is the most steps that are interpolated in a row."""
     keys = list(keys)
     per_step = bucketed(df, keys, time, value, step, how)
     bounds = per_step.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     dense = grid(bounds, keys, "_lo", "_hi", step, "t").join(per_step, [*keys, "t"], "left")
-    return fill(dense, keys, "t", "v", filling)
+    return fill(dense, keys, "t", "v", filling, None if limit is None else limit * step, beyond)
 
 
 def common_grid(a: DataFrame, b: DataFrame, keys: Sequence[str], time: str, step: int) -> DataFrame:

@@ -13,6 +13,7 @@ FAMILIES = (
     "inference",
     "views",
     "recovery",
+    "periods_and_windows",
 )
 
 for _family in FAMILIES:

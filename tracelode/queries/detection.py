@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelode.operators import calibration, consistency, features, fusion, metrics, oneclass, perturb, resample, subspace
+from tracelode.operators import calibration, consistency, features, fusion, metrics, oneclass, perturb, resample, subspace, sweep
 from tracelode.plans.ordered import Ordered
 from tracelode.queries.registry import query
 from tracelode.sources.tables import events, micros, table
@@ -351,11 +351,7 @@ def best_parameters(spark, folder):
 )
 def duration_sweep(spark, folder):
     rows = metrics.scaled_windows(intervals(spark, folder), "s", "e", [0.25, 0.5, 1.0, 2.0])
-    spans = rows.agg(F.collect_list(F.struct("attack_id", "scale", F.col("s").alias("a"), F.col("effective_end").alias("b"))).alias("_i"))
-    ev = events(spark, folder, "event_id").crossJoin(F.broadcast(spans))
-    hit = F.filter("_i", lambda i: (F.col("ts_us") >= i["a"]) & (F.col("ts_us") < i["b"]))
-    counts = ev.select(F.explode(hit).alias("h")).groupBy("h.attack_id", "h.scale").agg(F.count(F.lit(1)).alias("points"))
-    return rows.join(counts, ["attack_id", "scale"], "left").fillna({"points": 0})
+    return sweep.totals_in_windows(events(spark, folder, "event_id"), rows, [], "ts_us", "s", "effective_end", {"points": F.lit(1)})
 
 
 @query(
