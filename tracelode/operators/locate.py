@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.functions.binary import decode
+from tracelode.functions.binary import decode, is_finite
+from tracelode.operators.recovery import typed_number
+from tracelode.plans.sizing import small_side
+from tracelode.session import materialize
 
 
 def offset_values(payloads: DataFrame, keys: Sequence[str], payload: str, length: int, kind: str, endian: str = "big") -> DataFrame:
@@ -55,3 +58,62 @@ def locate_sequence(
 def match_counts(hits: DataFrame) -> DataFrame:
     """Matches per offset over all payloads."""
     return hits.groupBy("offset").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("expected").alias("values"))
+
+
+def all_offsets(payloads: DataFrame, keys: Sequence[str], payload: str, formats: DataFrame) -> DataFrame:
+    """(keys, offset, length, type, endian, found): every offset of every payload decoded in every format of (length, type,
+    endian).  There are as many formats as there are number types and byte orders, so they travel with the scan."""
+    every = formats.select("length", "type", "endian").distinct().agg(F.collect_list(F.struct("length", "type", "endian")).alias("_f"))
+    rows = payloads.select(*keys, payload).join(F.broadcast(every)).withColumn("_f", F.explode("_f"))
+    last = F.length(payload) - F.col("_f.length")
+    rows = rows.where(last >= 0).withColumn("offset", F.explode(F.sequence(F.lit(0), last)))
+    found = typed_number(F.col(payload), F.col("offset"), F.col("_f.length"), F.col("_f.type"), F.col("_f.endian"))
+    return rows.select(*keys, "offset", "_f.length", "_f.type", "_f.endian", found.alias("found")).where(is_finite(F.col("found")))
+
+
+def locate_specs(payloads: DataFrame, keys: Sequence[str], payload: str, specs: DataFrame, tolerance: float = 1e-4, hot: int = 1_000_000) -> DataFrame:
+    """(keys, name, offset, position, expected, found) for all specs in one pass over the payloads.
+
+    ``specs`` has a row for each expected value: (name, position, value, length, type, endian), position its place in the list.
+    Expected values stand in cells one tolerance wide, with both neighbours.  A cell that meets over ``hot`` decoded values, as
+    one of a constant prefix does, is split: its values are dealt over parts and its expected values copied to each."""
+    keys = list(keys)
+    own = ["length", "type", "endian"]
+    found = all_offsets(payloads, keys, payload, specs).withColumn("_cell", F.floor(F.col("found") / tolerance))
+    wanted = specs.select("name", "position", F.col("value").cast("double").alias("expected"), *own)
+    cell = F.floor(F.col("expected") / tolerance)
+    wanted = wanted.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    place = [*own, "_cell"]
+    met = found.join(small_side(wanted.select(*place).distinct()), place, "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    parts = materialize(met.where(F.col("_n") > hot).select(*place, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+    # a cell with over ``hot`` values is rare: there are fewer than values / hot of them
+    deal = lambda df: df.join(small_side(parts), place, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = deal(found).withColumn("_part", F.pmod(F.xxhash64(*keys, "offset"), F.col("_parts")).cast("int"))
+    right = deal(wanted).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    hits = left.drop("_parts").join(small_side(right.drop("_parts")), [*place, "_part"])
+    return hits.where(F.abs(F.col("found") - F.col("expected")) < tolerance).select(*keys, "name", "offset", "position", "expected", "found")
+
+
+def spec_matches(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One match for each payload, spec and offset: the first expected value in the list that fits."""
+    first = F.min(F.struct("position", "expected", "found")).alias("_h")
+    return hits.groupBy(*keys, "name", "offset").agg(first).select(*keys, "name", "offset", "_h.expected", "_h.found")
+
+
+def spec_sequences(hits: DataFrame, keys: Sequence[str], specs: DataFrame) -> DataFrame:
+    """(keys, name, sequence_start, sequence_end): where all values of a spec follow each other without a gap."""
+    sizes = specs.groupBy("name").agg(F.countDistinct("position").alias("_m"), F.first("length").alias("_w"))
+    starts = hits.join(small_side(sizes), "name").withColumn("sequence_start", F.col("offset") - F.col("position") * F.col("_w"))
+    whole = starts.where(F.col("sequence_start") >= 0).groupBy(*keys, "name", "sequence_start", "_m", "_w").agg(F.countDistinct("position").alias("_c"))
+    end = (F.col("sequence_start") + F.col("_m") * F.col("_w") - 1).alias("sequence_end")
+    return whole.where(F.col("_c") == F.col("_m")).select(*keys, "name", "sequence_start", end)
+
+
+def spec_summary(matches: DataFrame, sequences: DataFrame, specs: DataFrame) -> DataFrame:
+    """Matches and sequences of every spec."""
+    return (
+        specs.select("name").distinct()
+        .join(matches.groupBy("name").agg(F.count(F.lit(1)).alias("individual_matches")), "name", "left")
+        .join(sequences.groupBy("name").agg(F.count(F.lit(1)).alias("sequence_matches")), "name", "left")
+        .fillna(0, ["individual_matches", "sequence_matches"])
+    )

@@ -40,24 +40,31 @@ def typed_number(data: Column, start: Column, length: Column, kind: Column, endi
     digits = F.hex(cut(data, start, length))
     little = (endian == "little") | ((endian == "n/a") & (length > 1))
     text = F.when(F.length(digits) == 2 * length, F.when(little, F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")).otherwise(digits))
-    bits = F.conv(text, 16, -10).cast("long")
-    unsigned = F.conv(text, 16, 10).cast("decimal(20,0)").cast("double")
-    half = F.pow(F.lit(2.0), 8 * length - 1)
-    signed = F.when(length >= 8, bits.cast("double")).when(unsigned >= half, unsigned - 2 * half).otherwise(unsigned)
-    single, double = F.round(_ieee(bits, 8, 23), 6), F.round(_ieee(bits, 11, 52), 12)
-    high, low = F.conv(F.substring(text, 1, 8), 16, 10).cast("long"), F.conv(F.substring(text, 9, 8), 16, 10).cast("long")
-    last = UNIX_2050 * 1000
-    fixed = (high - NTP_OFFSET) * 1000 + F.floor(low * 1000 / F.lit(float(1 << 32))).cast("long")
-    seconds = F.when(unsigned <= UNIX_2050, unsigned * 1000).when(unsigned >= NTP_OFFSET, (unsigned - NTP_OFFSET) * 1000)
-    stamp = F.when(unsigned <= UNIX_2050, unsigned * 1000).when(unsigned <= last, unsigned).when((fixed >= 0) & (fixed <= last), fixed.cast("double"))
-    return (
-        F.when(kind.startswith("UINT"), unsigned)
-        .when(kind.startswith("INT"), signed)
-        .when(kind == "FLOAT32", single)
-        .when(kind == "FLOAT64", double)
-        .when((kind == "TIMESTAMP") & (length == 4), seconds)
-        .when((kind == "TIMESTAMP") & (length == 8), stamp)
-    )
+
+    def parts(t: Column) -> Column:
+        high, low = F.conv(F.substring(t, 1, 8), 16, 10).cast("long"), F.conv(F.substring(t, 9, 8), 16, 10).cast("long")
+        bits, unsigned = F.conv(t, 16, -10).cast("long"), F.conv(t, 16, 10).cast("decimal(20,0)").cast("double")
+        return F.struct(bits.alias("bits"), unsigned.alias("unsigned"), high.alias("high"), low.alias("low"))
+
+    def number(p: Column) -> Column:
+        bits, unsigned = p["bits"], p["unsigned"]
+        half = F.pow(F.lit(2.0), 8 * length - 1)
+        signed = F.when(length >= 8, bits.cast("double")).when(unsigned >= half, unsigned - 2 * half).otherwise(unsigned)
+        last = UNIX_2050 * 1000
+        fixed = (p["high"] - NTP_OFFSET) * 1000 + F.floor(p["low"] * 1000 / F.lit(float(1 << 32))).cast("long")
+        seconds = F.when(unsigned <= UNIX_2050, unsigned * 1000).when(unsigned >= NTP_OFFSET, (unsigned - NTP_OFFSET) * 1000)
+        stamp = F.when(unsigned <= UNIX_2050, unsigned * 1000).when(unsigned <= last, unsigned).when((fixed >= 0) & (fixed <= last), fixed.cast("double"))
+        return (
+            F.when(kind.startswith("UINT"), unsigned)
+            .when(kind.startswith("INT"), signed)
+            .when(kind == "FLOAT32", F.round(_ieee(bits, 8, 23), 6))
+            .when(kind == "FLOAT64", F.round(_ieee(bits, 11, 52), 12))
+            .when((kind == "TIMESTAMP") & (length == 4), seconds)
+            .when((kind == "TIMESTAMP") & (length == 8), stamp)
+        )
+
+    # one-element arrays bind the digits and their integers, which are used many times
+    return F.transform(F.transform(F.array(text), parts), number)[0]
 
 
 def typed_text(data: Column, start: Column, length: Column, kind: Column) -> Column:

@@ -14,6 +14,7 @@ FAMILIES = (
     "views",
     "recovery",
     "periods_and_windows",
+    "models",
 )
 
 for _family in FAMILIES:
