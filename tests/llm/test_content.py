@@ -230,6 +230,15 @@ def test_unequal_pages_keep_their_text(page, text):
     assert pages.main_text(page) == text.strip()
 
 
+def test_only_attributes_hide():
+    body = "Some words, enough of them, that stand in a paragraph of the article. " * 3
+    for kept in ("class='overflow-hidden'", 'title="a hidden gem"', "data-state='not hidden'", "data-display='display:none'", "hidden=false", "style='color:red;xdisplay:none'", "aria-hidden='false'"):
+        assert pages.main_text(f"<html><body><main><p {kept}>{body}</p></main></body></html>") == body.strip(), kept
+        assert pages.main_text(f"<html><body><main {kept}><p>{body}</p></main></body></html>") == body.strip(), kept
+    for gone in ("hidden", 'hidden="until-found"', "aria-hidden=true", "style='color:red; DISPLAY : none'", "class=a hidden"):
+        assert pages.main_text(f"<html><body><main><p>{body}</p><p {gone}>secret</p></main></body></html>") == body.strip(), gone
+
+
 def test_pages_table(spark):
     data = [(k, "u", p, 1) for k, (p, _) in enumerate(PAGES)] + [(None, None, "<p>" * 20_000 + "deep", 1)]
     got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string, text int")).collect()}

@@ -62,12 +62,28 @@ TOKEN = re.compile(
     re.S,
 )
 HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 PARTS = re.compile(r"[a-z]+")
 # Grades of elements: text everywhere; text inside the chosen container only; the same unless that is the body; never text.
 TEXT, INSIDE, TITLE, NEVER = range(4)
 
 
+def is_hidden(rest: str) -> bool:
+    """Whether a start tag's attributes hide the element: ``hidden`` itself, ``aria-hidden=true`` or a style without display;
+    the words inside other values mean nothing."""
+    low = rest.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("commas", "dropped", "grade", "linked", "links", "parent", "parts", "points", "tag", "text")
 
@@ -93,7 +109,7 @@ def _grade(tag: str, rest: str) -> int:
     plain = INSIDE if tag == "figcaption" else TEXT
     if not rest or tag in ("html", "body"):
         return plain
-    if HIDDEN.search(rest):
+    if is_hidden(rest):
         return NEVER
     if tag in HEADINGS:
         return TEXT
