@@ -29,7 +29,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
 
 LONGEST_CACHED = 64  # characters; longer pre-tokens are encoded each time
-CACHE_ENTRIES = 150_000  # of one generation of a worker; the one before it is kept too
+CACHE_ENTRIES = 400_000  # of one generation of a worker; the one before it is kept too
 
 
 class PreTokens:

@@ -109,7 +109,6 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
                     keys, ids, size = [], [], 0
         if keys:
             yield _packed(keys, ids, capacity, next_sequence)[0]
-        known.older = {}
 
     return over_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
