@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from tracelode.operators import oneclass, subspace
+from tracelode.operators import oneclass, scenarios, subspace
 from tracelode.streaming import jobs
 
 
@@ -107,3 +107,36 @@ def test_streaming_first_alarms_do_not_depend_on_batches(spark, tmp_path, splits
     finally:
         query.stop()
     assert {(r["ch"], r["phase"], r["ts"]) for r in spark.table(name).collect()} == want
+
+
+@pytest.mark.parametrize("source", ["holdout", "base"])
+def test_scenario_models_equal_single_ones(spark, source):
+    """Every (scenario, test, channel) scored on its own by the definition: Gram matrix, projection, centroid, tail."""
+    rng = np.random.default_rng(2)
+    lag, rank = 5, 2
+    train = {(s, c): np.sin(np.arange(90) / (2 + s + k)) + rng.normal(scale=0.05, size=90) for s in (1, 2) for k, c in enumerate("ab")}
+    clean = {key: np.sin(np.arange(40) / 3) + rng.normal(scale=0.3, size=40) for key in train}
+    tests = {(s, t, c): np.r_[train[s, c][-20:], rng.normal(scale=2.0, size=15)] for s, c in train for t in ("x", "y")}
+    got = scenarios.scenario_alarms(
+        spark.createDataFrame([(s, c, i, float(v)) for (s, c), x in train.items() for i, v in enumerate(x)], "scenario int, ch string, i long, v double"),
+        spark.createDataFrame([(s, t, c, 1000 + i, float(v)) for (s, t, c), x in tests.items() for i, v in enumerate(x)], "scenario int, test string, ch string, at long, v double"),
+        ["scenario"], ["test"], "ch", "at", lag, rank,
+        spark.createDataFrame([(s, c, i, float(v)) for (s, c), x in clean.items() for i, v in enumerate(x)], "scenario int, ch string, i long, v double") if source == "base" else None,
+    ).collect()
+    found = {(r["scenario"], r["test"], r["ch"], r["at"]): (r["score"], r["threshold"], r["alarm"]) for r in got}
+    assert len(found) == len(got) == sum(map(len, tests.values()))
+    for (s, t, c), values in tests.items():
+        whole = train[s, c]
+        fitted, held = (whole, clean[s, c]) if source == "base" else (whole[:60], whole[60:])
+        windows = np.lib.stride_tricks.sliding_window_view(fitted, lag)
+        _, vectors = np.linalg.eigh(windows.T @ windows)
+        basis = vectors[:, ::-1][:, :rank]
+        centre = basis.T @ windows.mean(axis=0)
+
+        def scores(x):
+            return ((centre - np.lib.stride_tricks.sliding_window_view(np.r_[fitted[-(lag - 1) :], x], lag) @ basis) ** 2).sum(axis=1)
+
+        limit = scores(held).max() + 1e-6
+        for i, score in enumerate(scores(values)):
+            a, b, alarm = found[s, t, c, 1000 + i]
+            assert a == pytest.approx(score, rel=1e-6, abs=1e-9) and b == pytest.approx(limit, rel=1e-6) and alarm == (a >= b)

@@ -15,6 +15,7 @@ FAMILIES = (
     "recovery",
     "periods_and_windows",
     "models",
+    "scenarios",
 )
 
 for _family in FAMILIES:
