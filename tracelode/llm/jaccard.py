@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,10 +220,11 @@ def _planes(cell: np.ndarray) -> bytes:
     narrow = cell.copy()
     narrow["most"] -= cell["least"]
     narrow["rest"] = cell["most"] - cell["rest"]
-    return np.ascontiguousarray(narrow.view(np.uint8).reshape(-1, CELL.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(narrow.view(np.uint8).reshape(-1, CELL.itemsize).T).tobytes())
 
 
 def _cells(planes: bytes) -> np.ndarray:
+    planes = zstandard.ZstdDecompressor().decompress(planes)
     cell = np.array(np.frombuffer(planes, np.uint8).reshape(CELL.itemsize, -1).T, order="C").view(CELL).ravel()
     cell["most"] += cell["least"]
     cell["rest"] = cell["most"] - cell["rest"]
@@ -294,19 +296,23 @@ def opened(docs: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataF
             F.max("root").alias("other"), *[F.expr(f"bit_or({b})").alias(b) for b in BITS],
         )
     )
-    columns = ["g", "size", "least", "most", "cls", "root", "other", *BITS]
-    met = pairs.join(_side(unions, "x", columns), F.col("g") == F.col("x_g")).join(_side(unions, "y", columns), F.col("h") == F.col("y_g"))
+    slim = ["g", "size", "least", "most", "cls", "root", "other"]
+    met = pairs.join(_side(unions, "x", slim), F.col("g") == F.col("x_g")).join(_side(unions, "y", slim), F.col("h") == F.col("y_g"))
     met = met.filter((100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least")))
     # Groups that lie in one and the same component have nothing to find.
     met = met.filter((F.col("x_root") != F.col("y_root")) | (F.col("x_root") != F.col("x_other")) | (F.col("y_root") != F.col("y_other")))
     single = (F.col("x_size") == 1) & (F.col("y_size") == 1)
     fits = ((100 - percent) * F.col("x_least") >= 100 * _missing("x", "y")) & ((100 - percent) * F.col("y_least") >= 100 * _missing("y", "x"))
-    direct = met.filter(single & fits).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
+    # Bitmaps only meet pairs that sizes and components let through; each side brings its own once.
+    met = materialize(met.select("g", "h", "x_size", "y_size", "x_least", "y_least", "x_cls", "y_cls"))
+    bits = ["g", *BITS]
+    alone = met.filter(single).join(_side(unions, "x", bits), F.col("g") == F.col("x_g")).join(_side(unions, "y", bits), F.col("h") == F.col("y_g"))
+    direct = alone.filter(fits).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
 
     larger = F.col("x_size") >= F.col("y_size")
     hosted = met.filter(~single).select(F.when(larger, F.col("g")).otherwise(F.col("h")).alias("host"), F.when(larger, F.col("h")).otherwise(F.col("g")).alias("guest"))
     mine = ["g", "cls", "n", *BITS]
-    guests = hosted.join(_side(members, "a", mine), F.col("guest") == F.col("a_g")).join(_side(unions, "y", columns), F.col("host") == F.col("y_g"))
+    guests = hosted.join(_side(members, "a", mine), F.col("guest") == F.col("a_g")).join(_side(unions, "y", bits), F.col("host") == F.col("y_g"))
     guests = guests.filter((100 - percent) * F.col("a_n") >= 100 * _missing("a", "y")).select("host", F.col("a_cls").alias("cls"))
     own = members.join(unions.filter("size > 1 and root <> other").select("g"), "g", "left_semi").select(F.col("g").alias("host"), "cls")
     guests = materialize(guests.unionByName(own).distinct())
@@ -400,7 +406,7 @@ def assigned(docs: DataFrame, words: int, percent: int) -> DataFrame:
     roots = materialize(components(links))
 
     members = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "doc", F.col("k0").alias("g"), F.coalesce("root", "cls").alias("root"), "n", *BITS)
-    pairs = qualifying_groups(docs, words, percent, order, buckets)
+    pairs = materialize(qualifying_groups(docs, words, percent, order, buckets))  # read twice below
     more = opened(docs, classes, pairs, materialize(members), words, percent)
     roots = materialize(components(links.unionByName(more)))
 
