@@ -37,20 +37,21 @@ def autocorrelation(numbered: DataFrame, keys: Sequence[str], value: str, max_la
     Expanding the centred product keeps it to one pass over integer sums, so
     neither a mean join nor a second scan is needed and sums are exact."""
     rows = ahead(numbered, keys, "pos", max_lag, {"_next": F.col(value).cast("long")})
-    pairs = rows.select(*keys, F.col(value).cast("long").alias("x"), F.posexplode("_next").alias("lag", "y"))
-    sums = pairs.groupBy(*keys, "lag").agg(
-        F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum("x").alias("sx"),
-        F.sum("y").alias("sy"),
-        F.count(F.lit(1)).alias("m"),
+    x, left = F.col("_next")[0], F.size("_next")
+    lags = range(max_lag)
+    # One row stays one row: a sum of products for each lag, and what the ends of the session take off the plain sum.
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("t0"),
+        *[F.sum(F.try_element_at("_next", F.lit(k + 1)) * x).alias(f"_p{k}") for k in lags],
+        *[F.sum(F.when(left <= k, x)).alias(f"_e{k}") for k in lags],
+        *[F.sum(F.when(F.col("pos") < k, x)).alias(f"_b{k}") for k in lags],
+    )
+    zero = F.lit(0)
+    parts = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_p{k}").alias("sxy"), F.coalesce(f"_e{k}", zero).alias("end"), F.coalesce(f"_b{k}", zero).alias("begin")) for k in lags])
+    joined = sums.select(*keys, "n", "t0", F.col("_p0").alias("s0"), F.explode(parts).alias("_l")).where(F.col("_l.lag") < F.col("n")).select(
+        *keys, "n", "t0", "s0", F.col("_l.lag").alias("lag"), F.col("_l.sxy").alias("sxy"), (F.col("n") - F.col("_l.lag")).alias("m"),
+        (F.col("t0") - F.col("_l.end")).alias("sx"), (F.col("t0") - F.col("_l.begin")).alias("sy"),
     )
-    # A session has at most ``max_lag`` rows here; its lag-0 row gives size and moments.
-    w = Window.partitionBy(*keys)
-
-    def at_zero(column: str) -> Column:
-        return F.max(F.when(F.col("lag") == 0, F.col(column))).over(w)
-
-    joined = sums.withColumns({"s0": at_zero("sxy"), "t0": at_zero("sx"), "n": at_zero("m")})
     mean = F.col("t0") / F.col("n")
     centred = F.col("sxy") - mean * (F.col("sx") + F.col("sy")) + F.col("m") * mean * mean
     variance = F.col("s0") - F.col("t0") * mean
