@@ -361,13 +361,22 @@ def presence_ratio(spark, folder):
     return similarity.presence_ratio(left, right, ["n"]).withColumn("presence", F.round("presence", 9))
 
 
+def mean_score():
+    """Mean balance in millionths of 10,000, from whole cents, so that no tie depends on the order of a sum."""
+    cents, n = F.sum(F.round(F.col("c_acctbal") * 100).cast("long")), F.count(F.lit(1))
+    twice = 2 * cents + n
+    return ((twice - F.pmod(twice, 2 * n)) / (2 * n) / 1_000_000.0).alias("score")
+
+
 def scores(spark, folder):
     """Nation x segment score table, one row per pair."""
     cust = table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment")
-    return cust.agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("score")).withColumnsRenamed({"c_nationkey": "group_id", "c_mktsegment": "session"})
+    return cust.agg(mean_score()).withColumnsRenamed({"c_nationkey": "group_id", "c_mktsegment": "session"})
 
 
-SCORES = "with s as (select c_nationkey as group_id, c_mktsegment as session, round(avg(c_acctbal) / 10000, 6) as score from customer group by 1, 2)"
+# the mean balance in millionths of 10,000, from whole cents
+CENTS = """(select c_nationkey, c_mktsegment, 2 * sum(cast(round(c_acctbal * 100) as bigint))::bigint + count(*) as t, 2 * count(*) as d from customer group by 1, 2)"""
+SCORES = f"with s as (select c_nationkey as group_id, c_mktsegment as session, (t - ((t % d) + d) % d) / d / 1000000.0::double as score from {CENTS})"
 GREEDY = SCORES.replace("with s", "with recursive s") + """,
 o as (select *, row_number() over (order by score desc, group_id, session) as rk from s),
 w as (select 0::bigint as rk, []::int[] as gs, []::varchar[] as ss
@@ -393,13 +402,6 @@ def reusable_assignment(spark, folder):
     return matching.reusable_assignment(scores(spark, folder), "group_id", "session", "score")
 
 
-def mean_score():
-    """Mean balance in millionths of 10,000, from whole cents, so that no tie depends on the order of a sum."""
-    cents, n = F.sum(F.round(F.col("c_acctbal") * 100).cast("long")), F.count(F.lit(1))
-    twice = 2 * cents + n
-    return ((twice - F.pmod(twice, 2 * n)) / (2 * n) / 1_000_000.0).alias("score")
-
-
 def claim_table(spark, folder):
     rows = table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(mean_score())
     return rows.select(
@@ -424,8 +426,7 @@ def _claims_sql(name: str, limit: float, rounds: int = 6) -> str:
 
 
 CLAIM_BASE = """with base as (select c_nationkey % 5 as session, 'col' || lpad(cast(c_nationkey as varchar), 2, '0') as "column", c_mktsegment as field,
-    (t - ((t % d) + d) % d) / d / 1000000.0::double as score from (select c_nationkey, c_mktsegment, 2 * sum(cast(round(c_acctbal * 100) as bigint))::bigint + count(*) as t, 2 * count(*) as d
-      from customer group by c_nationkey, c_mktsegment)), """
+    (t - ((t % d) + d) % d) / d / 1000000.0::double as score from """ + CENTS + """), """
 
 
 @query("column_claims", CLAIM_BASE + _claims_sql("won", 0.4) + " select * from won")
