@@ -109,9 +109,9 @@ def _stats_sql():
     for side, flag in (("all", "true"), ("fwd", "fwd"), ("bwd", "not fwd")):
         gap = "g_all" if side == "all" else "g_side"
         out += [
-            f"count(*) filter ({flag})::double as {side}_packets", f"round(coalesce(sum(q) filter ({flag}), 0), 2) as {side}_bytes", f"round(coalesce(avg(q) filter ({flag}), 0), 4) as {side}_mean_size",
+            f"count(*) filter ({flag})::double as {side}_packets", f"round(coalesce(sum(q) filter ({flag}), 0), 2) as {side}_bytes", f"round(coalesce(avg(q) filter ({flag}), 0), 6) as {side}_mean_size",
             f"coalesce((max(ms) filter ({flag}) - min(ms) filter ({flag})) / 1000.0, 0) as {side}_duration",
-            f"round(coalesce(avg({gap}) filter ({flag}), 0) / 1000.0, 4) as {side}_mean_iat", f"coalesce(max({gap}) filter ({flag}), 0) / 1000.0 as {side}_max_iat",
+            f"round(coalesce(avg({gap}) filter ({flag}), 0) / 1000.0, 6) as {side}_mean_iat", f"coalesce(max({gap}) filter ({flag}), 0) / 1000.0 as {side}_max_iat",
         ]
     return ", ".join(out)
 
@@ -131,7 +131,7 @@ def cycle_features(spark, folder):
     counts = packets.groupBy("flow").agg(F.count(F.lit(1)).alias("n"))
     cycles = counts.select("flow", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 12))).alias("cycle")).select("flow", "cycle", (F.col("cycle") * 12).alias("first"), (F.col("cycle") * 12 + 9).alias("last"))
     out = scenarios.samples("pattern_cycle", packets, ["flow"], ["o_orderkey"], "ms", "q", F.col("o_orderkey") % 3 > 0, [], F.lit(b""), F.col("o_orderkey") % 50 == 0, cycles)
-    return out.select("flow", "cycle", *(F.round(c, 4 if "mean" in c else 2).alias(c) if "mean" in c or "bytes" in c else F.col(c) for c in STATS), "label", "sample_ts")
+    return out.select("flow", "cycle", *(F.round(c, 6 if "mean" in c else 2).alias(c) if "mean" in c or "bytes" in c else F.col(c) for c in STATS), "label", "sample_ts")
 
 
 @query(
