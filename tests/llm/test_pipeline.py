@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 
