@@ -234,7 +234,7 @@ def _shared_marks(docs: DataFrame, length: int, buckets: int, groups: int) -> Da
 
 
 def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFrame:
-    """Packed slices of each shard; ``texts`` carry the marks of their document."""
+    """Packed slices of each shard; ``texts`` (compressed) carry the marks of their document."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, int] = {}
@@ -242,8 +242,8 @@ def _slices(texts: DataFrame, length: int, buckets: int, shards: int) -> DataFra
         home: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
-                data = _bytes(text)
+            for doc, body, marks in zip(batch["doc_id"], batch["body"], batch["marks"], strict=True):
+                data = zstandard.decompress(body)
                 if len(data) < length:
                     continue
                 least = anchors(np.frombuffer(data, np.uint8), length)
@@ -368,9 +368,20 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return named.join(least, "digest").filter("doc_id > first").select(F.col("doc_id").alias("doc"), "digest").distinct()
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, body): texts as compressed bytes for a shuffle, which packs them better than the blocks of a shuffle are packed."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield {"doc_id": batch["doc_id"], "body": [pack(_bytes(text)) for text in batch["text"]]}
+
+    return over_batches(docs.select("doc_id", "text"), run, "doc_id long, body binary")
+
+
 def with_spans(docs: DataFrame, distinct: DataFrame, length: int) -> tuple[DataFrame, Callable[[str], Column]]:
-    """(doc_id, text, spans) of documents that may hold repeated strings, and the test for those; spans are start, end, start,
-    end ... in bytes.  ``distinct``: ``docs`` without whole copies.
+    """(doc_id, body, spans) of documents that may hold repeated strings, and the test for those; ``body`` is the compressed
+    text, spans are start, end, start, end ... in bytes.  ``distinct``: ``docs`` without whole copies.
 
     Texts are shuffled once: the search for spans and their return to the texts read the same partitions."""
     width = shuffle_width(docs)
@@ -381,10 +392,10 @@ def with_spans(docs: DataFrame, distinct: DataFrame, length: int) -> tuple[DataF
     slices = shared.agg(F.sum("held")).first()[0] or 0
     shards = max(2 * width, slices // SHARD_SLICES + 1)
     may_share = membership(shared, "doc")
-    texts = distinct.filter("doc_id is not null").filter(may_share("doc_id")).repartition(width, "doc_id")
-    marked = texts.join(shared, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "marks")
+    texts = compressed(distinct.filter("doc_id is not null").filter(may_share("doc_id"))).repartition(width, "doc_id")
+    marked = texts.join(shared, F.col("doc_id") == F.col("doc")).select("doc_id", "body", "marks")
     found = _found(_slices(marked, length, buckets, shards), length, groups)
-    return texts.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans"), may_share
+    return texts.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "body", "spans"), may_share
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -410,8 +421,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def kept(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                data = _bytes(text)
+            for text, body, spans in zip(batch["text"], batch["body"], batch["spans"], strict=True):
+                data = _bytes(text) if body is None else zstandard.decompress(body)
                 edges = spans or []
                 rest = memoryview(data)
                 digest = hashlib.sha256()
@@ -424,4 +435,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(data), removed, len(edges) // 2, digest.hexdigest()))
             yield {"doc_id": batch["doc_id"]} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return over_batches(plain.unionByName(cut).unionByName(gone), kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = plain.unionByName(gone).withColumn("body", F.lit(None).cast("binary")).unionByName(cut.withColumn("text", F.lit(None).cast("string")))
+    return over_batches(rows, kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
