@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from llm.cases import rows, table
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tracelode.llm import jaccard
@@ -40,3 +41,16 @@ def test_stages_take_odd_and_empty_tables(spark):
             assert out.columns == docs.columns
             docs = out
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0) == bool(data)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names that the stages use inside, or used before."""
+    clashes = ["_items", "items", "_class", "_doc", "_cls", "stays", "own_cls", "stays_doc", "stays_cls", "_text", "_extra", "_hash", "span_doc", "span_hash", "own_hash", "learned"]
+    docs = table(spark)
+    wide = docs.select("*", *(F.lit(k).alias(name) for k, name in enumerate(clashes)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, wide, FOLDER))
+        assert out.columns == wide.columns, name
+        plain = stage(spark, docs, FOLDER)
+        assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, plain.select("doc_id", "text").collect())), name
+        assert all(row[len(docs.columns) :] == tuple(range(len(clashes))) for row in out.collect()), name

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import ddl
+from tracelode.llm.frames import ddl, fresh
 from tracelode.session import materialize
 
 ERROR_RATE = 0.05  # edits allowed for each character of an item
@@ -152,11 +152,13 @@ def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> list[DataFram
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, shortest: int = SHORTEST) -> DataFrame:
-    """``docs`` with ``_items``, the benchmark items each text holds, as item:distance in item order.
+    """``docs`` with a last column (named so that it meets no other) of the benchmark items each text holds, as item:distance
+    in item order.
 
     Several texts of one item_id count as one item each; the least distance is reported."""
     at = docs.columns.index("text")
-    out = docs.withColumn("_items", F.array().cast("array<string>"))
+    held = fresh(docs, "items")
+    out = docs.withColumn(held, F.array().cast("array<string>"))
     last = len(docs.columns)
     for passes, block in enumerate(item_blocks(benchmark)):
         rows = [(row["item_id"], plain(row["text"])) for row in block.collect()]
@@ -167,17 +169,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, sho
             items, keys = shared.value
             matcher = Matcher(items, rate)
             for batch in batches:
-                held = []
+                lists = []
                 for text, before in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
                     best = {int(k): int(d) for k, d in (x.split(":") for x in before)}
                     for number, distance in matcher.match(plain(text)):
                         best[keys[number]] = min(distance, best.get(keys[number], distance))
-                    held.append([f"{k}:{d}" for k, d in sorted(best.items())])
-                yield batch.set_column(last, batch.schema.field(last), pa.array(held, pa.list_(pa.string())))
+                    lists.append([f"{k}:{d}" for k, d in sorted(best.items())])
+                yield batch.set_column(last, batch.schema.field(last), pa.array(lists, pa.list_(pa.string())))
 
         if passes:
             out = materialize(out)
-        out = out.mapInArrow(run, ddl(docs, "_items array<string>"))
+        out = out.mapInArrow(run, ddl(docs, f"`{held}` array<string>"))
     return out
 
 
@@ -188,9 +190,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR
     ``BOUNDED`` characters that have no edit to spare are matched as whole words; an empty benchmark finds nothing; repeated rows and null doc_ids are searched each; other columns are
     ignored; an empty table gives no rows."""
     found = matched(docs.select("doc_id", "text"), benchmark, rate)
-    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.array_join("_items", ",").alias("items"))
+    return found.select("doc_id", (F.size(found.columns[-1]) > 0).alias("contaminated"), F.size(found.columns[-1]).cast("long").alias("n_items"), F.array_join(found.columns[-1], ",").alias("items"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no benchmark item."""
-    return matched(docs, benchmark, rate).filter(F.size("_items") == 0).select(*docs.columns)
+    """Rows of ``docs``, all columns, that hold no benchmark item.
+
+    A row with a null or empty text stays; repeated rows and null doc_ids are judged each; very long texts are searched whole;
+    columns of any name are kept; an empty table stays empty."""
+    found = matched(docs, benchmark, rate)
+    return found.filter(F.size(F.col(f"`{found.columns[-1]}`")) == 0).select(*(F.col(f"`{name}`") for name in docs.columns))

@@ -67,6 +67,14 @@ def ddl(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions a shuffle of this session's size gets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

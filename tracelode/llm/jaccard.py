@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.components import components
-from tracelode.llm.frames import ddl, membership, scatter, shuffle_width, trim, trimmed
+from tracelode.llm.frames import ddl, fresh, membership, scatter, shuffle_width, trim, trimmed
 from tracelode.llm.shingles import WORDS, column_shingles, mixed
 from tracelode.session import materialize
 
@@ -430,22 +430,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs``, all columns: of each component the row with the least doc_id (and class, if rows share it), and all
-    rows without shingles.  Only rows that may go are shuffled."""
+    rows without shingles.  Only rows that may go are shuffled.
+
+    Null, empty and wordless texts stay; of repeated rows one stays; very long texts are compared whole; columns of any name
+    are kept; an empty table stays empty."""
     found = materialize(assigned(docs, words, percent))
     held = found.filter("cls is not null").groupBy("root", "doc_id", "cls").agg(F.count("*").alias("rows"))
     first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cls")).alias("first"))
     held = held.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cls") == F.col("first.cls")))
-    doubtful = materialize(held.filter("not stays or rows > 1").select(F.col("doc_id").alias("_doc"), F.col("cls").alias("_cls"), "stays"))
-    may_go = membership(doubtful, "_doc")
+    doc, cls, kind, stays = (fresh(docs, name) for name in ("stays_doc", "stays_cls", "own_cls", "stays"))
+    doubtful = materialize(held.filter("not stays or rows > 1").select(F.col("doc_id").alias(doc), F.col("cls").alias(cls), F.col("stays").alias(stays)))
+    may_go = membership(doubtful, doc)
     names = docs.columns
+    kept = [F.col(f"`{name}`") for name in names]
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = column_shingles(batch.column(names.index("text")), words)
-            yield batch.append_column("_class", pa.array([class_of(t) if len(t) else None for t in sets], pa.binary()))
+            yield batch.append_column(kind, pa.array([class_of(t) if len(t) else None for t in sets], pa.binary()))
 
-    judged = docs.filter(may_go("doc_id")).mapInArrow(classed, ddl(docs, "_class binary"))
-    judged = judged.join(doubtful, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_class") == F.col("_cls")), "left")
-    clear = judged.filter(F.col("stays").isNull()).select(*names)
-    repeated = judged.filter("stays").dropDuplicates(["doc_id", "_class"]).select(*names)
+    judged = docs.filter(may_go("doc_id")).mapInArrow(classed, ddl(docs, f"`{kind}` binary"))
+    judged = judged.join(doubtful, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(kind) == F.col(cls)), "left")
+    clear = judged.filter(F.col(stays).isNull()).select(*kept)
+    repeated = judged.filter(F.col(stays)).dropDuplicates(["doc_id", kind]).select(*kept)
     return docs.filter(~may_go("doc_id")).unionByName(clear).unionByName(repeated)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.frames import membership, over_batches
+from tracelode.llm.frames import fresh, membership, over_batches
 from tracelode.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -271,14 +271,19 @@ def find_private(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets, all columns kept; ``n_chars``, if there is one, follows."""
+    """``docs`` with every span replaced by its kind in angle brackets, all columns kept; ``n_chars``, if there is one, follows.
+
+    A null or empty text stays as it is; repeated rows and null doc_ids are redacted each; very long texts are searched whole;
+    columns of any name are kept; an empty table stays empty."""
     rows = materialize(instances(docs.select("doc_id", "text")).select("doc_id", "text_hash", "found"))
-    extra = materialize(learned_spans(rows)).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("extra").alias("_extra"))
-    held = membership(extra, "_hash")
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
-    marked = named.filter(held("_text")).join(extra, same, "left").select(*docs.columns, "_extra")
-    plain = named.filter(~held("_text")).select(*docs.columns, F.lit(None).cast(extra.schema["_extra"].dataType).alias("_extra"))
+    doc, text_hash, own_hash, spans = (fresh(docs, name) for name in ("span_doc", "span_hash", "own_hash", "learned"))
+    extra = materialize(learned_spans(rows)).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("extra").alias(spans))
+    held = membership(extra, text_hash)
+    named = docs.withColumn(own_hash, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(text_hash))
+    kept = [F.col(f"`{name}`") for name in docs.columns]
+    marked = named.filter(held(own_hash)).join(extra, same, "left").select(*kept, spans)
+    plain = named.filter(~held(own_hash)).select(*kept, F.lit(None).cast(extra.schema[spans].dataType).alias(spans))
     names = docs.columns
     at, last = names.index("text"), len(names)
     counted = names.index("n_chars") if "n_chars" in names else None
