@@ -392,7 +392,8 @@ def with_spans(docs: DataFrame, distinct: DataFrame, length: int) -> tuple[DataF
     slices = shared.agg(F.sum("held")).first()[0] or 0
     shards = max(2 * width, slices // SHARD_SLICES + 1)
     may_share = membership(shared, "doc")
-    texts = compressed(distinct.filter("doc_id is not null").filter(may_share("doc_id"))).repartition(width, "doc_id")
+    texts = compressed(distinct.filter("doc_id is not null").filter(may_share("doc_id")))
+    texts = texts.filter("doc_id is not null").repartition(width, "doc_id")  # the filter an inner join adds, so that both uses share one shuffle
     marked = texts.join(shared, F.col("doc_id") == F.col("doc")).select("doc_id", "body", "marks")
     found = _found(_slices(marked, length, buckets, shards), length, groups)
     return texts.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "body", "spans"), may_share
