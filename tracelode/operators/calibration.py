@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.operators.alignment import asof, neighbours
-from tracelode.plans.quantiles import medians, quantiles
+from tracelode.operators.alignment import neighbours
+from tracelode.plans.ordered import Ordered
+from tracelode.plans.quantiles import quantiles
 from tracelode.plans.sizing import small_side
+from tracelode.session import materialize
+
+CUTS = 256  # value ranges a median is first located in; decides speed only
+CUT_WIDTH = 16
+
+
+def finite(value: Column) -> Column:
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))  # NaN sorts above infinity
 
 
 def spread_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -20,21 +31,116 @@ def spread_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return q.join(std, list(keys)).select(*keys, scale.alias("scale"))
 
 
+def nearest_cells(traffic: DataFrame, pv: str, time: str, value: str, tie: str, tolerance: int) -> DataFrame:
+    """(pv, place, after, until, seen): the times whose nearest sample within the tolerance is this one.
+
+    Times are whole numbers, so a cell is a closed range; a time halfway between two samples takes the earlier one.  Samples
+    of one time share it: the last in tie order serves this time and later ones, the first serves earlier ones."""
+    held = traffic.where(F.col(time).isNotNull()).groupBy(pv, F.col(time).alias("_t")).agg(
+        F.min_by(value, tie).alias("_first"), F.max_by(value, tie).alias("_last")
+    )
+    scan = Ordered(held, [pv], ["_t"]).with_lag("_before", F.col("_t")).with_lead("_next", F.col("_t")).with_row_number("_n")
+    t = F.col("_t")
+    # x is nearest to t from below if x - before > t - x, that is from half of t + before, rounded down, plus 1 on.
+    low = F.greatest(t - tolerance, F.coalesce(F.shiftright(t + F.col("_before"), 1) + 1, t - tolerance))
+    high = F.least(t + tolerance, F.coalesce(F.shiftright(t + F.col("_next"), 1), t + tolerance))
+    halves = F.array(
+        F.struct((2 * F.col("_n")).alias("place"), low.alias("after"), (t - 1).alias("until"), F.col("_first").alias("seen")),
+        F.struct((2 * F.col("_n") + 1).alias("place"), t.alias("after"), high.alias("until"), F.col("_last").alias("seen")),
+    )
+    return scan.frame().select(pv, F.inline(halves))
+
+
+def matched_steps(
+    historian: DataFrame, cells: DataFrame, pv: str, time: str, value: str, start: int, step: int, steps: int
+) -> DataFrame:
+    """(pv, want, seen, first, last): the matches of a historian row and the steps of the grid for which they hold.
+
+    A row meets only the cells its time passes over between the first and the last offset; it is not copied for each offset."""
+    ends = F.array(
+        F.struct(F.lit("low").alias("_end"), (F.col(time) + start).alias("_at")),
+        F.struct(F.lit("high").alias("_end"), (F.col(time) + start + step * (steps - 1)).alias("_at")),
+    )
+    rows = historian.where(F.col(time).isNotNull() & finite(F.col(value)))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).select(pv, "_row", F.col(value).alias("want"), F.col(time).alias("_t"), F.explode(ends).alias("_e"))
+    rows = materialize(rows.select(pv, "_row", "want", "_t", "_e.*"))  # row numbers must not change between two reads
+    found = neighbours(rows, cells.select(pv, F.col("after").alias("_a"), "place"), [pv], "_at", "_a", "place", ["place"])
+    at = found.groupBy(pv, "_row", "want", "_t").agg(
+        F.max(F.when(F.col("_end") == "low", F.col("prev")["place"])).alias("_low"), F.max(F.when(F.col("_end") == "high", F.col("prev")["place"])).alias("_high")
+    )
+    # Without a cell at or before its last time a row meets none.
+    met = at.where(F.col("_high").isNotNull()).withColumn("place", F.explode(F.sequence(F.coalesce("_low", F.lit(0).cast("long")), F.col("_high"))))
+    both = met.join(cells, [pv, "place"])
+    first = F.greatest(F.lit(0), F.ceil((F.col("after") - F.col("_t") - start) / step)).cast("int")
+    last = F.least(F.lit(steps - 1), F.floor((F.col("until") - F.col("_t") - start) / step)).cast("int")
+    out = both.where(finite(F.col("seen"))).select(pv, "want", "seen", first.alias("first"), last.alias("last"))
+    return out.where("first <= last")
+
+
+def _rank(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts lie under the value, looked up in two levels."""
+    coarse = F.filter(cuts, lambda c, k: (k % CUT_WIDTH == 0) & (c < value))
+    block = F.size(coarse)
+    inside = F.filter(F.slice(cuts, F.greatest(block - 1, F.lit(0)) * CUT_WIDTH + 1, F.lit(CUT_WIDTH)), lambda c: c < value)
+    return F.when(block == 0, 0).otherwise((block - 1) * CUT_WIDTH + F.size(inside)).cast("int")
+
+
+def step_medians(pairs: DataFrame, key: str, value: str, steps: int) -> DataFrame:
+    """(key, step, n, score): exact median of the values whose range (first, last) holds the step, for each of ``steps`` steps.
+
+    Rows are not copied for each step.  Starts and ends are counted by value range, which tells for every step the range its
+    median lies in; only rows of these ranges, about one in ``CUTS``, then meet their steps."""
+    held = pairs.groupBy(key, F.col(value).alias("v"), "first", "last").agg(F.count(F.lit(1)).alias("c"))
+    held = materialize(held)
+    shares = [k / CUTS for k in range(1, CUTS)]
+    cuts = held.groupBy(key).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", shares, 10_000))).alias("cuts"))
+    ranged = materialize(held.join(small_side(cuts), key).withColumn("part", _rank(F.col("cuts"), F.col("v"))).drop("cuts"))
+    marks = F.array(F.struct(F.col("first").alias("at"), F.col("c").alias("d")), F.struct((F.col("last") + 1).alias("at"), (-F.col("c")).alias("d")))
+    marks = ranged.select(key, "part", F.inline(marks)).groupBy(key, "part", "at").agg(F.sum("d").alias("d"))
+
+    def locate(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A key has at most CUTS x (steps + 1) marks, whatever the number of its rows."""
+        grid = np.zeros((steps + 1, CUTS + 1), np.int64)
+        np.add.at(grid, (pdf["at"].to_numpy(), pdf["part"].to_numpy()), pdf["d"].to_numpy())
+        upto = grid.cumsum(0)[:steps].cumsum(1)
+        n = upto[:, -1]
+        step = np.flatnonzero(n)
+        rows = []
+        for rank in ((n[step] - 1) // 2, n[step] // 2):
+            part = (upto[step] <= rank[:, None]).sum(1)
+            below = np.where(part > 0, upto[step, np.maximum(part - 1, 0)], 0)
+            rows.append(pd.DataFrame({key: pdf[key].iloc[0], "step": step, "n": n[step], "part": part, "rank": rank - below}))
+        return pd.concat(rows)
+
+    kind = pairs.schema[key].dataType.simpleString()
+    wanted = materialize(marks.groupBy(key).applyInPandas(locate, f"`{key}` {kind}, step int, n long, part int, rank long"))
+    asked = wanted.groupBy(key, "part", "step").agg(F.first("n").alias("n"), F.min("rank").alias("r1"), F.max("rank").alias("r2"), F.count(F.lit(1)).alias("asks"))
+    near = ranged.join(small_side(asked), [key, "part"]).where("first <= step and step <= last")
+    near = near.groupBy(key, "step", "part", "v", "n", "r1", "r2", "asks").agg(F.sum("c").alias("c"))
+    scan = Ordered(near, [key, "step", "part"], ["v"]).with_cumsum("upto", F.col("c")).frame()
+    under = F.col("upto") - F.col("c")
+    hits = (F.when((under <= F.col("r1")) & (F.col("r1") < F.col("upto")), 1).otherwise(0)
+            + F.when((F.col("asks") == 2) & (under <= F.col("r2")) & (F.col("r2") < F.col("upto")), 1).otherwise(0))
+    return scan.groupBy(key, "step", "n").agg((F.sum(F.col("v") * hits) / 2).alias("score"))
+
+
 def offset_scores(
-    historian: DataFrame, traffic: DataFrame, pv: str, time: str, value: str, tie: str, offsets: Column, tolerance: float
+    historian: DataFrame, traffic: DataFrame, pv: str, time: str, value: str, tie: str, start: int, step: int, steps: int, tolerance: int
 ) -> DataFrame:
-    """Median scaled error per (offset, pv) and its mean over the pvs.
+    """(offset, joint_score, pvs): the median scaled error of each pv at each offset of the grid, and its mean over the pvs.
 
-    Historian rows are repeated per offset; the traffic side is scanned once for
-    all offsets because the scan only needs the shifted times in order."""
-    targets = historian.select(pv, F.col(value).alias("want"), F.explode(offsets).alias("offset"), F.col(time).alias("_t"))
-    targets = targets.withColumn("at", F.col("_t") + F.col("offset")).drop("_t")
-    found = neighbours(targets, traffic.select(pv, F.col(time).alias("seen"), tie, value), [pv], "at", "seen", tie, [value])
-    matched = asof(found, "at", "nearest", tolerance).where(F.col("match").isNotNull() & F.col("want").isNotNull())
-    scale = spread_scale(historian, [pv], value)
-    errors = matched.join(small_side(scale), pv).withColumn("_e", F.abs(F.col("match")[value] - F.col("want")) / F.col("scale"))
-    per = medians(errors, ["offset", pv], "_e", "score")
-    return per.groupBy("offset").agg(F.avg("score").alias("joint_score"), F.count(F.lit(1)).alias("pvs"))
+    Times, start, step and tolerance are whole numbers of one unit.  Rows without time or finite value take no part; a pv
+    without a match at an offset is left out of its mean; an offset without any match gives no row."""
+    cells = materialize(nearest_cells(traffic, pv, time, value, tie, tolerance).where("after <= until"))
+    pairs = matched_steps(historian, cells, pv, time, value, start, step, steps)
+    scale = spread_scale(historian.where(finite(F.col(value))), [pv], value)
+    errors = pairs.join(small_side(scale), pv).withColumn("_e", F.abs(F.col("seen") - F.col("want")) / F.col("scale"))
+    per = step_medians(errors, pv, "_e", steps)
+    offset = F.lit(start) + F.col("step").cast("long") * step
+    # Added up in the order of the pvs, so that equal scores give equal means and a tie stays one.
+    scores = F.array_sort(F.collect_list(F.struct(pv, "score")))
+    mean = F.aggregate(scores, F.lit(0.0), lambda total, s: total + s["score"]) / F.size(scores)
+    return per.groupBy(offset.alias("offset")).agg(mean.alias("joint_score"), F.count(F.lit(1)).alias("pvs"))
 
 
 def best_offset(scores: DataFrame, prior: float) -> DataFrame:
@@ -43,5 +149,6 @@ def best_offset(scores: DataFrame, prior: float) -> DataFrame:
     return scores.agg(F.min(order).alias("b")).select("b.offset", "b.joint_score")
 
 
-def grid(center: int, radius: int, step: int) -> Column:
-    return F.sequence(F.lit(center - radius), F.lit(center + radius), F.lit(step))
+def grid(center: int, radius: int, step: int) -> tuple[int, int, int]:
+    """(start, step, steps) of the offsets from center - radius to center + radius."""
+    return center - radius, step, round(2 * radius / step) + 1

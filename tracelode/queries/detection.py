@@ -552,35 +552,52 @@ def sequence3_features(spark, folder):
     return out.select("c_nationkey", "pos", "ts", joined.alias("features"), "label")
 
 
-@query(
-    "offset_calibration",
-    """with h as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 0), r as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 1),
-    sc as (select pv, greatest(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, 1e-6) as s from h group by 1),
-    o as (select unnest(range(-600000000, 600000001, 300000000)) as "offset"),
-    x as (select h.pv, h.t + "offset" as tgt, v as want, "offset", row_number() over () as id from h cross join o),
-    b as (select x.id, x.pv, x.want, x."offset", x.tgt, r.v as bv, r.t as bt from x asof left join r on x.pv = r.pv and x.tgt >= r.t),
-    f as (select x.id, r.v as fv, r.t as ft from x asof left join r on x.pv = r.pv and x.tgt < r.t),
-    m as (select b.pv, want, "offset", case when bt is null then fv when ft is null or tgt - bt <= ft - tgt then bv else fv end as got, case when bt is null then ft - tgt when ft is null or tgt - bt <= ft - tgt then tgt - bt else ft - tgt end as d
-          from b join f using (id)),
-    s as (select "offset", pv, median(abs(got - want) / s) as score from m join sc using (pv) where d <= 3600000000 group by 1, 2)
-    select "offset", round(avg(score), 8) as joint_score, count(*) as pvs from s group by 1""",
-)
-def offset_calibration(spark, folder):
+CENTER, RADIUS, COARSE, NEAR, FINE, TOLERANCE = 2_450_000, 3_000_000, 10_000, 50_000, 1_000, 3_600_000_000  # microseconds
+
+OFFSET_SQL = """with h as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 0), r as (select event_type as pv, epoch_us(ts) as t, value as v from events where user_id % 2 = 1),
+    sc as (select pv, greatest(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, 1e-6) as s from h group by 1)"""
+
+
+def _offset_sql(name: str, offsets: str) -> str:
+    """Scores of the offsets that ``offsets`` selects, every row at every offset."""
+    return f""", {name}_x as (select h.pv, h.t + "offset" as tgt, v as want, "offset", row_number() over () as id from h cross join ({offsets})),
+    {name}_b as (select x.id, x.pv, x.want, x."offset", x.tgt, r.v as bv, r.t as bt from {name}_x x asof left join r on x.pv = r.pv and x.tgt >= r.t),
+    {name}_f as (select x.id, r.v as fv, r.t as ft from {name}_x x asof left join r on x.pv = r.pv and x.tgt < r.t),
+    {name}_m as (select b.pv, want, "offset", case when bt is null then fv when ft is null or tgt - bt <= ft - tgt then bv else fv end as got, case when bt is null then ft - tgt when ft is null or tgt - bt <= ft - tgt then tgt - bt else ft - tgt end as d
+          from {name}_b b join {name}_f using (id)),
+    {name}_s as (select "offset", pv, median(abs(got - want) / s) as score from {name}_m join sc using (pv) where d <= {TOLERANCE} group by 1, 2),
+    {name} as (select "offset", list_avg(list(score order by pv)) as joint_score, count(*) as pvs from {name}_s group by 1)"""
+
+
+COARSE_SQL = OFFSET_SQL + _offset_sql("coarse", f'select unnest(range({CENTER - RADIUS}, {CENTER + RADIUS + 1}, {COARSE})) as "offset"')
+BEST_SQL = f'order by joint_score, abs("offset" - {CENTER}), "offset" limit 1'
+
+
+def _offset_scores(spark, folder, center, radius, step):
     ev = events(spark, folder).withColumnRenamed("event_type", "pv")
     even = F.col("user_id") % 2 == 0
-    out = calibration.offset_scores(ev.where(even), ev.where(~even), "pv", "ts_us", "value", "event_id", calibration.grid(0, 600000000, 300000000), 3600000000.0)
-    return out.withColumn("joint_score", F.round("joint_score", 8))
+    return calibration.offset_scores(ev.where(even), ev.where(~even), "pv", "ts_us", "value", "event_id", *calibration.grid(center, radius, step), TOLERANCE)
+
+
+@query("offset_calibration", COARSE_SQL + ' select "offset", round(joint_score, 8) as joint_score, pvs from coarse')
+def offset_calibration(spark, folder):
+    """The coarse grid: 601 offsets in steps of a hundredth of a second."""
+    return _offset_scores(spark, folder, CENTER, RADIUS, COARSE).withColumn("joint_score", F.round("joint_score", 8))
 
 
-@query("offset_choice")
+@query(
+    "offset_choice",
+    COARSE_SQL
+    + f', best as (select "offset" as c from coarse {BEST_SQL})'
+    + _offset_sql("fine", f'select unnest(range(c - {NEAR}, c + {NEAR + 1}, {FINE})) as "offset" from best')
+    + f' select "offset", round(joint_score, 8) as joint_score from fine {BEST_SQL}',
+)
 def offset_choice(spark, folder):
-    """Coarse search, then a fine one around its best offset."""
-    ev = events(spark, folder).withColumnRenamed("event_type", "pv")
-    even = F.col("user_id") % 2 == 0
-    args = (ev.where(even), ev.where(~even), "pv", "ts_us", "value", "event_id")
-    coarse = calibration.best_offset(calibration.offset_scores(*args, calibration.grid(0, 600000000, 300000000), 3600000000.0), 0).first()
-    fine = calibration.offset_scores(*args, calibration.grid(int(coarse["offset"]), 60000000, 30000000), 3600000000.0)
-    return calibration.best_offset(fine, 0)
+    """Coarse search, then one in steps of a thousandth of a second around its best offset."""
+    coarse = calibration.best_offset(_offset_scores(spark, folder, CENTER, RADIUS, COARSE), CENTER).first()
+    center = coarse["offset"] if coarse["offset"] is not None else CENTER
+    fine = calibration.best_offset(_offset_scores(spark, folder, center, NEAR, FINE), CENTER)
+    return fine.withColumn("joint_score", F.round("joint_score", 8))
 
 
 PERTURB = """
