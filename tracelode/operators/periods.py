@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators.greedy import greedy_select
 from tracelode.operators.patterns import SEPARATOR, numbered_rows, positions, session_lengths
-from tracelode.operators.sessions import encode_tokens
+from tracelode.operators.sessions import token_dictionary
 from tracelode.plans.ordered import Ordered, ahead
 from tracelode.plans.sizing import small_side
 from tracelode.session import materialize
@@ -75,73 +75,65 @@ def peaks(acf: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
 
 
 def segment_table(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, tokens: str, lags: DataFrame, config: PeriodConfig
-) -> DataFrame:
-    """Statistics of every base segment of every candidate period.
-
-    A base is a distinct window that starts with the client prefix in the leading
-    part of the session.  Bases meet later windows through an equality join on
-    pieces: a window with at most ``e`` differing tokens agrees with the base on at
-    least one of ``e + 1`` pieces, so nothing is compared pair by pair blindly."""
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, tokens: str, lags: DataFrame, config: PeriodConfig, direct: int = 1_000
+) -> tuple[DataFrame, DataFrame]:
+    """Statistics of every base segment of every candidate period, and the bases' tokens as ``token_id``; ``base_pos`` names a base.
+
+    A base is a distinct window that starts with the client prefix in the leading part of the session; ``df`` holds a
+    ``token_id`` for each token of a session, so windows are short arrays of integers.  In sessions of up to ``direct`` rows
+    every base meets the later windows as they are, at most ``direct`` for each row.  In longer ones they meet through an
+    equality join on pieces: a window with at most ``e`` differing tokens agrees with the base on at least one of ``e + 1``
+    pieces, so nothing is compared pair by pair blindly."""
     keys = list(keys)
     ordered = numbered_rows(df, keys, order)
-    numbered = materialize(ordered.frame())
+    numbered = materialize(ordered.frame().select(
+        *keys, "pos", F.col("token_id").cast("int").alias("_t"), F.col(tokens).startswith(config.start_prefix).alias("_lead"), F.col(time).alias("_ts")
+    ))
     lengths = session_lengths(numbered, keys)
     reach = config.max_lag
-    spans = numbered.select(*keys, "pos", F.col(tokens).alias("_t"), F.col(time).alias("_ts"))
-    windows = ahead(spans, keys, "pos", reach, {"_toks": F.col("_t"), "_times": F.col("_ts")})
-    periods = lags.select(*keys, F.col("lag").alias("period")).join(small_side(lengths), keys)
+    windows = ahead(numbered, keys, "pos", reach, {"_toks": F.col("_t"), "_times": F.col("_ts")})
+    periods = materialize(lags.select(*keys, F.col("lag").alias("period")).join(small_side(lengths), keys))
+    group = [*keys, "period"]
     cut = (
         windows.join(small_side(periods), keys)
         .where(F.size("_toks") >= F.col("period"))
-        .withColumn("seg", F.slice("_toks", F.lit(1), F.col("period")))
-        .withColumn("_end", F.element_at("_times", F.col("period")))
+        .select(*group, "n", "pos", "_lead", "_ts", F.slice("_toks", F.lit(1), F.col("period")).alias("seg"), F.element_at("_times", F.col("period")).alias("_end"))
     )
-    group = [*keys, "period"]
     lead = F.floor(F.col("n") * (1 - config.coverage_threshold)) - 1
-    bases = (
-        cut.where((F.col("pos") < lead) & F.col("seg")[0].startswith(config.start_prefix))
-        .groupBy(*group, "seg")
+    bases = materialize(
+        cut.where((F.col("pos") < lead) & F.col("_lead"))
+        .groupBy(*group, "n", "seg")
         .agg(F.min("pos").alias("base_pos"), F.min_by("_ts", "pos").alias("base_ts"), F.min_by("_end", "pos").alias("base_end"))
     )
-    allowed = F.floor(F.round((1 - config.similarity_threshold) * F.col("period"), 6)).cast("int")
-    width = F.greatest(F.floor(F.col("period") / (allowed + 1)), F.lit(1)).cast("int")
-    pieces = F.posexplode(
-        F.transform(
-            F.sequence(F.lit(0), F.ceil(F.col("period") / width).cast("int") - 1),
-            lambda i: F.xxhash64(F.array_join(F.slice("seg", i * width + 1, width), SEPARATOR)),
-        )
-    )
-    left = bases.select(*group, F.col("seg").alias("base"), "base_pos", pieces.alias("piece", "code"))
-    right = cut.where((F.col("pos") < F.col("n") - F.col("period"))).select(
-        *group, "pos", "_ts", "_end", F.col("seg"), pieces.alias("piece", "code")
-    )
+    left = bases.select(*group, "n", F.col("seg").alias("base"), "base_pos")
+    right = cut.where((F.col("pos") < F.col("n") - F.col("period"))).select(*group, "n", "pos", F.col("_ts").alias("ts"), F.col("_end").alias("end_ts"), "seg")
     same = F.size(F.filter(F.zip_with("base", "seg", lambda a, b: a == b), lambda v: v)) / F.col("period")
-    near = (
-        left.join(right, [*group, "piece", "code"])
-        .where(F.col("pos") >= F.col("base_pos") + F.col("period"))
-        .withColumn("sim", same)
-        .where(F.col("sim") >= config.similarity_threshold)
-        .withColumn("base", F.array_join("base", SEPARATOR))
-        .groupBy(*group, "base", "base_pos", "pos")
-        .agg(F.first("sim").alias("sim"), F.first("_ts").alias("ts"), F.first("_end").alias("end_ts"))
-    )
-    picked = greedy_select(near, [*group, "base", "base_pos"], "pos", F.col("period"), bound=ordered.largest)
+
+    def meet(bases: DataFrame, later: DataFrame, on: list[str]) -> DataFrame:
+        pairs = bases.drop("n").join(later.drop("n"), on).where(F.col("pos") >= F.col("base_pos") + F.col("period")).withColumn("sim", same)
+        return pairs.where(F.col("sim") >= config.similarity_threshold).select(*group, "base_pos", "pos", "sim", "ts", "end_ts")
+
+    short = F.col("n") <= direct
+    near = meet(left.where(short), right.where(short), group)
+    if ordered.largest > direct:
+        allowed = F.floor(F.round((1 - config.similarity_threshold) * F.col("period"), 6)).cast("int")
+        width = F.greatest(F.floor(F.col("period") / (allowed + 1)), F.lit(1)).cast("int")
+
+        def pieces(column: str) -> Column:
+            count = F.ceil(F.col("period") / width).cast("int")
+            return F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.slice(column, i * width + 1, width)))).alias("piece", "code")
+
+        long = meet(left.where(~short).select("*", pieces("base")), right.where(~short).select("*", pieces("seg")), [*group, "piece", "code"])
+        near = near.unionByName(long.groupBy(*group, "base_pos", "pos").agg(*(F.first(c).alias(c) for c in ("sim", "ts", "end_ts"))))
+    picked = greedy_select(near, [*group, "base_pos"], "pos", F.col("period"), bound=ordered.largest)
     first = bases.select(
-        *group,
-        F.array_join("seg", SEPARATOR).alias("base"),
-        "base_pos",
-        F.col("base_pos").alias("pos"),
-        F.lit(None).cast("double").alias("sim"),
-        F.col("base_ts").alias("ts"),
-        F.col("base_end").alias("end_ts"),
+        *group, "base_pos", F.col("base_pos").alias("pos"), F.lit(None).cast("double").alias("sim"), F.col("base_ts").alias("ts"), F.col("base_end").alias("end_ts")
     )
     rows = picked.unionByName(first)
-    seq = Ordered(rows, [*group, "base"], ["pos"], ordered.largest).with_lead("next_ts", F.col("ts")).frame()
+    seq = Ordered(rows, [*group, "base_pos"], ["pos"], ordered.largest).with_lead("next_ts", F.col("ts")).frame()
     gap = (F.col("next_ts") - F.col("end_ts")) / 1e6
     length = (F.col("end_ts") - F.col("ts")) / 1e6
-    stats = seq.groupBy(*group, "base").agg(
-        F.min("base_pos").alias("base_pos"),
+    stats = seq.groupBy(*group, "base_pos").agg(
         F.count(F.lit(1)).alias("segments"),
         F.avg("sim").alias("similarity"),
         F.avg(gap).alias("interval_mean"),
@@ -149,7 +141,17 @@ def segment_table(
         F.avg(length).alias("duration_mean"),
         F.stddev_samp(length).alias("duration_std"),
     )
-    return stats.join(small_side(lengths), keys).withColumn("coverage", F.col("segments") * F.col("period") / F.col("n"))
+    stats = stats.join(small_side(lengths), keys).withColumn("coverage", F.col("segments") * F.col("period") / F.col("n"))
+    return stats, bases.select(*group, "base_pos", "seg")
+
+
+def named_bases(stats: DataFrame, bases: DataFrame, dictionary: DataFrame, keys: Sequence[str], tokens: str) -> DataFrame:
+    """``stats`` with the text ``base`` of each base."""
+    group = [*keys, "period", "base_pos"]
+    spread = bases.join(small_side(stats.select(*group)), group).select(*group, F.posexplode("seg").alias("_i", "token_id"))
+    words = spread.join(small_side(dictionary.select(*keys, "token_id", tokens)), [*keys, "token_id"])
+    texts = words.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", tokens))), lambda e: e[tokens]), SEPARATOR).alias("base"))
+    return stats.join(texts, group)
 
 
 def valid_segments(stats: DataFrame, config: PeriodConfig) -> DataFrame:
@@ -237,12 +239,14 @@ def identify_periods(
 ) -> DataFrame:
     """Period, pattern and stability per session."""
     keys = list(keys)
-    encoded = encode_tokens(df, keys, tokens)
-    numbered = positions(encoded, keys, order)
+    dictionary = materialize(token_dictionary(df, keys, tokens))
+    coded = df.join(small_side(dictionary), [*keys, tokens], "left")
+    numbered = positions(coded.where(F.col("token_id").isNotNull()), keys, order)
     acf = autocorrelation(numbered, keys, "token_id", config.max_lag)
     lags = materialize(peaks(acf, keys, config.autocorr_threshold))
-    stats = segment_table(df, keys, order, time, tokens, lags, config)
-    best = choose_period(valid_segments(stats, config), keys, config)
+    stats, bases = segment_table(coded, keys, order, time, tokens, lags, config)
+    valid = materialize(valid_segments(stats, config))
+    best = choose_period(named_bases(valid, bases, dictionary, keys, tokens), keys, config)
     score = lags.select(*keys, F.col("lag").alias("period"), F.col("r").alias("autocorr_score"))
     return best.join(score, [*keys, "period"], "left")
 
