@@ -182,13 +182,17 @@ def coverage_check(ranges: DataFrame, keys: Sequence[str], start: str, end: str)
 
 
 def intersecting(fields: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fields that share a byte with a block.  Both sides are exploded to positions,
-    so the join is an equality join."""
+    """Fields that share a byte with a block.
+
+    A field meets a block when, of the blocks that start at its end or before, the one that reaches furthest reaches its start:
+    a running maximum over both in order, one row each whatever their length."""
     keys = list(keys)
-    at = blocks.select(*keys, F.explode(F.sequence("start_position", "end_position")).alias("pos")).distinct()
-    field_at = fields.withColumn("pos", F.explode(F.sequence("start_pos", "end_pos")))
-    hit = field_at.join(at, [*keys, "pos"]).select(*keys, "start_pos", "end_pos").distinct()
-    return fields.join(hit, [*keys, "start_pos", "end_pos"], "left_semi")
+    whole = lambda df, *columns: df.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*keys, *columns])))
+    body = F.struct(*[F.col(c) for c in fields.columns])
+    ends = whole(fields, "start_pos", "end_pos").select(*keys, F.col("end_pos").cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_reach"), body.alias("_f"))
+    starts = whole(blocks, "start_position", "end_position").select(*keys, F.col("start_position").cast("long").alias("_at"), F.lit(0).alias("_side"), F.col("end_position").cast("long").alias("_reach"))
+    scan = Ordered(ends.unionByName(starts, allowMissingColumns=True), keys, ["_at", "_side"]).with_cummax("_far", F.col("_reach")).frame()
+    return scan.where((F.col("_side") == 1) & (F.col("_far") >= F.col("_f.start_pos"))).select("_f.*")
 
 
 def cumulative_split(df: DataFrame, time: str, span: int) -> DataFrame:
