@@ -3,7 +3,7 @@
 import random
 
 
-from tracelode.operators import blocks
+from tracelode.operators import blocks, sweep
 
 
 def overlap_rows(spark, rng, length):
@@ -25,3 +25,19 @@ def test_long_blocks_are_not_opened(spark):
     right = spark.createDataFrame(rows, "session int, start_position int, end_position int")
     left = spark.createDataFrame([(1, 5, 9), (1, 8, 10), (1, 2_000_000_000, 2_000_000_003)], "session int, start_pos int, end_pos int")
     assert sorted(r["start_pos"] for r in blocks.intersecting(left, right, ["session"]).collect()) == [8, 2_000_000_000]
+
+
+def test_few_windows_travel_to_the_points(spark):
+    rng = random.Random(6)
+    points = [(rng.choice([0, 1]), rng.randrange(100), rng.choice([None, 1, 2])) for _ in range(150)]
+    windows = [(k % 2, s, s + rng.randrange(4), k) for k, s in enumerate(rng.randrange(110) for _ in range(40))]
+    p = spark.createDataFrame(points, "k int, t int, v int")
+    w = spark.createDataFrame(windows, "k int, s int, e int, name int")
+    want = []
+    for k, s, e, name in windows:
+        held = [v for a, t, v in points if a == k and s <= t <= e]
+        want.append((k, s, e, name, len(held), len({v for v in held if v is not None}) > 1))
+    few = sweep.changing_in_windows(p, w, ["k"], "t", "s", "e", ["v"])
+    assert "Window" not in few._jdf.queryExecution().executedPlan().toString()
+    many = sweep.changing_in_windows(p, w, ["k"], "t", "s", "e", ["v"], few=0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(want)

@@ -81,19 +81,40 @@ def windows_with_alarms(points: DataFrame, windows: DataFrame, keys: Sequence[st
     return windows.join(hits, own, "left").withColumn("alarm_points", F.coalesce("alarm_points", F.lit(0))).withColumn("predicted", F.col("alarm_points") > 0)
 
 
-def changing_in_windows(points: DataFrame, windows: DataFrame, keys: Sequence[str], time: str, start: str, end: str, columns: Sequence[str]) -> DataFrame:
+def changing_in_few(points: DataFrame, windows: DataFrame, keys: Sequence[str], time: str, start: str, end: str, columns: Sequence[str]) -> DataFrame:
+    """:func:`changing_in_windows` for a broadcast of windows: counts, least and greatest values are combined in the scan."""
+    held = windows.select(F.struct(*windows.columns).alias("_w"))
+    same = [F.col(f"_w.{k}").eqNullSafe(F.col(k)) for k in keys]
+    inside = F.col(time).between(F.col(f"_w.{start}"), F.col(f"_w.{end}"))
+    met = points.select(*keys, time, *columns)
+    for c in same:
+        inside = inside & c
+    found = met.join(F.broadcast(held), inside).groupBy("_w").agg(F.count(F.lit(1)).alias("points"), *((F.min(c) != F.max(c)).alias(f"{c}_changes") for c in columns))
+    every = held.join(found.withColumnRenamed("_w", "_own"), F.col("_w").eqNullSafe(F.col("_own")), "left")
+    return every.select("_w.*", F.coalesce("points", F.lit(0)).alias("points"), *(F.coalesce(f"{c}_changes", F.lit(False)).alias(f"{c}_changes") for c in columns))
+
+
+def changing_in_windows(
+    points: DataFrame, windows: DataFrame, keys: Sequence[str], time: str, start: str, end: str, columns: Sequence[str], few: int = 64
+) -> DataFrame:
     """Every window with the number of its points and one flag a column: whether its values in [start, end] are not all the
     same; nulls do not count.
 
-    A value is a change when it differs from the known one before it; a window holds more than one value when a change lies
-    in it other than at its first known value."""
+    Up to ``few`` windows travel to the points.  Of more, a value is a change when it differs from the known one before it; a
+    window holds more than one value when a change lies in it other than at its first known value."""
     keys = list(keys)
+    head = windows.distinct().limit(few + 1).collect()
+    if len(head) <= few:
+        return changing_in_few(points, windows.sparkSession.createDataFrame(head, windows.schema), keys, time, start, end, columns)
     steps = Ordered(points.select(*keys, time, *columns), keys, [time, *columns])
     for c in columns:
         steps = steps.with_last_known(f"_k_{c}", F.col(c)).with_lag(f"_p_{c}", F.col(f"_k_{c}"))
     changed = {c: (F.col(c).isNotNull() & F.col(f"_p_{c}").isNotNull() & (F.col(c) != F.col(f"_p_{c}"))).cast("int") for c in columns}
     known = {f"{c}_known": F.col(c).isNotNull() for c in columns}
-    axis = Ordered(_axis(steps.frame(), windows, keys, time, start, end, changed | known | {"": F.lit(1)}, True), keys, ["_at", "_side"]).with_cumsum("_c_", F.coalesce("_v_", F.lit(0)))
+    # points of one time stand in the order that told their changes
+    ties = {f"{c}_tie": F.col(c) for c in columns}
+    rows = _axis(steps.frame(), windows, keys, time, start, end, changed | known | ties | {"": F.lit(1)}, True)
+    axis = Ordered(rows, keys, ["_at", "_side", *(f"_v_{c}" for c in ties)]).with_cumsum("_c_", F.coalesce("_v_", F.lit(0)))
     for c in columns:
         first = F.when(F.col(f"_v_{c}_known"), F.struct(F.col("_at").alias("t"), F.col(f"_v_{c}").alias("c")))
         axis = axis.with_cumsum(f"_c_{c}", F.coalesce(F.col(f"_v_{c}"), F.lit(0))).with_next_known(f"_f_{c}", first)
