@@ -1,9 +1,12 @@
 """Steps whose memory or shuffle must not grow faster than their input."""
 
+import math
 import random
 
+import numpy as np
 
 from tracelode.operators import blocks, sweep
+from tracelode.plans.quantiles import quantile
 
 
 def overlap_rows(spark, rng, length):
@@ -41,3 +44,15 @@ def test_few_windows_travel_to_the_points(spark):
     assert "Window" not in few._jdf.queryExecution().executedPlan().toString()
     many = sweep.changing_in_windows(p, w, ["k"], "t", "s", "e", ["v"], few=0)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(want)
+
+
+def test_one_quantile_without_ranking_all_values(spark):
+    rng = random.Random(7)
+    for values in ([rng.gauss(0, 1) for _ in range(5_000)], [float(rng.randrange(3)) for _ in range(999)], [4.5]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        for q in (0.0, 0.99):
+            want = float(np.quantile(values, q))
+            n = len(values)
+            for guess in (None, (n, want - 0.01, want + 0.01), (n, want + 5, want + 6)):
+                assert math.isclose(quantile(df, "v", q, guess=guess), want, rel_tol=1e-12, abs_tol=1e-12)
+    assert quantile(df.where("v is null"), "v", 0.5) is None

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.plans.quantiles import quantiles
+from tracelode.plans.quantiles import quantile, quantiles
 
 
 def scaled(train: DataFrame, columns: Sequence[str]) -> list[tuple[str, float, float]]:
@@ -213,19 +213,23 @@ def robust_envelope(
     best = min((concentrated(x, keep, m, c, 50) for _, m, c in sorted(first, key=lambda f: f[0])[:10]), key=lambda f: f[0])
     mean, cov, last = best[1], best[2], math.inf
     rows = train.select(*columns)
+    total = rows.select(F.count(_distance(columns, mean, cov))).first()[0]
+    guess, limit = None, math.inf
     for _ in range(30):
-        distance = _distance(columns, mean, cov)
-        limit = quantiles(rows.select(distance.alias("d")), [], "d", {"t": share}).first()["t"]
+        distance, before = _distance(columns, mean, cov), limit
+        limit = quantile(rows.select(distance.alias("d")), "d", share, guess=guess)
+        moved = abs(limit - before)  # limits move less from step to step; a bracket of many values would save nothing
+        guess = (total, limit - 2 * moved, limit + 2 * moved) if 0 < moved < limit * 2e-3 else None
         mean, cov = _moments(rows.where(distance <= limit), columns)
         size = float(np.linalg.det(cov))
         if size >= last * (1 - 1e-9) or size <= 0:
             break
         last = size
-    middle = quantiles(rows.select(_distance(columns, mean, cov).alias("d")), [], "d", {"t": 0.5}).first()["t"]
+    middle = quantile(rows.select(_distance(columns, mean, cov).alias("d")), "d", 0.5)
     cov = cov * (middle / chi2_quantile(0.5, d))
     mean, cov = _moments(rows.where(_distance(columns, mean, cov) < chi2_quantile(0.975, d)), columns)
     distance = _distance(columns, mean, cov)
-    limit = quantiles(rows.select(distance.alias("d")), [], "d", {"t": 1 - contamination}).first()["t"]
+    limit = quantile(rows.select(distance.alias("d")), "d", 1 - contamination)
     return distance, float(limit)
 
 

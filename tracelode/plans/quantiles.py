@@ -6,6 +6,7 @@ interpolation between neighbours, as numpy and pandas do by default."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,35 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
     return _from_weights(weights(df, keys, value), list(keys), wanted)[0]
 
 
+def quantile(df: DataFrame, value: str, q: float, accuracy: int = 1_000, guess: tuple[int, float, float] | None = None) -> float | None:
+    """One quantile of all non-null values, as :func:`quantiles` gives it, without a sort of them.
+
+    A sketch brackets it by some ranks in ``accuracy``; a second pass counts the values below the bracket and the distinct
+    ones inside, where the exact rank is looked up.  ``guess``, the number of values and a bracket, saves the sketch.  If the
+    guess misses the rank, the sketch follows, and if that misses it, all values are ranked."""
+    if guess is None:
+        reach = 4 / accuracy
+        ends = F.percentile_approx(value, [max(0.0, q - reach), min(1.0, q + reach)], accuracy * 2)
+        row = df.agg(F.count(value).alias("n"), ends.alias("ends"), F.min(value).alias("least"), F.max(value).alias("most")).first()
+        if not row["n"]:
+            return None
+        n, low, high = row["n"], row["ends"][0] if q > reach else row["least"], row["ends"][1] if q + reach < 1 else row["most"]
+    else:
+        n, low, high = guess
+    near = df.where(F.col(value) <= high).groupBy(F.when(F.col(value) >= low, F.col(value)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(near)
+    inside = counts.where(F.col("_v").isNotNull())
+    sums = counts.agg(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("below"), F.sum("_c").alias("upto")).first()
+    at = (n - 1) * q
+    first, last = math.floor(at), math.ceil(at)
+    if first < sums["below"] or last >= (sums["upto"] or 0):
+        return quantile(df, value, q, accuracy) if guess else quantiles(df, [], value, {"t": q}).first()["t"]
+    ranked = Ordered(inside, [], ["_v"]).with_cumsum("_upto", F.col("_c")).frame()
+    upto = F.col("_upto") + sums["below"]
+    found = ranked.agg(F.min(F.when(upto > first, F.col("_v"))).alias("a"), F.min(F.when(upto > last, F.col("_v"))).alias("b")).first()
+    return found["a"] + (found["b"] - found["a"]) * (at - first)
+
+
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5})
 
