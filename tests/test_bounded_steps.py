@@ -3,10 +3,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
-from tracelode.operators import blocks, sweep
-from tracelode.plans.quantiles import quantile
+from tracelode.operators import blocks, similarity, sweep
+from tracelode.plans.quantiles import quantile, quantiles
+from tracelode.queries import ORACLES
 
 
 def overlap_rows(spark, rng, length):
@@ -56,3 +59,36 @@ def test_one_quantile_without_ranking_all_values(spark):
             for guess in (None, (n, want - 0.01, want + 0.01), (n, want + 5, want + 6)):
                 assert math.isclose(quantile(df, "v", q, guess=guess), want, rel_tol=1e-12, abs_tol=1e-12)
     assert quantile(df.where("v is null"), "v", 0.5) is None
+
+
+def test_quantiles_are_rounded_as_in_sql(spark):
+    """Interpolated values equal those of quantile_cont in every bit."""
+    rng = random.Random(7)
+    rows = [(k, round(rng.uniform(0.01, 500), 2)) for k in range(400) for _ in range(rng.randrange(5, 40))]
+    found = quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.75})
+    held = pa.table({"k": [k for k, _ in rows], "v": [v for _, v in rows]})  # noqa: F841
+    want = duckdb.sql("select k, quantile_cont(v, [0.25, 0.5, 0.75]) from held group by 1").fetchall()
+    assert {r["k"]: [r["a"], r["b"], r["c"]] for r in found.collect()} == dict(want)
+    ends = spark.createDataFrame([(0, float("inf")), (0, 1.0), (0, 1.0), (0, 2.0), (0, 3.0), (1, 1e300), (1, 1.5e300)], "k int, v double")
+    got = {r["k"]: r for r in quantiles(ends, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 1.0}).collect()}
+    assert (got[0]["a"], got[0]["b"], got[0]["c"]) == (1.0, 2.0, math.inf) and math.isclose(got[1]["b"], 1.25e300)
+
+
+def test_quartiles_that_differ_by_epsilon(spark):
+    """Ties of a quartile's distance with epsilon fall as in SQL."""
+    rng, left, right = random.Random(8), [], []
+    for k in range(3_000):
+        a, b = (sorted(rng.randrange(100, 5_000) for _ in range(n)) for n in (5, 3))
+        low = a[1] + (a[2] - a[1]) / 4
+        last = round(60 * abs(low - b[0]) - sum(a))  # the mean of a is ten times the distance
+        if a[0] <= b[0] and last >= max(a[4], b[2]) and (a[0] + sum(b) + last) / 5 > (sum(a) + last) / 6:
+            left += [(k, i, v / 100) for i, v in enumerate([*a, last])]
+            right += [(k, i, v / 100) for i, v in enumerate([a[0], *b, last])]
+    a0, b0 = ({c: [r[i] for r in rows] for i, c in enumerate(("user_id", "i", "v"))} for rows in (left, right))
+    a0, b0 = pa.table(a0), pa.table(b0)
+    body = ORACLES["similarity_quantiles"].split("sa as", 1)[1]
+    want = dict(duckdb.sql("with sa as" + body).fetchall())
+    a, b = (spark.createDataFrame(rows, "user_id long, i int, v double") for rows in (left, right))
+    found = similarity.quantile_similarity(a, b, similarity.both(a, b, ["user_id"]), ["user_id"])
+    got = {r["user_id"]: round(r["quantile_similarity"], 9) for r in found.collect()}
+    assert len(want) > 20 and got == {k: round(float(v), 9) for k, v in want.items()}

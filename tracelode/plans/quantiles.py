@@ -2,14 +2,15 @@
 
 Values are first reduced to (value, count); a cumulative count over the distinct
 values then finds the rows around each requested position.  Linear
-interpolation between neighbours, as numpy and pandas do by default."""
+interpolation between neighbours, rounded as SQL's ``quantile_cont`` does it, so that
+comparisons at equality come out alike."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.plans.ordered import Ordered
@@ -26,6 +27,31 @@ def weights(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return materialize(counts)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c in doubles with the product's rounding error added back; ``b`` lies between 0 and 1."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        far = x * F.lit(134217729.0)
+        high = far - (far - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    product = a * b
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + c
+    rest = total - product
+    return total + (((product - (total - rest)) + (c - rest)) + lost)
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """The value at ``share`` of the way from ``low`` to ``high``: low * (1 - share) + high * share, where only the second product
+    is rounded."""
+    low, high = low.cast("double"), high.cast("double")
+    large = F.greatest(F.abs(low), F.abs(high)) > 1e290  # splitting would overflow
+    plain = low * (1 - share) + high * share
+    return F.when((share == 0) | (low == high), low).when(large, plain).otherwise(fused(low, 1 - share, high * share))
+
+
 def _from_weights(counts: DataFrame, keys: list[str], wanted: Mapping[str, float]) -> tuple[DataFrame, int | None]:
     """Quantiles from weights, and the number of groups the size check found."""
     scan = Ordered(counts, keys, ["_v"])
@@ -42,7 +68,7 @@ def _from_weights(counts: DataFrame, keys: list[str], wanted: Mapping[str, float
         lower = F.max(F.when(covers_low, F.col("_v")))
         upper = F.max(F.when(covers_high, F.col("_v")))
         share = F.max(at - low)
-        aggregates.append((lower + (upper - lower) * share).alias(name))
+        aggregates.append(between(lower, upper, share).alias(name))
     return joined.groupBy(*keys).agg(*aggregates), scan.groups
 
 
@@ -77,7 +103,7 @@ def quantile(df: DataFrame, value: str, q: float, accuracy: int = 1_000, guess:
     ranked = Ordered(inside, [], ["_v"]).with_cumsum("_upto", F.col("_c")).frame()
     upto = F.col("_upto") + sums["below"]
     found = ranked.agg(F.min(F.when(upto > first, F.col("_v"))).alias("a"), F.min(F.when(upto > last, F.col("_v"))).alias("b")).first()
-    return found["a"] + (found["b"] - found["a"]) * (at - first)
+    return math.fma(float(found["a"]), 1 - (at - first), float(found["b"]) * (at - first)) if first < last else found["a"]
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
