@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tracelode.operators import blocks, similarity, sweep
 from tracelode.plans.quantiles import quantile, quantiles
@@ -92,3 +93,23 @@ def test_quartiles_that_differ_by_epsilon(spark):
     found = similarity.quantile_similarity(a, b, similarity.both(a, b, ["user_id"]), ["user_id"])
     got = {r["user_id"]: round(r["quantile_similarity"], 9) for r in found.collect()}
     assert len(want) > 20 and got == {k: round(float(v), 9) for k, v in want.items()}
+
+
+def test_pairs_share_their_series(spark):
+    """Scores by shared windows and counts are those of windows that are copied for each pair."""
+    rng = random.Random(9)
+    sizes = {"f": (0, 9), "g": (0, 9), "h": (0, 31), "x": (1, 30), "y": (1, 12), "z": (1, 4)}
+    rows = [(s, name, i, float(rng.randrange(1, 6)) if name != "z" else rng.random()) for s in (0, 1) for name, (_, n) in sizes.items() for i in range(n + s)]
+    series = spark.createDataFrame(rows, "session int, name string, i long, v double")
+    pairs = spark.createDataFrame([(s, f, c) for s in (0, 1) for f in "fgh" for c in "xyz" if (f, c) != ("g", "y")], "session int, field string, column string")
+    left, right = (series.where(F.col("name").isin(*names)) for names in ("fgh", "xyz"))
+    own = ["session", "field", "column"]
+    sides = [df.withColumnRenamed("name", n).join(pairs, ["session", n]).select(*own, "i", "v") for df, n in ((left, "field"), (right, "column"))]
+    want = similarity.weighted_scores(*similarity.sliding_pairs(*sides, own), [*own, "window"])
+    got = similarity.paired_scores(pairs, left, right, ["session"])
+    assert sorted(got.columns) == sorted(want.columns)
+    names = [c for c in want.columns if c not in (*own, "window")]
+    want, got = ({tuple(r[c] for c in (*own, "window")): [r[c] for c in names] for r in df.collect()} for df in (want, got))
+    assert want.keys() == got.keys() and len(want) > 60
+    for k, values in want.items():
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(values, got[k])), (k, names, values, got[k])

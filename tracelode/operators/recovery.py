@@ -167,16 +167,14 @@ def pair_scores(pairs: DataFrame, fields: DataFrame, columns: DataFrame, keys: S
     own = [*keys, "field", "column"]
     pairs = materialize(pairs)
 
-    def side(series: DataFrame, name: str, numeric: bool) -> DataFrame:
-        wanted = pairs.where((F.col("kind") != "text") if numeric else (F.col("kind") == "text")).select(*own)
-        rows = series.select(*keys, F.col("name").alias(name), "i", (F.col("v") if numeric else F.col("text")).alias("v"))
-        return rows.join(wanted, [*keys, name]).select(*own, "i", "v")
-
-    # every measure reads the windows of both sides, so they are written once
-    a, b = (materialize(w) for w in similarity.sliding_pairs(side(fields, "field", True), side(columns, "column", True), own))
-    windows = materialize(similarity.weighted_scores(a, b, [*own, "window"], weights))
+    def side(series: DataFrame, name: str) -> DataFrame:
+        rows = series.select(*keys, F.col("name").alias(name), F.col("text").alias("v"))
+        return rows.join(pairs.where(F.col("kind") == "text").select(*own), [*keys, name]).select(*own, "v")
+
+    wanted = pairs.where(F.col("kind") != "text")
+    windows = materialize(similarity.paired_scores(wanted, fields, columns, keys, weights))
     numbers = similarity.column_scores(windows, own).select(*own, "score")
-    texts = similarity.presence_ratio(side(fields, "field", False), side(columns, "column", False), own).withColumnRenamed("presence", "score")
+    texts = similarity.presence_ratio(side(fields, "field"), side(columns, "column"), own).withColumnRenamed("presence", "score")
     return pairs.join(numbers.unionByName(texts), own).select(*own, "kind", "score")
 
 

@@ -18,12 +18,12 @@ from tracelode.plans.sizing import small_side
 from tracelode.session import materialize
 
 
-def weights(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def weights(df: DataFrame, keys: Sequence[str], value: str, count: Column | None = None) -> DataFrame:
     """(keys, _v, _c): distinct non-null values with their counts.
 
     Written once, because the size check, the scan and every later statistic read
     it; the input itself is scanned a single time."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("_c"))
     return materialize(counts)
 
 
@@ -72,9 +72,9 @@ def _from_weights(counts: DataFrame, keys: list[str], wanted: Mapping[str, float
     return joined.groupBy(*keys).agg(*aggregates), scan.groups
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """One row per group with the named quantiles of the non-null values."""
-    return _from_weights(weights(df, keys, value), list(keys), wanted)[0]
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], count: Column | None = None) -> DataFrame:
+    """One row per group with the named quantiles of the non-null values; ``count`` tells how often a row counts."""
+    return _from_weights(weights(df, keys, value, count), list(keys), wanted)[0]
 
 
 def quantile(df: DataFrame, value: str, q: float, accuracy: int = 1_000, guess: tuple[int, float, float] | None = None) -> float | None:
