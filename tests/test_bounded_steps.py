@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tracelode.operators import blocks, similarity, sweep
+from tracelode.operators import blocks, inference, similarity, sweep
 from tracelode.plans.quantiles import quantile, quantiles
 from tracelode.queries import ORACLES
 
@@ -113,3 +113,29 @@ def test_pairs_share_their_series(spark):
     assert want.keys() == got.keys() and len(want) > 60
     for k, values in want.items():
         assert all(a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(values, got[k])), (k, names, values, got[k])
+
+
+def test_types_read_distinct_slices(spark):
+    """Equal slices are one row with a count, and counts change no score."""
+    rng = random.Random(10)
+    rows = [(k % 2, k, bytes([65, 65, 65 + rng.randrange(2), rng.randrange(3)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "session int, seq int, payload binary")
+    base = df.withColumns({"prev": F.col("payload"), "min_len": F.lit(4)})
+    held = inference._slices(base, ["session"], 2).collect()
+    assert sum(r["c"] for r in held) == 600 and len(held) <= 2 * (1 + 2 + 6)
+    found = {(r["start"], r["field_type"], r["endian"]): r for r in inference.candidates(df.where("session = 0"), ["session"], "seq", [1, 2]).collect()}
+    assert not found[(0, "UINT16", "big")]["is_dynamic"] and found[(2, "UINT16", "big")]["is_dynamic"]
+    values = [r[2][2] * 256 + r[2][3] for r in rows if r[0] == 0]
+    steps, width = np.diff(values), max(values) - min(values)
+    low, high = np.quantile(values, [0.25, 0.75])
+    score = (high - low) / width / (1 + np.std(steps) / width)
+    spread = 0.2 if score >= 0.6 else 0.1 if score >= 0.4 else -0.05 if score >= 0.2 else -0.2
+
+    def entropy(at):
+        share = np.unique([r[2][at] for r in rows if r[0] == 0], return_counts=True)[1] / 100
+        return round(float(-(share * np.log2(share)).sum()), 12)
+
+    order = 0.3 if entropy(3) > entropy(2) else -0.15
+    heuristic = min(1.0, max(0.0, 0.2 + 0.1 + order + spread))
+    want = min(1.0, 0.35 + 0.65 * heuristic + (0 if heuristic > 0 else -0.15 / 2**0.5))
+    assert math.isclose(found[(2, "UINT16", "big")]["confidence"], round(want, 9))

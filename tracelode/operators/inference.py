@@ -2,11 +2,14 @@
 
 Every statistic a heuristic needs is an aggregate over (session, start): the value of
 a slice and of the same slice in the previous payload sit in one row, so ordered
-measures need no window per slice.  Byte entropies come from the byte histogram."""
+measures need no window per slice.  Equal rows are counted once for each length, before
+any type reads them: payloads are cut once, and types read distinct slices with their
+counts.  Byte entropies come from the byte histogram."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ INT_BANDS = {
 TYPE_ORDER = ["UINT8", "UINT16", "UINT32", "UINT64", "INT8", "INT16", "INT32", "INT64", "FLOAT32", "FLOAT64", "ASCII_STRING", "UTF8_STRING", "BINARY_DATA", "IPV4", "MAC_ADDRESS", "TIMESTAMP"]
 LENGTH_FACTORS = {1: 0.55, 2: 0.65, 3: 0.75, 4: 0.85, 5: 0.95}
 FIXED_CONFIDENCE = 0.4
+COMPARED = (2, 4, 8)
 COLUMNS = ["start", "length", "field_type", "endian", "heuristic", "is_dynamic"]
 
 
@@ -48,24 +52,32 @@ def _clip(value: Column) -> Column:
 
 
 def _slices(base: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, start, b, p, c): distinct slices with the slice before, for the lengths whose types compare them, and their counts."""
     last = F.col("min_len") - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return base.select(*keys, "payload", "prev", "entropies", F.explode(starts).alias("start"))
+    rows = base.select(*keys, "payload", "prev", F.explode(starts).alias("start"))
+    before = binary.cut(F.col("prev"), F.col("start"), length) if length in COMPARED else F.lit(None).cast("binary")
+    rows = rows.select(*keys, "start", binary.cut(F.col("payload"), F.col("start"), length).alias("b"), before.alias("p"))
+    return materialize(rows.groupBy(*keys, "start", "b", "p").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _int_candidates(rows: DataFrame, keys: list[str], length: int, endian: str) -> DataFrame:
+def _times(condition: Column) -> Column:
+    """How many rows fulfil the condition."""
+    return F.sum(F.when(condition, F.col("c")).otherwise(0))
+
+
+def _int_candidates(rows: DataFrame, entropies: DataFrame, keys: list[str], length: int, endian: str) -> DataFrame:
     """Unsigned and signed candidates of one width and byte order."""
     kinds = [(f"UINT{8 * length}", binary.uint), (f"INT{8 * length}", binary.sint)]
     parts = []
     for kind, read in kinds:
         base, bands, rest = INT_BANDS[kind]
-        v = read(F.col("payload"), F.col("start"), length, endian).cast("double")
-        p = read(F.col("prev"), F.col("start"), length, endian).cast("double")
-        valued = rows.select(*keys, "start", "entropies", v.alias("v"), p.alias("p"))
+        v = read(F.col("b"), 0, length, endian).cast("double")
+        p = read(F.col("p"), 0, length, endian).cast("double")
+        valued = rows.select(*keys, "start", "c", v.alias("v"), (v - p).alias("d"))
         stats = valued.groupBy(*keys, "start").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_pop(F.col("v") - F.col("p")).alias("dd"),
-            *[F.count_if(F.col("v").between(a, b)).alias(f"b{i}") for i, (_, a, b, _) in enumerate(bands)], F.first("entropies").alias("e"),
-        )
+            F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *[_times(F.col("v").between(a, b)).alias(f"b{i}") for i, (_, a, b, _) in enumerate(bands)],
+        ).join(entropies, keys)
         share = None
         for i, (limit, _, _, bonus) in enumerate(bands):
             hit = F.col(f"b{i}") >= F.col("n") * limit
@@ -77,8 +89,11 @@ def _int_candidates(rows: DataFrame, keys: list[str], length: int, endian: str)
             conf = conf + F.when(F.col("n") >= 5, nibble).otherwise(0.0)
             out = stats.withColumn("heuristic", _clip(conf))
         else:
-            middle = quantiles(valued, [*keys, "start"], "v", {"q1": 0.25, "q3": 0.75})
-            stats = stats.join(middle, [*keys, "start"])
+            middle = quantiles(valued, [*keys, "start"], "v", {"q1": 0.25, "q3": 0.75}, F.col("c"))
+            moved = valued.where(F.col("d").isNotNull())
+            mean = moved.groupBy(*keys, "start").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
+            spread = moved.join(mean, [*keys, "start"]).groupBy(*keys, "start").agg(F.sqrt(F.sum(F.pow(F.col("d") - F.col("m"), 2) * F.col("c")) / F.sum("c")).alias("dd"))
+            stats = stats.join(middle, [*keys, "start"]).join(spread, [*keys, "start"], "left")
             width = F.col("hi") - F.col("lo")
             score = F.try_divide(F.col("q3") - F.col("q1"), width) / (1 + F.try_divide(F.col("dd"), width))
             spread = F.when(F.col("n") < 3, 0.0).when(width == 0, 0.1).otherwise(_step(score, [(0.6, 0.2), (0.4, 0.1), (0.2, -0.05)], -0.2))
@@ -94,21 +109,22 @@ def _int_candidates(rows: DataFrame, keys: list[str], length: int, endian: str)
 
 
 def _float_candidates(rows: DataFrame, keys: list[str], length: int, endian: str) -> DataFrame:
-    data, at = F.col("payload"), F.col("start")
+    data, at = F.col("b"), 0
     if length == 4:
         bits, value, eb, fb, small, large = binary.uint(data, at, 4, endian), binary.float32(data, at, endian), 8, 23, 1e-6, 1e6
         best, fair = (0.42, 0.55), (0.35, 0.65)
     else:
         bits, value, eb, fb, small, large = binary.sint(data, at, 8, endian), binary.float64(data, at, endian), 11, 52, 1e-8, 1e8
         best, fair = (0.40, 0.56), (0.35, 0.65)
-    valued = rows.select(*keys, "start", bits.alias("bits"), value.alias("v"))
+    valued = rows.select(*keys, "start", "c", bits.alias("bits"), value.alias("v"))
     fraction = F.col("bits").bitwiseAND(F.lit((1 << fb) - 1))
     size = F.abs(F.col("v"))
+    c = F.col("c")
     stats = valued.groupBy(*keys, "start").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(binary.is_finite(F.col("v"))).alias("ok"), (F.sum(F.bit_count(fraction)) / fb).alias("sig"),
-        F.greatest(*[F.sum(F.shiftrightunsigned("bits", fb + k).bitwiseAND(F.lit(1))) for k in range(eb)]).alias("top"),
-        F.bit_and(fraction).alias("ba"), F.bit_or(fraction).alias("bo"), F.count_if(((size > 0) & (size < small)) | (size > large)).alias("extreme"),
-        F.count_if(((size >= small) & (size <= large)) | (size == 0)).alias("usual"), F.count_if(F.col("v") != F.floor("v")).alias("frac"),
+        F.sum(c).alias("n"), F.bool_and(binary.is_finite(F.col("v"))).alias("ok"), (F.sum(F.bit_count(fraction) * c) / fb).alias("sig"),
+        F.greatest(*[F.sum(F.shiftrightunsigned("bits", fb + k).bitwiseAND(F.lit(1)) * c) for k in range(eb)]).alias("top"),
+        F.bit_and(fraction).alias("ba"), F.bit_or(fraction).alias("bo"), _times(((size > 0) & (size < small)) | (size > large)).alias("extreme"),
+        _times(((size >= small) & (size <= large)) | (size == 0)).alias("usual"), _times(F.col("v") != F.floor("v")).alias("frac"),
         F.min("bits").alias("lo"), F.max("bits").alias("hi"),
     )
     ratio = F.col("sig") / F.greatest(F.col("top"), F.lit(1))
@@ -127,13 +143,13 @@ def _float_candidates(rows: DataFrame, keys: list[str], length: int, endian: str
 
 
 def _time_candidates(rows: DataFrame, keys: list[str], length: int, endian: str) -> DataFrame:
-    v = binary.unix_millis(F.col("payload"), F.col("start"), length, endian)
-    p = binary.unix_millis(F.col("prev"), F.col("start"), length, endian)
-    valued = rows.select(*keys, "start", v.alias("v"), p.alias("p"))
+    v = binary.unix_millis(F.col("b"), 0, length, endian)
+    p = binary.unix_millis(F.col("p"), 0, length, endian)
+    valued = rows.select(*keys, "start", "c", v.alias("v"), p.alias("p"))
     d = F.col("v") - F.col("p")
     stats = valued.groupBy(*keys, "start").agg(
-        F.count(F.lit(1)).alias("n"), F.count("v").alias("good"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(d >= 0).alias("up"),
-        F.count_if(d > 0).alias("rise"), F.avg(F.when(d > 0, d)).alias("gap"),
+        F.sum("c").alias("n"), _times(F.col("v").isNotNull()).alias("good"), F.min("v").alias("lo"), F.max("v").alias("hi"), _times(d >= 0).alias("up"),
+        _times(d > 0).alias("rise"), (F.sum(F.when(d > 0, d.cast("double") * F.col("c"))) / F.sum(F.when(d > 0, F.col("c")))).alias("gap"),
     )
     steps = F.greatest(F.col("n") - 1, F.lit(1))
     up, rise = F.col("up") / steps, F.col("rise") / steps
@@ -160,19 +176,19 @@ def _time_candidates(rows: DataFrame, keys: list[str], length: int, endian: str)
 
 def _plain_candidates(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
     """Strings, addresses and raw bytes: they have no byte order."""
-    piece = binary.cut(F.col("payload"), F.col("start"), length)
-    text = F.try_validate_utf8(piece.cast("string"))
-    valued = rows.select(*keys, "start", piece.alias("b"), text.alias("t"))
-    chars = F.length("t")
+    if length in COMPARED:
+        rows = rows.groupBy(*keys, "start", "b").agg(F.sum("c").alias("c"))
+    valued = rows.select(*keys, "start", "b", "c", F.try_validate_utf8(F.col("b").cast("string")).alias("t"))
+    c = F.col("c")
 
     def kept(pattern: str) -> Column:
-        return F.length(F.regexp_replace("t", pattern, ""))
+        return F.sum(F.length(F.regexp_replace("t", pattern, "")) * c)
 
     stats = valued.groupBy(*keys, "start").agg(
-        F.count(F.lit(1)).alias("n"), F.count("t").alias("valid"), F.coalesce(F.bool_and(binary.is_protocol_string(F.col("t"))), F.lit(False)).alias("fine"),
-        F.count_if(F.col("t").rlike(r"^\p{ASCII}*$")).alias("ascii"), F.sum(chars).alias("chars"),
-        F.sum(kept(r"[^A-Za-z0-9 .,!?;:()\[\]{}\"'\-_]")).alias("common_ascii"), F.sum(kept(r"[^\p{L}\p{N}.,!?;:()\[\]{}\"'\-_]")).alias("common_utf8"),
-        F.count_if(~F.col("t").rlike(r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]")).alias("printable"), F.min("b").alias("lo"), F.max("b").alias("hi"),
+        F.sum(c).alias("n"), _times(F.col("t").isNotNull()).alias("valid"), F.coalesce(F.bool_and(binary.is_protocol_string(F.col("t"))), F.lit(False)).alias("fine"),
+        _times(F.col("t").rlike(r"^\p{ASCII}*$")).alias("ascii"), F.sum(F.length("t") * c).alias("chars"),
+        kept(r"[^A-Za-z0-9 .,!?;:()\[\]{}\"'\-_]").alias("common_ascii"), kept(r"[^\p{L}\p{N}.,!?;:()\[\]{}\"'\-_]").alias("common_utf8"),
+        _times(~F.col("t").rlike(r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]")).alias("printable"), F.min("b").alias("lo"), F.max("b").alias("hi"),
     )
     dynamic = F.col("lo") != F.col("hi")
     factor = LENGTH_FACTORS.get(length, 1.0)
@@ -203,26 +219,27 @@ def candidates(payloads: DataFrame, keys: Sequence[str], seq: str, lengths: Sequ
     stats = blocks.position_stats(blocks.byte_histogram(payloads, keys), sizes, keys)
     entry = F.struct("pos", F.round("entropy", 12).alias("all"), F.col("low_entropy").alias("low"), F.col("high_entropy").alias("high"))
     table = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entropies"))
-    info = sizes.select(*keys, "min_len").join(table, keys)
+    entropies = materialize(table.withColumnRenamed("entropies", "e"))
+    info = sizes.select(*keys, "min_len")
     ordered = Ordered(payloads.select(*keys, seq, "payload"), keys, [seq]).with_lag("prev", F.col("payload"))
     base = materialize(ordered.frame().join(small_side(info), keys))
+    small_entropies = small_side(entropies)
     parts = []
     for length in lengths:
         rows = _slices(base, keys, length)
         found = [(_plain_candidates(rows, keys, length), "n/a")]
         if length == 1:
-            found.append((_int_candidates(rows, keys, 1, "big"), "n/a"))
-        elif length in (2, 4, 8):
+            found.append((_int_candidates(rows, small_entropies, keys, 1, "big"), "n/a"))
+        elif length in COMPARED:
             for endian in ("big", "little"):
-                found.append((_int_candidates(rows, keys, length, endian), endian))
+                found.append((_int_candidates(rows, small_entropies, keys, length, endian), endian))
                 if length > 2:
                     found.append((_float_candidates(rows, keys, length, endian), endian))
                     found.append((_time_candidates(rows, keys, length, endian), endian))
-        for frame, endian in found:
-            parts.append(frame.withColumn("length", F.lit(length)).withColumn("endian", F.lit(endian)).select(*keys, *COLUMNS))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        typed = [frame.withColumns({"length": F.lit(length), "endian": F.lit(endian)}).select(*keys, *COLUMNS) for frame, endian in found]
+        # Written by length: a task holds the sorters of all parts of a union until it ends.
+        parts.append(materialize(reduce(DataFrame.unionByName, typed)))
+    out = reduce(DataFrame.unionByName, parts)
     raw = F.col("field_type").isin("BINARY_DATA", "MAC_ADDRESS", "IPV4")
     # The dynamic flag only counts when the heuristic found something.
     moving = F.col("is_dynamic") & (F.col("heuristic") > 0)
