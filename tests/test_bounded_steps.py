@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tracelode.functions import binary
 from tracelode.operators import blocks, inference, similarity, sweep
 from tracelode.plans.quantiles import quantile, quantiles
 from tracelode.queries import ORACLES
@@ -139,3 +140,12 @@ def test_types_read_distinct_slices(spark):
     heuristic = min(1.0, max(0.0, 0.2 + 0.1 + order + spread))
     want = min(1.0, 0.35 + 0.65 * heuristic + (0 if heuristic > 0 else -0.15 / 2**0.5))
     assert math.isclose(found[(2, "UINT16", "big")]["confidence"], round(want, 9))
+
+
+def test_odd_characters_are_counted(spark):
+    texts = ["", "plain\n", "\x01\x02ab\x0b", "\x7f\x85\x9fé", "a\x0e\x80😀", "\x08" * 50, "x" * 30 + "\x01", "Ω\t\r\n"]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", binary.reasonable_share(F.col("t")).alias("s"))
+    for k, share in found.collect():
+        odd = sum(c in "\x0b\x0c" or "\x01" <= c <= "\x08" or "\x0e" <= c <= "\x1f" for c in texts[k])
+        bad = sum("\x7f" <= c <= "\x9f" for c in texts[k])
+        assert math.isclose(share, 1 - (odd / 2 + bad) / len(texts[k]) if texts[k] else 1.0)

@@ -264,7 +264,7 @@ def best_types(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 def text_scores(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """String-likeness of a text column: acceptable characters and ASCII share."""
     t = F.col(text)
-    common = F.length(F.regexp_replace(t, r"[^A-Za-z0-9 .,!?;:()\[\]{}\"'\-_]", ""))
+    common = F.length(F.regexp_replace(t, r"[^A-Za-z0-9 .,!?;:()\[\]{}\"'\-_]+", ""))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(t.rlike(r"^\p{ASCII}*$")).alias("ascii_values"), F.sum(F.length(t)).alias("chars"),
         F.sum(common).alias("common_chars"), F.count_if(binary.is_protocol_string(t)).alias("protocol_strings"),
