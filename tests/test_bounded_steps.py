@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import binary
 from tracelode.operators import blocks, inference, similarity, sweep
+from tracelode.plans.ordered import CHUNK, Ordered
 from tracelode.plans.quantiles import quantile, quantiles
 from tracelode.queries import ORACLES
 
@@ -51,6 +52,23 @@ def test_few_windows_travel_to_the_points(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(want)
 
 
+def test_scanned_tasks_hold_one_chunk(spark, chunked):
+    """A task's memory does not grow with the number of chunks, and changes are told as in a search of all pairs."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), rng.randrange(300), rng.choice([None, 1, 1, 2]), rng.choice(["a", "b", None])) for _ in range(400)]
+    points = spark.createDataFrame(rows, "k int, t int, v int, w string")
+    scan = Ordered(points, ["k"], ["t"]).with_row_number("n").with_lag("p", F.col("t")).df
+    held = scan.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(CHUNK).alias("chunks"))
+    assert [r["chunks"] for r in held.collect()] == [1] * (400 // 8)
+    windows = [(k % 2, s, s + rng.randrange(-3, 9), k) for k, s in enumerate(rng.randrange(310) for _ in range(200))]
+    want = []
+    for k, s, e, name in windows:
+        inside = [r[2:] for r in rows if r[0] == k and s <= r[1] <= e]
+        want.append((k, s, e, name, len(inside), *(len({r[c] for r in inside} - {None}) > 1 for c in (0, 1))))
+    found = sweep.changing_in_windows(points, spark.createDataFrame(windows, "k int, s int, e int, name int"), ["k"], "t", "s", "e", ["v", "w"])
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_one_quantile_without_ranking_all_values(spark):
     rng = random.Random(7)
     for values in ([rng.gauss(0, 1) for _ in range(5_000)], [float(rng.randrange(3)) for _ in range(999)], [4.5]):

@@ -100,31 +100,41 @@ def changing_in_windows(
     """Every window with the number of its points and one flag a column: whether its values in [start, end] are not all the
     same; nulls do not count.
 
-    Up to ``few`` windows travel to the points.  Of more, a value is a change when it differs from the known one before it; a
-    window holds more than one value when a change lies in it other than at its first known value."""
+    Up to ``few`` windows travel to the points.  Of more, the points of one time are combined first; where a column's value
+    differs from the known one before it, the time of that one is noted.  A window holds more than one value when the last
+    time noted up to its end is not before its start.  Counts and noted times only grow along the axis, so the marks read
+    them from one scan of running maxima."""
     keys = list(keys)
     head = windows.distinct().limit(few + 1).collect()
     if len(head) <= few:
         return changing_in_few(points, windows.sparkSession.createDataFrame(head, windows.schema), keys, time, start, end, columns)
-    steps = Ordered(points.select(*keys, time, *columns), keys, [time, *columns])
+    bounds = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))]
+    steps = points.where(F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("_at")).agg(F.count(F.lit(1)).alias("_n"), *bounds)
+    scan = Ordered(steps, keys, ["_at"]).with_cumsum("_v_n", F.col("_n"))
     for c in columns:
-        steps = steps.with_last_known(f"_k_{c}", F.col(c)).with_lag(f"_p_{c}", F.col(f"_k_{c}"))
-    changed = {c: (F.col(c).isNotNull() & F.col(f"_p_{c}").isNotNull() & (F.col(c) != F.col(f"_p_{c}"))).cast("int") for c in columns}
-    known = {f"{c}_known": F.col(c).isNotNull() for c in columns}
-    # points of one time stand in the order that told their changes
-    ties = {f"{c}_tie": F.col(c) for c in columns}
-    rows = _axis(steps.frame(), windows, keys, time, start, end, changed | known | ties | {"": F.lit(1)}, True)
-    axis = Ordered(rows, keys, ["_at", "_side", *(f"_v_{c}" for c in ties)]).with_cumsum("_c_", F.coalesce("_v_", F.lit(0)))
+        known = F.when(F.col(f"_a_{c}").isNotNull(), F.struct(F.col("_at").alias("t"), F.col(f"_a_{c}").alias("a"), F.col(f"_b_{c}").alias("b")))
+        scan = scan.with_last_known(f"_k_{c}", known)
     for c in columns:
-        first = F.when(F.col(f"_v_{c}_known"), F.struct(F.col("_at").alias("t"), F.col(f"_v_{c}").alias("c")))
-        axis = axis.with_cumsum(f"_c_{c}", F.coalesce(F.col(f"_v_{c}"), F.lit(0))).with_next_known(f"_f_{c}", first)
-    marks = axis.frame().where(F.col("_side") != POINT)
-    sign = F.when(F.col("_opens"), -1).otherwise(1)
-
-    def beyond_first(c: str) -> Column:
-        changes = F.sum(sign * F.col(f"_c_{c}")) / F.count_if("_opens")
-        first = F.max(F.when(F.col("_opens") & (F.col(f"_f_{c}.t") <= F.col(f"_w.{end}")), F.col(f"_f_{c}.c")))
-        return ((changes - F.coalesce(first, F.lit(0))) > 0).alias(f"{c}_changes")
-
-    points_ = (F.sum(sign * F.col("_c_")) / F.count_if("_opens")).cast("long").alias("points")
-    return marks.groupBy(*keys, "_w").agg(points_, *(beyond_first(c) for c in columns)).select("_w.*", "points", *(f"{c}_changes" for c in columns))
+        scan = scan.with_lag(f"_p_{c}", F.col(f"_k_{c}"))
+
+    def noted(c: str) -> Column:
+        low, high, before = F.col(f"_a_{c}"), F.col(f"_b_{c}"), F.col(f"_p_{c}")
+        return F.when(low != high, F.col("_at")).when((before["a"] != low) | (before["b"] != high), before["t"]).alias(f"_v_{c}")
+
+    read = scan.frame().select(*keys, "_at", "_v_n", *(noted(c) for c in columns))
+    totals = {"n": F.col("_v_n")} | {f"q_{c}": F.col(f"_v_{c}") for c in columns}
+    rows = _axis(read, windows, keys, "_at", start, end, totals, True)
+    axis = Ordered(rows, keys, ["_at", "_side"]).with_maxima({f"_c_{n}": F.col(f"_v_{n}") for n in totals})
+    marks = axis.frame().where(F.col("_side") != POINT).select(*keys, "_w", "_opens", *(f"_c_{n}" for n in totals))
+    if axis.chunked:  # as many tasks as the axis has
+        marks = marks.repartition(axis.parts, *keys, "_w")
+    # equal windows read equal totals, so they may share a group
+    opens, closes = F.col("_opens"), ~F.col("_opens")
+    own = marks.groupBy(*keys, "_w").agg(
+        F.max(F.when(opens, F.col("_c_n"))).alias("_before"), F.max(F.when(closes, F.col("_c_n"))).alias("_upto"),
+        *(F.max(F.when(closes, F.col(f"_c_q_{c}"))).alias(f"_q_{c}") for c in columns),
+    )
+    first, last = F.col(f"_w.{start}"), F.col(f"_w.{end}")
+    count = F.when(first <= last, F.coalesce("_upto", F.lit(0)) - F.coalesce("_before", F.lit(0))).otherwise(0).cast("long").alias("points")
+    changes = (F.coalesce((first <= last) & (F.col(f"_q_{c}") >= first), F.lit(False)).alias(f"{c}_changes") for c in columns)
+    return own.select("_w.*", count, *changes)

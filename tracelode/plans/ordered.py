@@ -57,15 +57,28 @@ class Ordered:
             spread = spread.repartitionByRange(parts, *self.keys, *self.order, "_ord_tie")
             df = materialize(spread.withColumn(CHUNK, F.spark_partition_id()))
             self.order = self.order + ["_ord_tie"]
+            self.parts = parts
+        self.dealt = not self.chunked
         self.df = df
 
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
         other.keys, other.order, other.chunked, other.largest = self.keys, self.order, self.chunked, self.largest
         other.groups = self.groups
+        other.dealt = self.dealt
+        if self.chunked:
+            other.parts = self.parts
         other.df = df
         return other
 
+    def _deal(self) -> "Ordered":
+        """One chunk for each task before the first scan, so that a task's memory does not grow with the number of chunks."""
+        if self.dealt:
+            return self
+        other = self._with(self.df.repartitionById(self.parts, F.col(CHUNK)))
+        other.dealt = True
+        return other
+
     def transform(self, fn) -> "Ordered":
         """Row-wise change that keeps the order columns."""
         return self._with(fn(self.df))
@@ -123,9 +136,10 @@ class Ordered:
         carry = self._carry(
             self._edge(value, last=not reverse), lambda b: F.last("_ord_sum").over(b), reverse
         )
-        df = self.df.withColumn(name, F.lag(F.struct(value.alias("v"))).over(w))
+        dealt = self._deal()
+        df = dealt.df.withColumn(name, F.lag(F.struct(value.alias("v"))).over(w))
         df = self._join_carry(df, carry)
-        return self._with(df.withColumn(name, F.coalesce(name, "_ord_carry")["v"]).drop("_ord_carry"))
+        return dealt._with(df.withColumn(name, F.coalesce(name, "_ord_carry")["v"]).drop("_ord_carry"))
 
     def with_lead(self, name: str, value: Column) -> "Ordered":
         return self.with_lag(name, value, reverse=True)
@@ -136,9 +150,10 @@ class Ordered:
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.sum(value).over(w)))
         carry = self._carry(F.sum(value), lambda b: F.sum("_ord_sum").over(b), False)
-        df = self._join_carry(self.df.withColumn(name, F.sum(value).over(w)), carry)
+        dealt = self._deal()
+        df = self._join_carry(dealt.df.withColumn(name, F.sum(value).over(w)), carry)
         total = F.coalesce(F.col(name) + F.col("_ord_carry"), F.col(name), F.col("_ord_carry"))
-        return self._with(df.withColumn(name, total).drop("_ord_carry"))
+        return dealt._with(df.withColumn(name, total).drop("_ord_carry"))
 
     def with_cummax(self, name: str, value: Column) -> "Ordered":
         """Running maximum up to and including the row."""
@@ -146,17 +161,31 @@ class Ordered:
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.max(value).over(w)))
         carry = self._carry(F.max(value), lambda b: F.max("_ord_sum").over(b), False)
-        df = self._join_carry(self.df.withColumn(name, F.max(value).over(w)), carry)
-        return self._with(df.withColumn(name, F.greatest(name, "_ord_carry")).drop("_ord_carry"))
+        dealt = self._deal()
+        df = self._join_carry(dealt.df.withColumn(name, F.max(value).over(w)), carry)
+        return dealt._with(df.withColumn(name, F.greatest(name, "_ord_carry")).drop("_ord_carry"))
+
+    def with_maxima(self, values: dict[str, Column]) -> "Ordered":
+        """Running maxima of several values up to and including the row, in one scan with one carry."""
+        w = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        if not self.chunked:
+            return self._with(self.df.withColumns({name: F.max(v).over(w) for name, v in values.items()}))
+        per_chunk = self.df.groupBy(*self._group()).agg(*(F.max(v).alias(name) for name, v in values.items()))
+        before = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = per_chunk.select(*self._group(), F.struct(*(F.max(name).over(before).alias(name) for name in values)).alias("_ord_carry"))
+        dealt = self._deal()
+        df = self._join_carry(dealt.df.withColumns({name: F.max(v).over(w) for name, v in values.items()}), carry)
+        return dealt._with(df.withColumns({name: F.greatest(name, F.col("_ord_carry")[name]) for name in values}).drop("_ord_carry"))
 
     def with_row_number(self, name: str) -> "Ordered":
         """0-based position inside the group."""
         if not self.chunked:
             return self._with(self.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("long")))
         carry = self._carry(F.count(F.lit(1)), lambda b: F.sum("_ord_sum").over(b), False)
-        df = self.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("long"))
+        dealt = self._deal()
+        df = dealt.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("long"))
         df = self._join_carry(df, carry)
-        return self._with(df.withColumn(name, F.col(name) + F.coalesce("_ord_carry", F.lit(0))).drop("_ord_carry"))
+        return dealt._with(df.withColumn(name, F.col(name) + F.coalesce("_ord_carry", F.lit(0))).drop("_ord_carry"))
 
     def with_last_known(self, name: str, value: Column, reverse: bool = False) -> "Ordered":
         """Last non-null value up to and including the row (next one when ``reverse``)."""
@@ -169,8 +198,9 @@ class Ordered:
         carry = self._carry(
             pick(value, present), lambda b: F.last("_ord_sum", ignorenulls=True).over(b), reverse
         )
-        df = self._join_carry(self.df.withColumn(name, inner), carry)
-        return self._with(df.withColumn(name, F.coalesce(name, "_ord_carry")).drop("_ord_carry"))
+        dealt = self._deal()
+        df = self._join_carry(dealt.df.withColumn(name, inner), carry)
+        return dealt._with(df.withColumn(name, F.coalesce(name, "_ord_carry")).drop("_ord_carry"))
 
     def with_next_known(self, name: str, value: Column) -> "Ordered":
         return self.with_last_known(name, value, reverse=True)
