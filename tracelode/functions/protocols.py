@@ -222,19 +222,28 @@ def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def enip_headers(df: DataFrame, payload: str = "payload", fixed_endian: str | None = None) -> DataFrame:
+    """Only the header struct ``enip``; bodies, which cost most of :func:`parse`, are not walked."""
+    return _enip_headed(df, payload, fixed_endian).drop("_h", "_e")
+
+
+def _enip_headed(df: DataFrame, payload: str, fixed_endian: str | None) -> DataFrame:
+    endian = F.lit(fixed_endian) if fixed_endian else enip_endianness("_h")
+    return hold(hold(hold(df, "_h", F.hex(payload)), "_e", endian), "enip", enip_header("_h", "_e"))
+
+
 def parse(df: DataFrame, protocol: str, payload: str = "payload", fixed_endian: str | None = None) -> DataFrame:
     """Header structs of one protocol plus ``control_code`` and ``data_hex``.
 
     Protocols are parsed in separate branches (``parse_all``), so a row pays only for
     its own protocol."""
-    out = hold(df, "_h", F.hex(payload))
     if protocol == "modbus":
+        out = hold(df, "_h", F.hex(payload))
         out = out.withColumn("modbus", modbus_header("_h"))
         code = F.expr("if(modbus.function_code > 0, cast(modbus.function_code as string), null)")
         return out.withColumn("control_code", code).withColumn("data_hex", modbus_data("_h", "modbus")).drop("_h")
     if protocol == "enip":
-        endian = F.lit(fixed_endian) if fixed_endian else enip_endianness("_h")
-        out = hold(hold(out, "_e", endian), "enip", enip_header("_h", "_e")).withColumn("_b", enip_body("_h", "enip"))
+        out = _enip_headed(df, payload, fixed_endian).withColumn("_b", enip_body("_h", "enip"))
         out = hold(out, "_b", F.expr("if(enip.is_data_command, _b, null)"))
         out = hold(hold(out, "cpf", cpf_items("_b", "_e")), "cip", cip_header("_b", "cpf"))
         code = F.expr(
@@ -242,7 +251,7 @@ def parse(df: DataFrame, protocol: str, payload: str = "payload", fixed_endian:
         )
         return out.withColumn("control_code", code).withColumn("data_hex", cip_data("_b", "cip")).drop("_h", "_b", "_e")
     if protocol == "mms":
-        out = hold(out, "mms", mms_offsets("_h")).withColumn("control_code", mms_control_code("_h", "mms"))
+        out = hold(hold(df, "_h", F.hex(payload)), "mms", mms_offsets("_h")).withColumn("control_code", mms_control_code("_h", "mms"))
         return out.withColumn("data_hex", mms_data("_h", "mms")).drop("_h")
     raise ValueError(f"unknown protocol {protocol!r}")
 
