@@ -14,6 +14,10 @@ from tracelode.sources.tables import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# Pre-tokens that a worker of the last stage remembers: executors still hold what earlier stages took.  Decides speed and memory only.
+PACKING_CACHE = 100_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the clause grammar does not reject."""
     small_batches(spark)
@@ -40,7 +44,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Training sequences of what is left."""
     small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache=PACKING_CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [

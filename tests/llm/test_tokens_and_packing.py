@@ -75,3 +75,10 @@ def test_packing_round_trip(spark, library):
         sequences[row["sequence_id"]] = sequences.get(row["sequence_id"], 0) + row["length"]
     assert sum(sequences.values()) == sum(len(own) for held in ids.values() for own in held) and max(sequences.values()) <= 2048
     assert packing.pack(table(spark, [])).count() == 0
+
+
+def test_small_cache_gives_the_same_ids(library):
+    known = PreTokens(entries=4)
+    for n, text in enumerate([*TEXTS, "one two three four five six seven", "six one nine ten"] * 2):
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, n
+        assert len(known.older) <= max(4, len(text)) and len(known.cache) <= max(4, len(text))

@@ -16,6 +16,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tracelode.llm.frames import trim
+
 VOCABULARY = "byte_bpe_50k.json"
 
 # The published pattern over the characters that PLAIN admits, where \w less digits and _ is exactly the letters.
@@ -35,7 +37,8 @@ CACHE_ENTRIES = 400_000  # of one generation of a worker; the one before it is k
 class PreTokens:
     """The library's vocabulary behind a cache: pre-token -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, name: str = VOCABULARY):
+    def __init__(self, name: str = VOCABULARY, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
@@ -55,7 +58,7 @@ class PreTokens:
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens that the cache lacks; all but the long ones are kept in it."""
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+        if len(self.cache) + len(missing) > self.entries:
             self.older, self.cache = self.cache, {}
         found = {p: self.older[p] for p in missing if p in self.older}
         tokenize = self.library.model.tokenize
@@ -78,13 +81,14 @@ class PreTokens:
         return b"".join(held)
 
 
-_ENCODERS: dict[str, PreTokens] = {}
+_ENCODERS: dict[tuple[str, int], PreTokens] = {}
 _LOCK = threading.Lock()
 
 
-def encoder(name: str = VOCABULARY) -> PreTokens:
-    """The worker's encoder; its cache outlives a task."""
+def encoder(name: str = VOCABULARY, entries: int = CACHE_ENTRIES) -> PreTokens:
+    """The worker's encoder; its cache outlives a task.  ``entries`` of the cache decide speed and memory only."""
     with _LOCK:
-        if name not in _ENCODERS:
-            _ENCODERS[name] = PreTokens(name)
-        return _ENCODERS[name]
+        if (name, entries) not in _ENCODERS:
+            _ENCODERS[name, entries] = PreTokens(name, entries)
+            trim()  # reading the vocabulary takes several times what it holds
+        return _ENCODERS[name, entries]

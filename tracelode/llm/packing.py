@@ -19,7 +19,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tracelode.llm.bpe import VOCABULARY, encoder
+from tracelode.llm.bpe import CACHE_ENTRIES, VOCABULARY, encoder
 from tracelode.llm.frames import over_batches
 
 CAPACITY = 2048
@@ -84,16 +84,19 @@ def _streamed(sizes: np.ndarray, whole: int, capacity: int) -> int:
     return whole + int(np.argmax(stream >= room))
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, block: int = BLOCK_TOKENS) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, block: int = BLOCK_TOKENS, cache: int = CACHE_ENTRIES
+) -> DataFrame:
     """Pieces of the packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its text, then ``end``.  A null or empty text is the end id alone; a null doc_id is kept;
     repeated rows are packed each; a document of any length is cut; an empty table gives no rows; other columns are
-    ignored.  Sequence ids are unique over the table and depend only on how the input is split."""
+    ignored.  Sequence ids are unique over the table and depend only on how the input is split.  ``cache``: pre-tokens a
+    worker remembers; fewer take less memory and more time, the result is the same."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = encoder(vocabulary)
+        known = encoder(vocabulary, cache)
         next_sequence = TaskContext.get().partitionId() << PARTITION_BITS
         keys: list = []
         ids: list[bytes] = []
