@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tracelode.functions import binary
-from tracelode.operators import blocks, inference, similarity, sweep
+from tracelode.functions import binary, protocols
+from tracelode.operators import blocks, inference, similarity, sweep, views
 from tracelode.plans.ordered import CHUNK, Ordered
 from tracelode.plans.quantiles import quantile, quantiles
-from tracelode.queries import ORACLES
+from tracelode.queries import ORACLES, payloads
 
 
 def overlap_rows(spark, rng, length):
@@ -69,6 +69,39 @@ def test_scanned_tasks_hold_one_chunk(spark, chunked):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_recovered_view_without_writing_out_seconds(spark, chunked):
+    rng = random.Random(10)
+    rows = [(rng.choice([1, 2, 3, None]), rng.randrange(200) * 500_000, rng.choice("abc"), rng.choice([None, 1.0, 2.0]), n) for n in range(120)]
+    far = [(4, 0, "a", 5.0, 200), (4, 9_000_000_000, "b", 6.0, 201)]  # more seconds than a block of the grid
+    df = spark.createDataFrame(rows + far, "k int, t long, c string, v double, n int")
+    given = (df, ["k"], "t", "c", "v", ["a", "b"], "n")
+    above = df.select("k", F.floor(F.col("t") / 1_000_000).alias("sec")).where("sec % 3 = 0").distinct()
+    spans = views.recovered_from_spans(above, views.dense_spans(*given), ["k"], ["a", "b"], F.col("sec") % 5 != 0)
+    assert "Generate" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    dense = views.dense_seconds(*given)
+    whole = views.recovered_view(above, dense.where("sec % 5 != 0"), ["k"], ["a", "b"])
+    assert sorted(map(str, spans.collect())) == sorted(map(str, whole.collect())) and spans.where("a is not null").count() > 10
+    want = {}
+    for k in (1, 2, 3, 4):
+        own = sorted((t // 1_000_000, t, n, c, v) for a, t, c, v, n in rows + far if a == k)
+        for sec in range(own[0][0], own[-1][0] + 1):
+            for c in "ab":
+                last = {s: v for s, _, _, x, v in own if x == c}  # the last row of each second
+                known = [(s, v) for s, v in sorted(last.items()) if v is not None]
+                before = [v for s, v in known if s <= sec]
+                want.setdefault((k, sec), []).append(before[-1] if before else known[0][1] if known else None)
+    assert {(r["k"], r["sec"]): [r["a"], r["b"]] for r in dense.where("k is not null").collect()} == want
+
+
+def test_headers_without_walking_bodies(spark):
+    frames = payloads.enip_frames(spark, "/root/testdata/sf0.001").where("l_orderkey % 10 = 0")
+    whole = protocols.parse(frames, "enip").select("l_orderkey", "l_linenumber", "enip")
+    found = protocols.enip_headers(frames).select("l_orderkey", "l_linenumber", "enip")
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    query = payloads.enip_headers(spark, "/root/testdata/sf0.001")
+    assert "cip_offset" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_quantile_without_ranking_all_values(spark):
     rng = random.Random(7)
     for values in ([rng.gauss(0, 1) for _ in range(5_000)], [float(rng.randrange(3)) for _ in range(999)], [4.5]):

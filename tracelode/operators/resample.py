@@ -22,14 +22,20 @@ def grid(bounds: DataFrame, keys: Sequence[str], start: str, end: str, step: int
 
     Expanded in two stages, so a long range becomes many rows early and no single
     row ever carries a huge array."""
-    block = step * 4096
     first = F.ceil(F.col(start) / step) * step
     last = F.floor(F.col(end) / step) * step
     outer = bounds.select(*keys, first.alias("_a"), last.alias("_b")).where(F.col("_a") <= F.col("_b"))
-    outer = outer.withColumn("_g", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor(F.col("_b") / block))))
-    low = F.greatest(F.col("_a"), F.col("_g") * block)
-    high = F.least(F.col("_b"), (F.col("_g") + 1) * block - step)
-    return outer.select(*keys, F.explode(F.sequence(low, high, F.lit(step).cast("long"))).alias(name))
+    return opened(outer, "_a", "_b", step).select(*keys, F.col("_a").alias(name))
+
+
+def opened(spans: DataFrame, start: str, end: str, step: int) -> DataFrame:
+    """Spans as one row for each of their steps: ``start`` takes its place, other columns are repeated.  Both ends are multiples
+    of ``step``, the end not before the start."""
+    block = step * 4096
+    outer = spans.withColumn("_g", F.explode(F.sequence(F.floor(F.col(start) / block), F.floor(F.col(end) / block))))
+    low = F.greatest(F.col(start), F.col("_g") * block)
+    high = F.least(F.col(end), (F.col("_g") + 1) * block - step)
+    return outer.withColumn(start, F.explode(F.sequence(low, high, F.lit(step).cast("long")))).drop("_g")
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], time: str, value: str, step: int, how: str, order: str | None = None) -> DataFrame:

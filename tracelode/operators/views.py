@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.operators.resample import fill, grid, per_second_last
+from tracelode.operators.resample import opened
+from tracelode.plans.ordered import Ordered
 
 SECOND = 1_000_000
 # Fixed value of the reference: from this share of numbers on, a column holds Unix seconds.
@@ -36,25 +37,54 @@ def local_window(df: DataFrame, time_us: str, start: str, end: str, zone: str) -
     return df.where(moment.between(clock(start), clock(end)))
 
 
+def dense_spans(df: DataFrame, keys: Sequence[str], time_us: str, channel: str, value: str, channels: Sequence[str], order: str) -> DataFrame:
+    """(keys, sec, until, channels): the dense view as stretches of seconds, ``until`` included, in which no channel changes.
+
+    Only seconds with rows are sorted; a row without a key has null channels."""
+    keys = list(keys)
+    held = F.lit(True)
+    for k in keys:
+        held = held & F.col(k).isNotNull()
+    at = F.floor(F.col(time_us) / SECOND).alias("sec")
+    last = {c: F.max_by(value, F.when(held & (F.col(channel) == c), F.struct(time_us, order))).alias(c) for c in channels}
+    wide = df.where(F.col(time_us).isNotNull()).groupBy(*keys, at).agg(*last.values())
+    scan = known_before_or_after(Ordered(wide, keys, ["sec"]), channels).with_lead("_next", F.col("sec")).frame()
+    return scan.select(*keys, "sec", F.coalesce(F.col("_next") - 1, F.col("sec")).alias("until"), *channels)
+
+
+def known_before_or_after(scan: Ordered, channels: Sequence[str]) -> Ordered:
+    """Channels filled forward, then backward: all forward scans share one order, all backward ones another."""
+    for c in channels:
+        scan = scan.with_last_known(f"_p_{c}", F.col(c))
+    for c in channels:
+        scan = scan.with_next_known(f"_n_{c}", F.col(c))
+    return scan.transform(lambda df: df.withColumns({c: F.coalesce(f"_p_{c}", f"_n_{c}") for c in channels}).drop(*(f"_{n}_{c}" for n in "pn" for c in channels)))
+
+
 def dense_seconds(df: DataFrame, keys: Sequence[str], time_us: str, channel: str, value: str, channels: Sequence[str], order: str) -> DataFrame:
     """One row for every second between a key's first and last: the last value of each channel in it, forward then backward
     filled."""
-    keys = list(keys)
-    last = per_second_last(df, [*keys, channel], time_us, value, order)
-    wide = last.groupBy(*keys, "sec").agg(*[F.max(F.when(F.col(channel) == c, F.col(value))).alias(c) for c in channels])
-    bounds = wide.groupBy(*keys).agg(F.min("sec").alias("_from"), F.max("sec").alias("_to"))
-    out = grid(bounds, keys, "_from", "_to", 1, "sec").join(wide, [*keys, "sec"], "left")
-    for c in channels:
-        out = fill(out, keys, "sec", c, "ffill")
-    return out
+    spans = dense_spans(df, keys, time_us, channel, value, channels, order)
+    return opened(spans, "sec", "until", 1).select(*keys, "sec", *channels)
 
 
 def recovered_view(above: DataFrame, below: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Rows of the upper view with the channels of the lower view at their second, forward then backward filled."""
     out = above.join(below.select(*keys, "sec", *channels), [*keys, "sec"], "left")
-    for c in channels:
-        out = fill(out, keys, "sec", c, "ffill")
-    return out
+    return known_before_or_after(Ordered(out, keys, ["sec"]), channels).frame()
+
+
+def recovered_from_spans(above: DataFrame, spans: DataFrame, keys: Sequence[str], channels: Sequence[str], there: Column) -> DataFrame:
+    """:func:`recovered_view` for a lower view given as :func:`dense_spans`, of which the seconds ``there`` exist: a row meets
+    the last stretch that starts before or at its second, so the seconds of stretches are not written out."""
+    keys = list(keys)
+    body = F.struct(*above.columns)
+    starts = spans.select(*keys, "sec", F.lit(0).alias("_side"), F.struct("until", *channels).alias("_open"))
+    rows = above.select(*keys, "sec", F.lit(1).alias("_side"), body.alias("_row"))
+    scan = Ordered(rows.unionByName(starts, allowMissingColumns=True), keys, ["sec", "_side"]).with_last_known("_last", F.col("_open"))
+    met = there & (F.col("sec") <= F.col("_last.until"))
+    scan = scan.transform(lambda df: df.where("_side = 1").select(*keys, "sec", "_side", "_row", *scan.chunk_columns(), *(F.when(met, F.col(f"_last.{c}")).alias(c) for c in channels)))
+    return known_before_or_after(scan, channels).frame().select("_row.*", *channels)
 
 
 def column_decisions(rates: DataFrame, keys: Sequence[str], rate: str, threshold: float) -> DataFrame:

@@ -86,6 +86,10 @@ class Ordered:
     def with_column(self, name: str, value: Column) -> "Ordered":
         return self._with(self.df.withColumn(name, value))
 
+    def chunk_columns(self) -> list[str]:
+        """Columns that a ``transform`` has to keep beside the keys and the order."""
+        return [CHUNK, "_ord_tie"] if self.chunked else []
+
     def frame(self) -> DataFrame:
         return self.df.drop(CHUNK, "_ord_tie") if self.chunked else self.df
 
