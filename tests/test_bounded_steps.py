@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelode.functions import binary, protocols
-from tracelode.operators import blocks, inference, similarity, sweep, views
+from tracelode.operators import blocks, inference, patterns, similarity, sweep, views
 from tracelode.plans.ordered import CHUNK, Ordered
 from tracelode.plans.quantiles import quantile, quantiles
 from tracelode.queries import ORACLES, payloads
@@ -102,6 +102,32 @@ def test_headers_without_walking_bodies(spark):
     assert "cip_offset" not in query._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_windows_of_a_prefix_are_written(spark):
+    """Positions are left out before their windows; the prefix may reach over several tokens, tokens may be null."""
+    rng = random.Random(11)
+    rows = [(k, n, rng.choice(["e", "ea", "b", "", None])) for k in range(4) for n in range(30)]
+    numbered = patterns.positions(spark.createDataFrame(rows, "k int, n int, t string"), ["k"], ["n"])
+    every = patterns.ngrams(numbered, ["k"], "t", [1, 2, 5])
+    for prefix in ("e", "e,b", ","):
+        some = patterns.ngrams(numbered, ["k"], "t", [1, 2, 5], prefix)
+        want = sorted(map(tuple, every.where(F.col("gram").startswith(prefix)).collect()))
+        assert sorted(map(tuple, some.collect())) == want and len(want) > 5
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("StartsWith") < plan.index("Generate") < plan.rindex("StartsWith")
+
+
+def test_maximal_patterns_list_ends_only(spark, chunked):
+    rng = random.Random(12)
+    grams = {(k, ",".join(rng.choice(["a", "ab", "b", "a-"]) for _ in range(rng.randrange(1, 7)))) for k in range(3) for _ in range(60)}
+    rows = [(k, g.count(",") + 1, g) for k, g in sorted(grams)]
+    kept = patterns.maximal_patterns(spark.createDataFrame(rows, "k int, size int, gram string"), ["k"])
+    inside = lambda a, b: a[0] == b[0] and b[1] > a[1] and f",{a[2]}," in f",{b[2]},"
+    want = sorted(a for a in rows if not any(inside(a, b) for b in rows))
+    assert sorted((r["k"], r["size"], r["gram"]) for r in kept.collect()) == want and 20 < len(want) < len(rows) - 20
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan
+
+
 def test_one_quantile_without_ranking_all_values(spark):
     rng = random.Random(7)
     for values in ([rng.gauss(0, 1) for _ in range(5_000)], [float(rng.randrange(3)) for _ in range(999)], [4.5]):

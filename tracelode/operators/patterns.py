@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelode.operators.greedy import greedy_select
 from tracelode.plans.ordered import Ordered, ahead
 from tracelode.plans.sizing import small_side
+from tracelode.session import materialize
 
 SEPARATOR = ","
 
@@ -23,18 +24,23 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return numbered_rows(df, keys, order).frame()
 
 
-def ngrams(numbered: DataFrame, keys: Sequence[str], tokens: str, sizes: Sequence[int]) -> DataFrame:
-    """(keys, pos, size, gram) for every complete window of the given sizes."""
+def ngrams(numbered: DataFrame, keys: Sequence[str], tokens: str, sizes: Sequence[int], prefix: str = "") -> DataFrame:
+    """(keys, pos, size, gram) for every complete window of the given sizes that starts with ``prefix``.
+
+    Every window of a position is a start of its longest one, so positions are left out before windows are written."""
     reach = max(sizes)
     rows = ahead(numbered, keys, "pos", reach, {"_next": F.col(tokens)})
+    if prefix:
+        rows = rows.where(F.array_join("_next", SEPARATOR).startswith(prefix))
     grams = F.explode(
         F.transform(F.array(*[F.lit(s) for s in sizes]), lambda s: F.struct(s.alias("size"), F.slice("_next", F.lit(1), s).alias("gram")))
     )
     spread = rows.select(*keys, "pos", grams.alias("g"))
     complete = F.size("g.gram") == F.col("g.size")
-    return spread.where(complete).select(
+    grams = spread.where(complete).select(
         *keys, "pos", F.col("g.size").cast("int").alias("size"), F.array_join("g.gram", SEPARATOR).alias("gram")
     )
+    return grams.where(F.col("gram").startswith(prefix)) if prefix else grams
 
 
 def session_lengths(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,7 +89,7 @@ def frequent_patterns(
     rows = numbered_rows(df, keys, order)
     numbered = rows.frame()
     lengths = session_lengths(numbered, keys)
-    grams = ngrams(numbered, keys, tokens, sizes)
+    grams = ngrams(numbered, keys, tokens, sizes, prefix)
     picked = candidates(grams, lengths, keys, share, prefix)
     return greedy_rates(grams, picked, lengths, keys, rows.largest).where(F.col("rate") >= min_rate)
 
@@ -97,21 +103,20 @@ def contains_sequence(long: Column, short: Column) -> Column:
 def maximal_patterns(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop patterns contained in a longer one of the same session.
 
-    Containment is transitive, so being inside a *kept* longer pattern is the same
-    as being inside any longer one.  Instead of comparing all pairs, every pattern
-    lists its own shorter sub-windows and the listed ones are removed."""
+    Containment is transitive, so being inside a *kept* longer pattern is the same as being inside any longer one.  A pattern
+    inside a longer one is the start of one of its ends: every pattern lists its own ends, and among all ends of a session in
+    the order of their bytes those that start with a pattern follow it at once.  Tokens hold no separator."""
+    patterns = materialize(patterns)
     parts = F.split("gram", SEPARATOR)
-    inner = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))),
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.col("size") - w + 1),
-                lambda s: F.array_join(F.slice(parts, s, w), SEPARATOR),
-            ),
-        )
+    ends = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda s: F.struct(F.array_join(F.slice(parts, s, F.size(parts)), SEPARATOR).alias("gram"), (s > 1).alias("inner")),
     )
-    covered = patterns.where(F.col("size") > 1).select(*keys, F.explode(inner).alias("gram")).distinct()
-    return patterns.join(covered, [*keys, "gram"], "left_anti")
+    listed = patterns.select(*keys, F.inline(ends)).groupBy(*keys, "gram").agg(F.bool_or("inner").alias("inner"))
+    listed = listed.withColumn("_at", F.concat("gram", F.lit(SEPARATOR)))
+    scan = Ordered(listed, keys, ["_at"]).with_lead("_next", F.col("_at")).frame()
+    covered = scan.where(F.col("inner") | F.coalesce(F.col("_next").startswith(F.col("_at")), F.lit(False)))
+    return patterns.join(covered.select(*keys, "gram"), [*keys, "gram"], "left_anti")
 
 
 def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str, pattern: Sequence[str]) -> DataFrame:

@@ -199,7 +199,7 @@ SIZES = list(range(1, 21))
 @query("ngram_candidates", _gram_sql(SIZES) + CANDIDATE_SQL + "select * from cand")
 def ngram_candidates(spark, folder):
     numbered = patterns.positions(tokens(spark, folder), KEYS, ORDER)
-    grams = patterns.ngrams(numbered, KEYS, "token", SIZES)
+    grams = patterns.ngrams(numbered, KEYS, "token", SIZES, "S")
     return patterns.candidates(grams, patterns.session_lengths(numbered, KEYS), KEYS, 0.2, "S")
 
 
