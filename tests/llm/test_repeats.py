@@ -9,6 +9,7 @@ from llm.cases import BIG, prose, rows, table
 
 from tracelode.llm import jaccard, suffixes
 from tracelode.llm.components import components
+from tracelode.llm.frames import membership
 from tracelode.llm.shingles import text_shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,3 +123,42 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert {found[k] for k in range(41)} == {0} and {found[k] for k in range(100, 140)} == {100}
+
+
+def exchanged(df):
+    """Columns that each exchange of the plan carries."""
+    plan = df.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [part.split("Input [", 1)[1].split("]: ", 1)[1].split("\n", 1)[0] for part in plan.split("\n\n") if ") Exchange\n" in part and "Input [" in part]
+
+
+def test_texts_of_whole_copies_are_not_shuffled(spark):
+    """Only rows that share a doc_id with a copy but are none bring their text."""
+    texts = {k: prose(k, 60) for k in range(6)}
+    data = [(k, texts[k % 6], None, 0, "", "", "", 0.0, 0) for k in range(60)]
+    data += [(59, "another text of a doc_id that is a copy elsewhere", None, 0, "", "", "", 0.0, 0), (70, "short", None, 0, "", "", "", 0.0, 0), (71, "short", None, 0, "", "", "", 0.0, 0)]
+    docs = table(spark, data)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect()), key=str) == kept_by_brute_force(data, 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = suffixes.remove_repeats(docs)
+        carried = exchanged(found)
+        assert any("n_removed" in c for c in carried)
+        assert not any("text#" in c for c in carried if "n_removed" in c)
+        texts_only = docs.select("doc_id", "text")
+        assert suffixes.without_copies(texts_only, suffixes.whole_copies(texts_only))[0].count() == 6 + 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_membership_needs_no_python(spark):
+    """A filter before a Python step must not take a second worker for each task."""
+    keys = spark.range(0, 40_000, 7).withColumnRenamed("id", "k")
+    may_hold = membership(keys, "k")
+    rows = spark.range(40_000).union(spark.sql("select cast(null as long) as id"))
+    held = rows.filter(may_hold("id"))
+    assert "Python" not in held._jdf.queryExecution().toString()
+    got = {row["id"] for row in held.collect()}
+    assert set(range(0, 40_000, 7)) <= got and len(got) < 7_000
+    assert rows.filter(~may_hold("id")).count() == 40_001 - len(got)
+    assert rows.filter(membership(keys.filter("k < 0"), "k")("id")).count() == 0

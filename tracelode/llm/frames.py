@@ -98,32 +98,24 @@ def scatter(records: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
     firsts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[firsts[1:], len(bucket)]
+    ends = np.r_[firsts[1:], len(bucket)][: len(firsts)]  # no records give no rows
     return pd.DataFrame({"bucket": bucket[firsts].astype(np.int64), "packed": [records[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)]})
 
 
 def membership(keys: DataFrame, column: str, bits: int = 1 << 23):
-    """A filter ``keys may hold this value`` as a pandas UDF: a bitmap of ``bits`` hashed positions (1 MB), whatever the number
-    of keys.  It lets through every key and few others; an exact join follows."""
+    """A filter ``keys may hold this value``: a bitmap of ``bits`` hashed positions (1 MB), whatever the number of keys.  It lets
+    through every key and few others; an exact join follows.
+
+    The bitmap is a scalar subquery and its bits are read by column expressions, so a task that filters and then runs Python needs
+    one Python worker, not two.  ``keys`` should be materialized: each query that filters reads them."""
     place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-    rows = (
-        keys.select(place.alias("at"))
-        .groupBy(F.bitmap_bucket_number("at").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-        .collect()
-    )
-    table = np.zeros((bits // 32_768 + 2, 4_096), np.uint8)
-    for row in rows:
-        table[row["part"]] = np.frombuffer(row["bitmap"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may_hold(part: pd.Series, bit: pd.Series) -> pd.Series:
-        part, bit = part.to_numpy(), bit.to_numpy()
-        return pd.Series((shared.value[part, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+    parts = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    held = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bitmap")))).scalar()
 
     def test(name: str) -> Column:
         at = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
-        return may_hold(F.bitmap_bucket_number(at), F.bitmap_bit_position(at))
+        bit = F.bitmap_bit_position(at)
+        byte = F.substr(F.try_element_at(held, F.bitmap_bucket_number(at)), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
 
     return test

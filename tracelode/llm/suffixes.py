@@ -361,13 +361,31 @@ def merge_spans(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span["doc"][at], span["start"][at], (reach - base)[np.r_[at[1:] - 1, len(span) - 1]]
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def whole_copies(docs: DataFrame) -> DataFrame:
     """(doc, digest) of documents whose whole text is that of a document with a smaller doc_id."""
-    named = docs.filter("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    named = docs.filter("doc_id is not null and text is not null").select("doc_id", text_digest().alias("digest"))
     least = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
     return named.join(least, "digest").filter("doc_id > first").select(F.col("doc_id").alias("doc"), "digest").distinct()
 
 
+def without_copies(docs: DataFrame, copies: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows that are not whole copies, and the test for doc_ids that may be of copies.
+
+    Which rows of those doc_ids stay is settled by digests; only texts of rows that stay (a doc_id may stand for several
+    texts) are shuffled, not those of the copies."""
+    copied = membership(copies, "doc")
+    suspects = docs.filter(copied("doc_id")).withColumn("_own", text_digest())
+    others = suspects.select(F.col("doc_id").alias("_other"), F.col("_own").alias("_text")).distinct()
+    others = materialize(others.join(copies, (F.col("_other") == F.col("doc")) & (F.col("_text") == F.col("digest")), "left_anti"))
+    stay = suspects.filter(membership(others, "_other")("doc_id"))
+    stay = stay.join(others, F.col("doc_id").eqNullSafe(F.col("_other")) & F.col("_own").eqNullSafe(F.col("_text")), "left_semi")
+    return docs.filter(~copied("doc_id")).unionByName(stay.select("doc_id", "text")), copied
+
+
 def compressed(docs: DataFrame) -> DataFrame:
     """(doc_id, body): texts as compressed bytes for a shuffle, which packs them better than the blocks of a shuffle are packed."""
 
@@ -410,15 +428,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A whole copy of a smaller document is removed whole and stays out of the search: its strings are all in the other."""
     docs = docs.select("doc_id", "text")
     copies = materialize(whole_copies(docs))
-    copied = membership(copies, "doc")
-    same = (F.col("doc_id") == F.col("doc")) & (F.unhex(F.md5("text")) == F.col("digest"))
-    distinct = docs.filter(~copied("doc_id")).unionByName(docs.filter(copied("doc_id")).join(copies, same, "left_anti"))
+    distinct, copied = without_copies(docs, copies)
     cut, may_share = with_spans(docs, distinct, length)
     none = F.lit(None).cast("array<long>")
-    whole = F.when(F.octet_length("text") >= length, F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")))
-    gone = docs.filter(copied("doc_id")).join(copies, same, "left_semi").withColumn("spans", whole)
     plain = distinct.filter(F.col("doc_id").isNull() | ~may_share("doc_id")).withColumn("spans", none)
 
+    # A copy is either gone or too short for a string: its row needs no text, so none is shuffled.
+    size, long = F.octet_length("text").cast("long"), F.octet_length("text") >= length
+    gone = docs.filter(copied("doc_id")).select(
+        "doc_id", size.alias("n_bytes"), F.when(long, size).otherwise(0).alias("n_removed"), F.when(long, F.lit(1)).otherwise(0).cast("long").alias("n_spans"),
+        F.sha2(F.when(long, F.lit("")).otherwise(F.col("text")).cast("binary"), 256).alias("kept_sha256"), text_digest().alias("_own"),
+    )
+    gone = gone.join(copies, (F.col("doc_id") == F.col("doc")) & (F.col("_own") == F.col("digest")), "left_semi").drop("_own")
+
     def kept(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             rows = []
@@ -436,5 +458,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(data), removed, len(edges) // 2, digest.hexdigest()))
             yield {"doc_id": batch["doc_id"]} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*rows, strict=True)), strict=True))
 
-    rows = plain.unionByName(gone).withColumn("body", F.lit(None).cast("binary")).unionByName(cut.withColumn("text", F.lit(None).cast("string")))
-    return over_batches(rows, kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = plain.withColumn("body", F.lit(None).cast("binary")).unionByName(cut.withColumn("text", F.lit(None).cast("string")))
+    return over_batches(rows, kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").unionByName(gone)
