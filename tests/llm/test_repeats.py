@@ -151,6 +151,28 @@ def test_texts_of_whole_copies_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_long_texts_qualify_by_the_leading_shingles_they_share(spark):
+    """Long texts with a passage in common are no pair; those near the threshold are, whatever they share."""
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]
+    passage, base = draw(150), draw(1_400)
+    data = [(k, " ".join(draw(500) + passage + draw(500 + 10 * k)), None, 0, "", "", "", 0.0, 0) for k in range(20)]
+    for k in range(24):  # up to about the threshold, by edits or by length
+        words = list(base) + draw(30 * (k % 12))
+        for _ in range(0 if k % 2 else 3 * k):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+        data.append((100 + k, " ".join(words), None, 0, "", "", "", 0.0, 0))
+    docs = table(spark, data)
+    order = spark.sparkContext.broadcast(jaccard.Order(jaccard.frequent_shingles(docs, 5)[0]))
+    group = {key: int(order.value.keys(text_shingles(text))[0]) for key, text, *_ in data}
+    found = {frozenset(map(int, row)) for row in jaccard.qualifying_groups(docs, 5, 75, order, 4).collect()}
+    assert not any(frozenset((group[a], group[b])) in found for a in range(20) for b in range(a))
+    sets = {key: shingle_set(text) for key, text, *_ in data}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(linked) > 30 and all(group[a] == group[b] or frozenset((group[a], group[b])) in found for a, b in linked)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == expected_components(data)
+
+
 def test_membership_needs_no_python(spark):
     """A filter before a Python step must not take a second worker for each task."""
     keys = spark.range(0, 40_000, 7).withColumnRenamed("id", "k")

@@ -8,7 +8,8 @@ and a hashed bitmap of the union of all of them.
    join near copies early, so a group of thousands costs as many comparisons as
    it has members.
 2. Two groups qualify when a shingle leads in both and what may follow it is long
-   enough for the wanted overlap.  Shingles that many documents share come last in the
+   enough for the wanted overlap; groups of long sets, whose bitmaps are full, must
+   share as many leading shingles as that overlap takes.  Shingles that many documents share come last in the
    order and therefore hardly ever lead.
 3. A qualifying group is opened only for members whose overlap with the other group's
    union bitmap can reach the threshold, and only between different components.
@@ -40,6 +41,9 @@ FREQUENT = 200_000  # shingles known to be common; only their place in the order
 COMMON = 8  # counted times that make a shingle common
 BAND = 1.25  # sizes of one band of sketch groups differ by less than this factor
 LANES = 32  # longs of a bitmap: 2,048 hashed positions
+GROUP_MASK = np.uint64((1 << 40) - 1)  # bits that name a group; groups of one name are one group
+LONG = 512  # shingles beyond which a bitmap tells little and pairs of groups count the leading shingles they share
+SLACK = 10  # shared shingles that may go uncounted: rounding, and two that fall in one cell
 BUFFER = 300_000  # shingles a worker collects before it packs them
 COUNTED = 1_000_000  # shingles a worker counts together
 SEEN = 2  # times that make a shingle of those worth reporting
@@ -122,7 +126,7 @@ class Order:
         plain = tokens[~common] if 2 * common.sum() < len(tokens) else tokens
         other = mixed(plain * np.uint64(0xD6E8FEB86659FD93))
         every = mixed(tokens * np.uint64(0xCA5A826395121157))
-        return np.array([plain[0], mixed(np.atleast_1d(other.min()) + np.uint64(1))[0], mixed(np.atleast_1d(every.min()) + np.uint64(2))[0]], np.uint64)
+        return np.array([plain[0] & GROUP_MASK, mixed(np.atleast_1d(other.min()) + np.uint64(1))[0], mixed(np.atleast_1d(every.min()) + np.uint64(2))[0]], np.uint64)
 
 
 def class_of(tokens: np.ndarray) -> bytes:
@@ -196,23 +200,47 @@ def qualifying_groups(docs: DataFrame, words: int, percent: int, order, buckets:
         token = cell["token"]
         firsts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         counts = np.diff(np.r_[firsts, len(token)])
-        found = []
+        found = [np.zeros((0, 5), np.int64)]
         for step in range(1, int(counts.max(initial=1))):  # cells ``step`` apart in the run of a token
             left = np.flatnonzero(token[step:] == token[:-step])
             if not len(left):
                 break
             a, b = cell[left], cell[left + step]
-            small, large = np.minimum(a["most"], b["most"]).astype(np.int64), np.maximum(a["least"], b["least"]).astype(np.int64)
-            need = -(-percent * (a["least"].astype(np.int64) + b["least"]) // (100 + percent))
-            good = (100 * small >= percent * large) & (np.minimum(a["rest"], b["rest"]) >= need)
-            if good.any():
-                found.append(np.unique(np.c_[a["group"][good], b["group"][good]], axis=0))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+            least, most = (np.c_[a[name], b[name]].astype(np.int64) for name in ("least", "most"))
+            need = -(-percent * least.sum(1) // (100 + percent))
+            good = np.minimum(a["rest"], b["rest"]) >= need
+            # Long sets count every shared leading shingle, also those that alone could not make a link.
+            keep = (100 * most.min(1) >= percent * least.max(1)) & (good | (most.min(1) > LONG))
+            if keep.any():
+                fewest = np.minimum(least_shared(most[:, 0], least[:, 1], percent), least_shared(least[:, 0], most[:, 1], percent))
+                wanted = np.where(least.min(1) > LONG, fewest, 0)
+                found.append(_tallied(np.c_[a["group"].view(np.int64), b["group"].view(np.int64), np.ones(len(a), np.int64), good, wanted][keep]))
+        out = pd.DataFrame(_tallied(np.concatenate(found)), columns=["g", "h", "shared", "good", "wanted"])
         trim()
-        return pd.DataFrame({"g": found[:, 0].view(np.int64), "h": found[:, 1].view(np.int64)})
+        return out
 
     packed = over_sets(docs, words, cells, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(pairs, "g long, h long").distinct()
+    met = packed.groupBy("bucket").applyInPandas(pairs, "g long, h long, shared long, good long, wanted long")
+    met = met.groupBy("g", "h").agg(F.sum("shared").alias("shared"), F.max("good").alias("good"), F.min("wanted").alias("wanted"))
+    return met.filter("good = 1 and shared >= wanted").select("g", "h")
+
+
+def least_shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many leading shingles linked sets of these sizes share at least, less ``SLACK``.
+
+    The set whose leading shingles end first in the order has ceil(percent * size / 100) - 1 others; what the overlap wants beyond
+    those is shared among the leading ones of both."""
+    need = -(-percent * (n + m) // (100 + percent))
+    return need - (-(-percent * np.maximum(n, m) // 100) - 1) - SLACK
+
+
+def _tallied(rows: np.ndarray) -> np.ndarray:
+    """(g, h, shared, good, wanted): one row for each pair of groups, with the sum, the greatest and the least."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    return np.c_[rows[first, :2], np.add.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first), np.minimum.reduceat(rows[:, 4], first)]
 
 
 def _planes(cell: np.ndarray) -> bytes:
