@@ -155,8 +155,8 @@ def test_long_texts_qualify_by_the_leading_shingles_they_share(spark):
     """Long texts with a passage in common are no pair; those near the threshold are, whatever they share."""
     rng = random.Random(5)
     draw = lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]
-    passage, base = draw(150), draw(1_400)
-    data = [(k, " ".join(draw(500) + passage + draw(500 + 10 * k)), None, 0, "", "", "", 0.0, 0) for k in range(20)]
+    passages, base = [draw(150) for _ in range(5)], draw(1_400)  # in four texts each: shingles of more are common and do not lead
+    data = [(k, " ".join(draw(500) + passages[k % 5] + draw(500 + 10 * k)), None, 0, "", "", "", 0.0, 0) for k in range(20)]
     for k in range(24):  # up to about the threshold, by edits or by length
         words = list(base) + draw(30 * (k % 12))
         for _ in range(0 if k % 2 else 3 * k):
