@@ -573,16 +573,20 @@ COARSE_SQL = OFFSET_SQL + _offset_sql("coarse", f'select unnest(range({CENTER -
 BEST_SQL = f'order by joint_score, abs("offset" - {CENTER}), "offset" limit 1'
 
 
-def _offset_scores(spark, folder, center, radius, step):
+def _offset_tables(spark, folder):
     ev = events(spark, folder).withColumnRenamed("event_type", "pv")
     even = F.col("user_id") % 2 == 0
-    return calibration.offset_scores(ev.where(even), ev.where(~even), "pv", "ts_us", "value", "event_id", *calibration.grid(center, radius, step), TOLERANCE)
+    return ev.where(even), ev.where(~even), "pv", "ts_us", "value", "event_id"
+
+
+def _offset_scores(tables, center, radius, step, prepared=None):
+    return calibration.offset_scores(*tables, *calibration.grid(center, radius, step), TOLERANCE, prepared)
 
 
 @query("offset_calibration", COARSE_SQL + ' select "offset", round(joint_score, 8) as joint_score, pvs from coarse')
 def offset_calibration(spark, folder):
     """The coarse grid: 601 offsets in steps of a hundredth of a second."""
-    return _offset_scores(spark, folder, CENTER, RADIUS, COARSE).withColumn("joint_score", F.round("joint_score", 8))
+    return _offset_scores(_offset_tables(spark, folder), CENTER, RADIUS, COARSE).withColumn("joint_score", F.round("joint_score", 8))
 
 
 @query(
@@ -594,9 +598,11 @@ def offset_calibration(spark, folder):
 )
 def offset_choice(spark, folder):
     """Coarse search, then one in steps of a thousandth of a second around its best offset."""
-    coarse = calibration.best_offset(_offset_scores(spark, folder, CENTER, RADIUS, COARSE), CENTER).first()
+    tables = _offset_tables(spark, folder)
+    prepared = calibration.prepare(*tables, TOLERANCE, CENTER - RADIUS - NEAR, CENTER + RADIUS + NEAR)  # once for both searches
+    coarse = calibration.best_offset(_offset_scores(tables, CENTER, RADIUS, COARSE, prepared), CENTER).first()
     center = coarse["offset"] if coarse["offset"] is not None else CENTER
-    fine = calibration.best_offset(_offset_scores(spark, folder, center, NEAR, FINE), CENTER)
+    fine = calibration.best_offset(_offset_scores(tables, center, NEAR, FINE, prepared), CENTER)
     return fine.withColumn("joint_score", F.round("joint_score", 8))
 
 
