@@ -91,7 +91,7 @@ def _same(scores, historian, traffic, start, step, steps, tolerance):
     want = plain_scores(historian, traffic, start, step, steps, tolerance)
     assert got.keys() == want.keys()
     for offset, (score, pvs) in want.items():
-        assert got[offset][1] == pvs and abs(got[offset][0] - score) < 1e-12, offset
+        assert got[offset][1] == pvs and got[offset][0] == pytest.approx(score, rel=1e-12, abs=1e-12), offset
 
 
 def test_matches_are_not_written(spark, monkeypatch):
@@ -161,3 +161,23 @@ def test_matches_in_pieces(monkeypatch, pairs, step, steps):
     for found in calibration.matched_steps(times, pd.DataFrame(cells, columns=["low", "at", "high", "first", "last"]), step, steps):
         got += [(row, k, seen) for row, seen, first, last in zip(*found) for k in range(first, last + 1)]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_column_names_and_whole_times(spark):
+    """Columns may have the names that the search uses itself, and times any whole type; tables may be empty."""
+    historian, traffic = _dense(9)
+    left = spark.createDataFrame(historian, "p string, t int, low float")
+    right = spark.createDataFrame(traffic, "p string, t int, at long, low float")
+    exact = [[(*r[:-1], float(np.float32(r[-1]))) for r in rows] for rows in (historian, traffic)]
+    found = calibration.offset_scores(left, right, "p", "t", "low", "at", -100, 20, 11, 40)
+    _same(found, *exact, -100, 20, 11, 40)
+    assert calibration.offset_scores(left.limit(0), right, "p", "t", "low", "at", -100, 20, 11, 40).count() == 0
+
+
+def test_many_pvs(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "SERIES", 40)
+    rng = random.Random(10)
+    historian = [(f"pv{rng.randrange(90)}", rng.randrange(60), rng.random()) for _ in range(400)]
+    traffic = [(f"pv{rng.randrange(90)}", rng.randrange(60), k, rng.random()) for k in range(400)]
+    found = calibration.offset_scores(*_frames(spark, historian, traffic), "pv", "t", "value", "tie", -5, 5, 3, 8)
+    _same(found, historian, traffic, -5, 5, 3, 8)

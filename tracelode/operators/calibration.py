@@ -24,7 +24,7 @@ SKETCH = 4_096  # historian rows of a pv whose errors give its first ranges
 BLOCK = 250_000  # rows and samples that one task works on
 PAIRS = 1_000_000  # pairs that it holds at once
 NEAR = 1_000_000  # errors near its medians that are written out for a pv
-SERIES = 200  # pvs that are searched at a time
+SERIES = 500  # pvs that are searched at a time
 MOST = 0x7FF8000000000000  # the bits of a missing number, which sorts above infinity
 
 
@@ -60,7 +60,7 @@ def nearest_cells(traffic: DataFrame, pv: str, time: str, value: str, tie: str,
 class Prepared:
     """Historian and traffic of one search, in blocks of bounded size; every grid of offsets reads the same ones."""
 
-    names: DataFrame  # (pv, p)
+    names: DataFrame  # (_pv, p)
     rows: DataFrame  # (unit, t, want)
     cells: DataFrame  # (unit, low, at, high, first, last)
     units: pd.DataFrame  # (p, block, low, high, n) of each unit, the rows of a pv in a block, in the order of pv and time
@@ -72,29 +72,32 @@ def prepare(
 ) -> Prepared:
     """For offsets between ``earliest`` and ``latest``.  Rows without pv, time or finite value take no part."""
     spark = historian.sparkSession
-    rows = historian.where(F.col(pv).isNotNull() & F.col(time).isNotNull() & finite(F.col(value)))
-    rows = rows.select(pv, F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("want"))
-    cells = materialize(nearest_cells(traffic.where(F.col(pv).isNotNull()), pv, time, value, tie, tolerance))
+    named = [F.col(pv).alias("_pv"), F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("want")]
+    historian = historian.select(*named).where(F.col("_pv").isNotNull() & finite(F.col("want")))
+    traffic = traffic.select(*named, F.col(tie).alias("_order")).where(F.col("_pv").isNotNull())
+    rows = historian.where(F.col("t").isNotNull())
+    cells = materialize(nearest_cells(traffic, "_pv", "t", "want", "_order", tolerance))
     size = min(int(spark.conf.get(CHUNK_ROWS_CONF, str(BLOCK))), BLOCK)
     parts = max(1, math.ceil((rows.count() + cells.count()) / size))
-    marks = rows.unionByName(cells.select(pv, F.col("at").alias("t")), allowMissingColumns=True)
-    blocks = marks.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, pv, "t", "_tie")
+    marks = rows.unionByName(cells.select("_pv", F.col("at").alias("t")), allowMissingColumns=True)
+    blocks = marks.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, "_pv", "t", "_tie")
     blocks = materialize(blocks.withColumn("block", F.spark_partition_id()).where(F.col("want").isNotNull()).drop("_tie"))
     # At most one unit more for each block than there are pvs.
-    ends = blocks.groupBy(pv, "block").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n")).collect()
-    ends = sorted(ends, key=lambda r: (r[pv], r["block"]))
-    order = {name: p for p, name in enumerate(sorted({r[pv] for r in ends}))}
-    kind = T.StructField(pv, historian.schema[pv].dataType)
+    ends = blocks.groupBy("_pv", "block").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    ends = sorted(ends, key=lambda r: (r["_pv"], r["block"]))
+    order = {name: p for p, name in enumerate(sorted({r["_pv"] for r in ends}))}
+    kind = T.StructField("_pv", rows.schema["_pv"].dataType)
     names = spark.createDataFrame([(name, p) for name, p in order.items()], T.StructType([kind, T.StructField("p", T.IntegerType())]))
     unit = T.StructType([kind, T.StructField("block", T.IntegerType()), T.StructField("unit", T.IntegerType())])
-    unit = spark.createDataFrame([(r[pv], r["block"], u) for u, r in enumerate(ends)], unit)
-    scale = spread_scale(historian.where(finite(F.col(value))), [pv], value)
-    scales = {r["p"]: r["scale"] for r in scale.join(small_side(names, len(order)), pv).collect()}
-    units = pd.DataFrame([(order[r[pv]], r["block"], r["low"], r["high"], r["n"]) for r in ends], columns=["p", "block", "low", "high", "n"], dtype="int64")
-    cells = cells.join(small_side(names, len(order)), pv).select("p", "low", "at", "high", "first", "last")
+    unit = spark.createDataFrame([(r["_pv"], r["block"], u) for u, r in enumerate(ends)], unit)
+    scale = spread_scale(historian, ["_pv"], "want")
+    scales = {r["p"]: r["scale"] for r in scale.join(small_side(names, len(order)), "_pv").collect()}
+    units = [(order[r["_pv"]], r["block"], r["low"], r["high"], r["n"]) for r in ends]
+    units = pd.DataFrame(units, columns=["p", "block", "low", "high", "n"], dtype="int64")
+    cells = cells.join(small_side(names, len(order)), "_pv").select("p", "low", "at", "high", "first", "last")
     return Prepared(
         names,
-        blocks.join(small_side(unit, len(ends)), [pv, "block"]).select("unit", "t", "want"),
+        blocks.join(small_side(unit, len(ends)), ["_pv", "block"]).select("unit", "t", "want"),
         materialize(dealt_cells(cells, units, earliest, latest)),
         units,
         np.array([scales[p] for p in range(len(order))], float),
@@ -399,7 +402,7 @@ def offset_scores(
     per = per.join(small_side(found.names, len(found.scales)), "p")
     offset = F.lit(start) + F.col("step").cast("long") * step
     # Added up in the order of the pvs, so that equal scores give equal means and a tie stays one.
-    scores = F.array_sort(F.collect_list(F.struct(pv, "score")))
+    scores = F.array_sort(F.collect_list(F.struct("_pv", "score")))
     mean = F.aggregate(scores, F.lit(0.0), lambda total, s: total + s["score"]) / F.size(scores)
     return per.groupBy(offset.alias("offset")).agg(mean.alias("joint_score"), F.count(F.lit(1)).alias("pvs"))
 
